@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.llm.leakage import leaked_items
+from factweave.llm.quality import quality_statistics
 from factweave.llm.survivorship import slot_survivors, slot_survivors_sql
 from factweave.llm.tokenize import token_ids
 from factweave.plans.registry import Registry
@@ -22,3 +24,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return token_ids(table(spark, d, "documents", "doc_id", "text"))
+
+
+@LLM.add()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat a passage of a test item, with that item."""
+    return leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+@LLM.add()
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Quality statistics of every document."""
+    return quality_statistics(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words"))
+
+
+@LLM.add()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are a list, a table, code or junk for more than half of their text."""
+    return p8_statistics(spark, d).where("form IS NOT NULL").select("doc_id", "form")
