@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factweave.llm.credentials import find_credentials, train
 from factweave.llm.leakage import leaked_items
 from factweave.llm.quality import quality_statistics
 from factweave.llm.survivorship import slot_survivors, slot_survivors_sql
@@ -14,6 +16,20 @@ from factweave.tables import table
 LLM = Registry()
 
 
+def source_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``origin, row_id, code, file`` of all source and configuration text."""
+    parts = [("source_snippets", "snippet_id", "code", "file"), ("cache_entries", "entry_id", "text", None), ("site_contexts", "site_id", "code", "file")]
+    frames = [table(spark, d, t).select(F.struct(F.lit(t).alias("origin"), F.col(key).alias("row_id")).alias("place"), F.col(text).alias("code"), (F.col(file) if file else F.lit(None).cast("string")).alias("file")) for t, key, text, file in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@LLM.add()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a credential begins."""
+    rows = source_texts(spark, d)
+    return find_credentials(rows, train(rows), "place").select("place.origin", "place.row_id", "line_no")
+
+
 @LLM.add(slot_survivors_sql())
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Which candidate supplies each field of each slot's surviving value."""
