@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm.codedoc import documented_fields, documented_functions
 from factweave.llm.credentials import find_credentials, train
 from factweave.llm.leakage import leaked_items
 from factweave.llm.quality import quality_statistics
@@ -30,6 +31,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return find_credentials(rows, train(rows), "place").select("place.origin", "place.row_id", "line_no")
 
 
+@LLM.add()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and struct fields whose documentation says something."""
+    functions = documented_functions(table(spark, d, "source_files")).select(F.lit("function").alias("owner_kind"), "owner_id")
+    fields = documented_fields(table(spark, d, "type_fields")).select(F.lit("field").alias("owner_kind"), F.col("field_id").alias("owner_id"))
+    return functions.unionByName(fields).distinct()
+
+
 @LLM.add(slot_survivors_sql())
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Which candidate supplies each field of each slot's surviving value."""
