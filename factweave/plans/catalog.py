@@ -1,9 +1,10 @@
 """All queries outside the llm subpackage."""
 
 from factweave.plans.core import CORE
+from factweave.plans.reference import REFERENCE
 from factweave.plans.registry import Registry
 
 CATALOG = Registry()
-for _part in (CORE,):
+for _part in (CORE, REFERENCE):
     CATALOG.queries |= _part.queries
     CATALOG.sql |= _part.sql
