@@ -7,29 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from factweave.functions.keys import normalize_operation_key, trim_space
+from factweave.operators.candidates import SOURCE_PRIORITY, STATUS_PRIORITY, STATUS_RANK, candidate_priority
 
-#: Source priority, status priority where no source is known, status rank.
-SOURCE_PRIORITY = {"source": 5, "runtime": 4, "openapi": 3, "documentation": 2, "human": 2, "llm": 1}
-STATUS_PRIORITY = {"verified": 5, "observed": 4, "declared": 3, "inferred": 1}
-STATUS_RANK = {"verified": 5, "declared": 4, "observed": 3, "inferred": 2, "inconclusive": 1, "unresolved": 0}
 #: Texts that stand in for no value, in lower case.
 STAND_INS = ["", "n/a", "na", "tbd", "unknown", "none", "null", "nil", "-", "–", "—", "?"]
 
 
-def _rank(values: dict[str, int], c: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])
-    return F.coalesce(F.try_element_at(pairs, F.lower(trim_space(c))), F.lit(0))
-
-
-def candidate_priority(evidence: Column, status: Column, confidence: Column) -> Column:
-    """Source * 10 + status rank + confidence; the best source of the evidence, or by status if
-    no source is known. Null evidence, status and confidence count as none, unlisted and 0."""
-    best = F.coalesce(F.array_max(F.transform(evidence, lambda e: _rank(SOURCE_PRIORITY, F.coalesce(e["source"], F.lit(""))))), F.lit(0))
-    known = F.coalesce(status, F.lit(""))
-    source = F.when(best > 0, best).otherwise(_rank(STATUS_PRIORITY, known))
-    return source * F.lit(10.0) + _rank(STATUS_RANK, known) + F.coalesce(confidence, F.lit(0.0))
-
-
 def fills(c: Column, kind: DataType) -> Column:
     """Whether a value says something: not null, blank or a stand-in; for arrays, some element does."""
     if isinstance(kind, ArrayType):
