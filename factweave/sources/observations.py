@@ -30,7 +30,7 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     outside 100..599 fails the whole read. ``observed_at`` stays text. Files are read whole to give
     line numbers, so one file must fit a task.
     """
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("t"), F.col("_metadata.file_path").alias("file"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"), F.col("_metadata.file_path").alias("file"))
     lines = texts.select("file", F.posexplode(F.split("t", "\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
     return _read(lines, "file", "line_no")
 
