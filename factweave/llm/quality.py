@@ -234,7 +234,7 @@ class Form:
         twice = sum(k - 1 for k in paragraphs.values()) / n_paragraphs
         form = None
         if shares["prose"] * 2 < total:
-            if n_words >= 8 and coverage > 0.5:
+            if n_words >= 8 and coverage > 0.8:
                 form = "junk"
             else:
                 form = max(("junk", "table", "code", "list"), key=lambda k: shares[k])
