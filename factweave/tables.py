@@ -20,6 +20,16 @@ def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates() if key not in df.columns else df.dropDuplicates(df.columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, for work that costs far more CPU than a shuffle of it.
+
+    Only an input that was read in less than half as many partitions as there are cores is moved;
+    a large one has more partitions than that, and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -40,4 +50,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-__all__ = ["F", "cut_lineage", "distinct_rows", "table"]
+__all__ = ["F", "cut_lineage", "distinct_rows", "spread", "table"]
