@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.tables import cut_lineage
+from factweave.tables import cut_lineage, spread
 
 #: Items are handled in blocks of this many, so that what travels to the executors is bounded.
 ITEMS_PER_BLOCK = 5_000
@@ -228,7 +228,7 @@ def postings(documents: DataFrame, key: str, text: str, items: list[Item]) -> Da
         if doc_type is not None:
             yield row(list(counts), [None] * len(counts), [None] * len(counts), list(counts.values()))
 
-    return documents.where(F.col(text).isNotNull()).select(key, text).mapInArrow(index, f"term string, `{key}` {kind}, positions array<int>, n long")
+    return spread(documents.where(F.col(text).isNotNull()).select(key, text)).mapInArrow(index, f"term string, `{key}` {kind}, positions array<int>, n long")
 
 
 def intersect(lists: DataFrame, key: str, item_key: str, item_type: str, items: list[Item], frequency: dict[str, int]) -> DataFrame:

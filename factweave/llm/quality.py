@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.tables import spread
+
 #: Bound of the word list that travels to the executors (the shipped table is fixed and small).
 MAX_COMMON_WORDS = 100_000
 
@@ -313,4 +315,4 @@ def quality_statistics(documents: DataFrame, common_words: DataFrame, key: str =
             columns = list(zip(*map(read, b.column(1).to_pylist()), strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, *names])
 
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, {STATISTICS}")
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {STATISTICS}")

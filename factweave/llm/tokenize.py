@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.tables import spread
+
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
 
@@ -184,11 +186,11 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
         return pa.Table.from_batches([_lists(table.column(key).combine_chunks().slice(0, 1), key, [ids])])
 
     schema = f"`{key}` {kind}, ids array<int>"
-    short = rows.where(~long).mapInArrow(whole, schema)
+    short = spread(rows.where(~long)).mapInArrow(whole, schema)
     starts = F.sequence(F.lit(0), F.length("__t") - 1, F.lit(chunk_chars))
     cut = lambda a: F.struct(a.alias("__at"), F.substring(F.col("__t"), a + 1, F.lit(chunk_chars + overlap_chars)).alias("__c"))
     chunks = rows.where(long).select(key, F.explode(F.transform(starts, cut)).alias("x")).select(key, "x.*")
-    spread = chunks.repartition(F.col(key), F.col("__at"))  # the chunks of one text go to many tasks
+    scattered = chunks.repartition(F.col(key), F.col("__at"))  # the chunks of one text go to many tasks
     overlap = "array<struct<s: bigint, x: array<int>>>"
-    parts = spread.mapInArrow(encoded, f"`{key}` {kind}, __at int, __c string, head {overlap}, body array<int>, tail {overlap}, trusted bigint")
+    parts = scattered.mapInArrow(encoded, f"`{key}` {kind}, __at int, __c string, head {overlap}, body array<int>, tail {overlap}, trusted bigint")
     return short.unionByName(parts.groupBy(key).applyInArrow(joined, schema))
