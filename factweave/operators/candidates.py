@@ -209,3 +209,26 @@ def unique_index(rows: DataFrame, name: str, type_: str) -> DataFrame:
 def enum_values(constants: DataFrame, type_: str, value: str) -> DataFrame:
     """Sorted distinct constants of types that have two or more of them."""
     return constants.select(type_, value).distinct().groupBy(type_).agg(F.array_sort(F.collect_list(value)).alias("values")).where(F.size("values") >= 2)
+
+
+def response_matrix(hits: DataFrame) -> DataFrame:
+    """Sink hits merged by type, code, failure and status, with their different sinks in order."""
+    key = ["op_key", "type", "code", "failure", "status"]
+    sinks = hits.select(*key, "sink").where("sink IS NOT NULL").distinct().groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("sink")), ", ").alias("sinks"))
+    counts = hits.groupBy(*key).agg(F.count("*").alias("hits"))
+    on = counts["op_key"].eqNullSafe(sinks["op_key"])
+    for c in key[1:]:
+        on = on & counts[c].eqNullSafe(sinks[c])
+    return counts.join(sinks, on, "left").select(*[counts[c] for c in key], "hits", F.coalesce("sinks", F.lit("")).alias("sinks"))
+
+
+def propagate_confidence(operations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """An operation's confidence is at most the least of its schemas', envelopes aside."""
+    least = schemas.where(~F.coalesce("envelope", F.lit(False))).groupBy("op_key").agg(F.min("confidence").alias("__least"))
+    return operations.join(least, "op_key", "left").withColumn("confidence", F.least("confidence", "__least")).drop("__least")
+
+
+def operation_evidence(candidates: DataFrame) -> DataFrame:
+    """``op_key, evidence``: the different evidence of all of an operation's candidates."""
+    each = candidates.select("op_key", F.explode("evidence").alias("e")).distinct()
+    return each.groupBy("op_key").agg(F.array_sort(F.collect_list("e")).alias("evidence"))

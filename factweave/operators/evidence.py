@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factweave.functions.text import PARAM_LOCATIONS, SCALAR_TYPES, template_names
+from factweave.functions.text import PARAM_LOCATIONS, SCALAR_TYPES, name_in_source, template_names
 
 #: String formats that proposals may use.
 FORMATS = ["", "int32", "int64", "float", "double", "byte", "binary", "date", "date-time", "uuid", "email", "uri", "password"]
@@ -160,3 +160,17 @@ def has_gap(gaps: Column, prefix: str) -> Column:
 def redacted(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Metadata only: columns outside ``keep`` (bodies, headers) are never selected."""
     return rows.select(*[c for c in keep if c in rows.columns])
+
+
+def error_catalog(constants: DataFrame, package_suffix: str) -> DataFrame:
+    """Constants of the packages that end with the suffix at a segment boundary."""
+    return constants.where((F.col("kind") == "const") & ((F.col("package") == package_suffix) | F.endswith("package", F.lit(f"/{package_suffix}"))))
+
+
+def accepted_findings(findings: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings whose name occurs in the source of their operation and whose location, type, format
+    and status are in the closed sets; and the others."""
+    j = findings.join(sources.select("op_key", "text", "tokens"), "op_key", "left")
+    ok = F.coalesce(name_in_source(F.col("name"), F.col("text"), F.col("tokens")) & valid_proposal(F.col("location"), F.col("type"), F.col("format"), F.col("status")), F.lit(False))
+    judged = j.withColumn("__ok", ok).drop("text", "tokens")
+    return judged.where("__ok").drop("__ok"), judged.where("NOT __ok").drop("__ok")

@@ -107,3 +107,32 @@ def latest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
     """The ``n`` latest rows of each key; ties in ``order`` are broken by its later columns."""
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def attach_enrichment(operations: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """Summary and description of ``fact_id:enrich`` rows where the operation has none."""
+    e = enrichment.select(F.regexp_replace("fact_id", ":enrich$", "").alias("__id"), F.col("summary").alias("__s"), F.col("description").alias("__d")).dropDuplicates(["__id"])
+    j = operations.join(e, F.col("fact_id") == F.col("__id"), "left")
+    filled = lambda own, new: F.coalesce(F.when(F.col(own) != "", F.col(own)), F.col(new))
+    return j.withColumn("summary", filled("summary", "__s")).withColumn("description", filled("description", "__d")).drop("__id", "__s", "__d")
+
+
+def resolve_references(rows: DataFrame, schemas: DataFrame, reference: str) -> DataFrame:
+    """Rows with ``unknown``: their reference names no schema. Rows without a reference are known."""
+    known = schemas.select(F.col("schema_id").alias("__id")).distinct()
+    last = F.substring_index(F.col(reference), "/", -1)
+    return rows.join(known, last == F.col("__id"), "left").withColumn("unknown", (F.coalesce(F.col(reference), F.lit("")) != "") & F.col("__id").isNull()).drop("__id")
+
+
+def catalog_subset(catalog: DataFrame, slices: DataFrame) -> DataFrame:
+    """Catalog rows whose constant name is a token of some slice; slices are reduced to distinct
+    tokens first, so no text is compared with every name."""
+    tokens = slices.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("__t")).distinct()
+    return catalog.join(tokens, F.regexp_extract("symbol", r"([^./]+)$", 1) == F.col("__t"), "left_semi")
+
+
+def security_of(routes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """C17: ``op_key, schemes``: the security schemes of a route's middleware, each once, in its order."""
+    m = routes.select("op_key", F.posexplode("middleware").alias("pos", "middleware"))
+    first = m.join(mapping.select("middleware", "scheme").distinct(), "middleware").groupBy("op_key", "scheme").agg(F.min("pos").alias("pos"))
+    return first.groupBy("op_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "scheme"))), lambda x: x["scheme"]).alias("schemes"))

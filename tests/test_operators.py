@@ -168,3 +168,33 @@ def test_validation(spark):
     with pytest.raises(ValueError):
         V.guard(0, 1, 0, 0, 0)
     assert V.evaluation_failures({"recall": 0.5, "hallucination": 0.2}, 0.9) == ["recall", "hallucination"]
+
+
+def test_attachments(spark):
+    from factweave.functions.text import token_set
+    from factweave.operators import candidates as C
+
+    ops = spark.createDataFrame([("a", "", None), ("b", "own", "own")], "fact_id string, summary string, description string")
+    extra = spark.createDataFrame([("a:enrich", "s", "d"), ("b:enrich", "s", "d")], "fact_id string, summary string, description string")
+    assert rows(J.attach_enrichment(ops, extra)) == [("a", "s", "d"), ("b", "own", "own")]
+    schemas = spark.createDataFrame([("Pet",)], "schema_id string")
+    refs = spark.createDataFrame([("#/s/Pet",), ("Gone",), ("",), (None,)], "ref string")
+    assert rows(J.resolve_references(refs, schemas, "ref")) == [(None, False), ("", False), ("#/s/Pet", False), ("Gone", True)]
+    catalog = spark.createDataFrame([("errs.TooMany",), ("errs.Unused",)], "symbol string")
+    assert rows(J.catalog_subset(catalog, spark.createDataFrame([("return errs.TooMany(x)",), (None,)], "text string"))) == [("errs.TooMany",)]
+    routes = spark.createDataFrame([("o", ["log", "jwt", "key", "jwt2"])], "op_key string, middleware array<string>")
+    mapping = spark.createDataFrame([("jwt", "bearer"), ("jwt2", "bearer"), ("key", "apiKey")], "middleware string, scheme string")
+    assert rows(J.security_of(routes, mapping)) == [("o", ["bearer", "apiKey"])]
+    hits = spark.createDataFrame([("o", "T", 1, False, "200", "b"), ("o", "T", 1, False, "200", "a"), ("o", "T", None, None, "200", None)], "op_key string, type string, code int, failure boolean, status string, sink string")
+    assert rows(C.response_matrix(hits), "code", "hits", "sinks") == [(None, 1, ""), (1, 2, "a, b")]
+    conf = spark.createDataFrame([("o", 0.9), ("p", 0.8)], "op_key string, confidence double")
+    parts = spark.createDataFrame([("o", 0.4, True), ("o", 0.7, False)], "op_key string, confidence double, envelope boolean")
+    assert rows(C.propagate_confidence(conf, parts)) == [("o", 0.7), ("p", 0.8)]
+    ev = spark.createDataFrame([("o", [("source",), ("llm",)]), ("o", [("source",)]), ("p", None)], "op_key string, evidence array<struct<source: string>>")
+    assert [(r.op_key, [e.source for e in r.evidence]) for r in C.operation_evidence(ev).collect()] == [("o", ["llm", "source"])]
+    constants = spark.createDataFrame([("const", "x/errs"), ("const", "x/myerrs"), ("func", "errs")], "kind string, package string")
+    assert rows(E.error_catalog(constants, "errs")) == [("const", "x/errs")]
+    source = spark.createDataFrame([("o", 'q("name") limit')], "op_key string, text string").withColumn("tokens", token_set(F.col("text")))
+    findings = spark.createDataFrame([("o", "limit", "query", "integer", "", 200), ("o", "made_up", "query", "integer", "", 200), ("o", "name", "moon", "string", "", 200), ("z", "limit", "query", "string", "", 200)], "op_key string, name string, location string, type string, format string, status int")
+    good, bad = E.accepted_findings(findings, source)
+    assert rows(good, "name") == [("limit",)] and bad.count() == 3
