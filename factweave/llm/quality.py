@@ -70,6 +70,10 @@ def _latin_kind(s: str, tokens: list[str], common: int) -> str:
         return "prose"
     if "<" in s and _MARKED.search(s) or s[0] in "+|-=" and _BORDER.match(s):
         return "table"
+    if not _WORD.search(s) and len(set(s)) > 3:
+        symbols = len(_SYMBOL.findall(s))
+        if (symbols > 6 or symbols * 2 > len(s)) and (len(s) - symbols - s.count(" ")) * 2 < symbols and not _CLOSING.match(s):
+            return "junk"
     if _COMMENT.match(s):
         return "comment"
     inner_tab = s.count("\t")
@@ -78,19 +82,16 @@ def _latin_kind(s: str, tokens: list[str], common: int) -> str:
         numeric = sum(1 for t in tokens if _NUMERIC.match(t))
         if numeric and numeric * 10 >= 8 * n:
             return "num" if sum(1 for t in tokens if _NUMBER.match(t)) * 10 >= 9 * numeric else "junk"
-    if not _WORD.search(s):
-        symbols = len(_SYMBOL.findall(s))
-        if (symbols > 6 or symbols * 2 > len(s)) and (len(s) - symbols - s.count(" ")) * 2 < symbols and not _CLOSING.match(s):
-            return "junk"
     if (n >= 5 or len(s) > 40) and _NAV_MARK.search(s):
         cells = _SEPARATOR.split(s.strip("|·»›•/>→ "))
         if len(cells) >= 5 and sum(1 for c in cells if _NAV_WORD.match(c)) * 100 >= 85 * len(cells):
             return "junk"
     if first in _HEX_DIGITS and _HEX.match(s):
         return "junk"
-    longest = max(map(len, tokens))
-    if longest >= 36 and (m := _BLOB.search(s)) and len(m[0]) * 2 > len(s) and re.search(r"[A-Z].*\d|\d.*[A-Za-z]|[a-z][A-Z]", m[0]) and "/" not in m[0][:1]:
-        return "junk"
+    if max(map(len, tokens)) >= 36:
+        blobs = "".join(_BLOB.findall(s))
+        if len(blobs) * 2 > len(s) and re.search(r"[A-Z].*\d|\d.*[A-Z]|[a-z][A-Z]", blobs) and not (first == "/" and blobs.islower()):
+            return "junk"
     if inner_tab and common * 3 < n:
         return "table"
     if pipes >= 2 and "||" not in s and not s.endswith((";", "{")):
