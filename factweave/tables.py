@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -12,14 +11,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """Exact repetitions of a row collapse to one; rows that share ``key`` but differ stay.
-
-    Types without equality (maps, variants) are not allowed in ``df``.
-    """
-    return df.dropDuplicates() if key not in df.columns else df.dropDuplicates(df.columns)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input over all cores, for work that costs far more CPU than a shuffle of it.
 
@@ -49,5 +40,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-__all__ = ["F", "cut_lineage", "distinct_rows", "spread", "table"]
