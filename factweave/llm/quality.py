@@ -4,6 +4,12 @@ One pass over the corpus, no shuffle: every text is split into lines, each line
 own shape, lines without a clear shape take that of their neighbours, repeated lines and words are
 counted, and the shares of characters by kind decide the form. Common words of all languages are
 one set: the language columns of a corpus are unreliable.
+
+A word is a whitespace run; Han text has no blanks, so a run that holds Han characters is cut further
+(``Form.split``): the longest common word that starts at a character is one word, any other Han
+character is a word of its own, and what stands between is a word from its first to its last letter or digit. Word
+count, mean length, common words and pairs all count these words. The kinds of lines go by layout and
+keep whitespace runs, and fixed function words for Han lines.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from factweave.tables import spread
 MAX_COMMON_WORDS = 100_000
 
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
+_HAN_CHARS = "\u3005\u3007\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAN = re.compile(f"[{_HAN_CHARS}]")
+_HAN_PIECE = re.compile(f"[{_HAN_CHARS}]+|[^{_HAN_CHARS}]+")
 _SYMBOL = re.compile(r"[^\w\s]")
 _WIDE_SYMBOL = re.compile(r"[^\w\s\x00-\x7f]")
 _NOT_ASCII_SYMBOL = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() or chr(c).isspace() or c == 95)
@@ -58,6 +67,7 @@ _ZH_FUNCTION = re.compile("我们|他们|它们|因为|所以|但是|如果|没
 _CONTROL = re.compile("[\u0080-\u009f]")
 _VOWEL = re.compile("[aeiouyáéíóúàèìòùâêîôûäëïöüœæåø]")
 _LETTER = re.compile(r"[^\W\d_]")
+_SPOKEN = re.compile(r"[^\W_](?:.*[^\W_])?")
 
 
 def _latin_kind(s: str, tokens: list[str], common: int) -> str:
@@ -169,8 +179,31 @@ class Form:
 
     def __init__(self, words: frozenset[str]):
         self.words = words
+        self._longer: dict[str, list[str]] = {}  # common Han words of several characters by their first
+        for w in sorted(words, key=len, reverse=True):
+            if len(w) > 1 and all(map(_HAN.match, w)):
+                self._longer.setdefault(w[0], []).append(w)
         self._kinds: dict[str, str] = {}  # of short lines, which recur; emptied when full
 
+    def split(self, tokens: list[str]) -> list[str]:
+        """The words of whitespace runs: runs without Han characters as they are, others cut."""
+        words = []
+        for token in tokens:
+            if token.isascii() or not _HAN.search(token):
+                words.append(token)
+                continue
+            for piece in _HAN_PIECE.findall(token):
+                if not _HAN.match(piece):
+                    if spoken := _SPOKEN.search(piece):
+                        words.append(spoken[0])
+                    continue
+                at = 0
+                while at < len(piece):
+                    word = next((w for w in self._longer.get(piece[at], ()) if piece.startswith(w, at)), piece[at])
+                    words.append(word)
+                    at += len(word)
+        return words
+
     def read(self, text: str | None) -> tuple:
         """The statistics of ``STATISTICS`` in order. Null, empty and blank texts have no form."""
         text = text or ""
@@ -181,7 +214,7 @@ class Form:
         paragraphs: Counter = Counter()
         paragraph = n_words = n_common = n_ends = word_chars = 0
         block: list[str] = []
-        all_tokens: list[str] = []
+        all_words: list[str] = []
         for line in text.split("\n"):
             s = line.strip()
             if not s:
@@ -195,11 +228,12 @@ class Form:
             common = sum(map(has, tokens))
             n = len(tokens)
             visible = len("".join(tokens))
-            n_words += n
-            n_common += common
-            word_chars += visible
+            words = tokens if s.isascii() else self.split(tokens)
+            n_words += len(words)
+            n_common += common if words is tokens else sum(map(has, words))
+            word_chars += visible if words is tokens else sum(map(len, words))
             seen[s] += 1
-            all_tokens += tokens
+            all_words += words
             if s[-1] in ".!?:;。！？：；…":
                 n_ends += 1
             if n >= 8 and common * 4 >= n and s[0].isalpha() and s[-1] not in "{};" and "=" not in s:
@@ -216,7 +250,6 @@ class Form:
                 kind = _latin_kind(s, tokens, common)
             else:
                 kind = _cjk_kind(s, cjk)
-                n_common += len(_ZH_FUNCTION.findall(s))
             kinds.append([kind, visible, paragraph, s])
         if block:
             paragraphs["\n".join(block)] += 1
@@ -229,7 +262,7 @@ class Form:
         shares = dict.fromkeys(("prose", "list", "table", "code", "junk"), 0)
         for kind, chars, _, _ in kinds:
             shares[kind] += chars
-        pairs = Counter(zip(all_tokens, all_tokens[1:], strict=False)) if n_words > 3 else Counter()
+        pairs = Counter(zip(all_words, all_words[1:], strict=False)) if n_words > 3 else Counter()
         top, times = pairs.most_common(1)[0] if pairs else (("", ""), 0)
         coverage = min(1.0, times * (len(top[0]) + len(top[1])) / total) if times > 1 else 0.0
         duplicate = sum(k - 1 for k in seen.values()) / n_lines
@@ -299,7 +332,8 @@ def quality_statistics(documents: DataFrame, common_words: DataFrame, key: str =
     """``key`` and ``STATISTICS`` of every text.
 
     ``form`` is list, table, code or junk where less than half of the visible characters are natural
-    prose, else null; null, empty and blank texts have zeros and no form. ``top_ngram_coverage`` is
+    prose, else null; null, empty and blank texts have zeros and no form. Words are whitespace runs, in
+    Han text common words and else single characters; ``common_word_share`` is within 0..1. ``top_ngram_coverage`` is
     the share of visible characters in the commonest word pair. Repeated rows give repeated rows.
     """
     rows = common_words.select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().limit(MAX_COMMON_WORDS + 1).collect()

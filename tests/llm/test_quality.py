@@ -74,3 +74,15 @@ def test_statistics(spark):
     assert got[4].duplicate_line_share > 0.99
     assert len(rows(quality_statistics(docs.unionAll(docs), common), "doc_id")) == 12
     assert quality_statistics(docs.limit(0), common.limit(0)).count() == 0
+
+
+def test_chinese_words():
+    words = frozenset(["的", "我们", "没有", "没", "index"])
+    text = "我们没有旧的路由，index的"
+    assert Form(words).split(text.split()) == ["我们", "没有", "旧", "的", "路", "由", "index", "的"]
+    count, length, _, _, common, *_ = Form(words).read(text)
+    assert (count, length, common) == (8, 14 / 8, 5 / 8)
+    assert Form(words).read("的的的的 的的。")[:5:4] == (6, 1.0)
+    assert Form(words).read("我们路由 我们路由 我们路由")[7] >= 0.75
+    assert Form(words).read("「，」旧")[0] == 1
+    assert Form(words).read("，。、")[:2] == (1, 3.0)
