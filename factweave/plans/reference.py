@@ -330,14 +330,27 @@ def list_difference(spark: SparkSession, d: str) -> DataFrame:
     """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 45 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity < 5),
 r AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY 1"""
 )
-def forward_reach(spark: SparkSession, d: str) -> DataFrame:
-    """H1: what one supplier reaches over parts within four steps."""
+def text_reach(spark: SparkSession, d: str) -> DataFrame:
+    """H2: what one supplier reaches over parts within four steps, by large and small quantities only."""
     l = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity")  # noqa: E741
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     edges = l.where("l_quantity > 45").select(s.alias("caller"), p.alias("callee")).unionByName(l.where("l_quantity < 5").select(p.alias("caller"), s.alias("callee")))
     return G.forward_reach(edges, spark.createDataFrame([("s1",)], "node string"), 4)
 
 
+@REFERENCE.add(
+    """WITH RECURSIVE e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+r AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = node WHERE depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY 1"""
+)
+def forward_reach(spark: SparkSession, d: str) -> DataFrame:
+    """H1: what one supplier reaches over parts and suppliers within twelve steps; every row of lineitem
+    is an edge from its supplier to its part and one back."""
+    l = table(spark, d, "lineitem", "l_suppkey", "l_partkey").distinct()  # noqa: E741
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    edges = l.select(F.inline(F.array(F.struct(s.alias("caller"), p.alias("callee")), F.struct(p.alias("caller"), s.alias("callee")))))
+    return G.forward_reach(edges, spark.createDataFrame([("s1",)], "node string"), G.REACH)
+
+
 @REFERENCE.add("SELECT c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
 def closure_filter(spark: SparkSession, d: str) -> DataFrame:
     """H3: customers in the closure of one region."""

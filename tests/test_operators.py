@@ -122,6 +122,18 @@ def test_reach(spark, cap):
     assert dict(rows(G.forward_reach(e, seeds, cap))) == bfs(edges, ["1", "7"], cap)
 
 
+def test_reach_of_whole_table(spark, tmp_path):
+    from __spark_entry__ import oracle_sql, queries
+
+    pairs = [(k, k, 10.0 + k % 40) for k in range(1, 10)] + [(k + 1, k, 20.0) for k in range(1, 10)] + [(40, 41, 1.0)]
+    spark.createDataFrame(pairs * 2, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    both = [e for s, p, _ in pairs for e in ((f"s{s}", f"p{p}"), (f"p{p}", f"s{s}"))]
+    got = dict(rows(queries()["forward_reach"](spark, str(tmp_path))))
+    assert got == bfs(both, ["s1"], 12)
+    assert max(got.values()) == 12 and got["s7"] == 12 and "p7" not in got and len(got) == 13
+    assert "depth < 4" in oracle_sql()["text_reach"]
+
+
 def test_graph_rest(spark):
     e = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x")], "use string, def string")
     labels = spark.createDataFrame([("z", "nil")], "node string, label string")
