@@ -18,84 +18,93 @@ def _follow(frontier: DataFrame, nodes: DataFrame, hops: int = 8) -> DataFrame:
     """Replaces nodes that are references by the root of their target; a reference adds no level.
 
     At most ``hops`` references in a row are followed; a missing target leaves the node as it is.
+    Other columns stay.
     """
     roots = nodes.where("path = ''").select(F.col("schema_id").alias("__id"), F.col("type").alias("__type"), F.col("open").alias("__open"), F.col("ref").alias("__ref"))
+    found = F.col("__id").isNotNull()
+    target = {
+        "schema_id": F.when(found, F.col("__id")).otherwise(F.col("schema_id")),
+        "path": F.when(found, F.lit("")).otherwise(F.col("path")),
+        "type": F.when(found, F.col("__type")).otherwise(F.col("type")),
+        "open": F.when(found, F.col("__open")).otherwise(F.col("open")),
+        "ref": F.when(found, F.col("__ref")),
+    }
     for _ in range(hops):
-        pending = frontier.where(F.col("ref").isNotNull())
-        if pending.isEmpty():
+        if frontier.where(F.col("ref").isNotNull()).isEmpty():
             break
         j = frontier.join(roots, F.col("ref") == F.col("__id"), "left")
-        found = F.col("__id").isNotNull()
-        frontier = cut_lineage(
-            j.select(
-                "owner",
-                "prefix",
-                F.when(found, F.col("__id")).otherwise(F.col("schema_id")).alias("schema_id"),
-                F.when(found, F.lit("")).otherwise(F.col("path")).alias("path"),
-                F.when(found, F.col("__type")).otherwise(F.col("type")).alias("type"),
-                F.when(found, F.col("__open")).otherwise(F.col("open")).alias("open"),
-                "required",
-                F.when(found, F.col("__ref")).alias("ref"),
-            )
-        )
+        frontier = cut_lineage(j.select(*[target[c].alias(c) if c in target else F.col(c) for c in frontier.columns]))
     return frontier
 
 
+def _branches(composed: DataFrame, tree: DataFrame, most: int) -> DataFrame:
+    """Per node (``__from, __at``) all branches below it (``__to, __to_path, __to_open``), through up to
+    ``most`` compositions in a row.
+
+    ``rank`` orders branches of all_of within one ``variant``, which is the last branch of one_of or
+    any_of on the way; it is longer, so later, for a branch of a branch than for that branch.
+    """
+    none = F.array().cast("array<int>")
+    merged = F.col("edge") == "all_of"
+    composed = cut_lineage(composed)
+    at = (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p"))
+    now = composed.select(F.col("__id").alias("__from"), F.col("__p").alias("__at"), F.col("__id").alias("schema_id"), F.col("__p").alias("path"), none.alias("rank"), F.lit("").alias("variant")).distinct()
+    found = None
+    for _ in range(most):
+        step = now.join(composed, at).select(
+            "__from", "__at", F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), F.col("__ref").alias("ref"),
+            F.when(merged, F.concat("rank", F.array("ordinal"))).otherwise(none).alias("rank"),
+            F.when(merged, F.col("variant")).otherwise(F.concat("__id", F.lit("#"), "__path")).alias("variant"),
+        )
+        now = _follow(cut_lineage(step.distinct()), tree)
+        found = now if found is None else found.unionByName(now)
+        if now.isEmpty():
+            break
+    return cut_lineage(found.select("__from", "__at", F.col("schema_id").alias("__to"), F.col("path").alias("__to_path"), F.col("open").alias("__to_open"), "rank", "variant").distinct())
+
+
 def flatten(nodes: DataFrame, depth: int = FLATTEN_DEPTH) -> tuple[DataFrame, DataFrame]:
     """H5-H7: (``owner, field, type, required``, ``owner, prefix`` of open objects).
 
     Fields of a node are its properties, those of its ``all_of`` branches (a later branch overrides an
-    earlier one), and the union of those of its ``one_of`` and ``any_of`` branches. ``[]`` stands for
-    items. References are resolved and do not count as a level; deeper fields are left out.
+    earlier one, however deep the branches lie; required if any of them says so), and the union of
+    those of its ``one_of`` and ``any_of`` branches. An object is open if it or one of the latter is.
+    ``[]`` stands for items. References and compositions do not count as a level; fields deeper than
+    ``depth`` levels are left out, and so are branches under more than ``depth + 1`` compositions in a
+    row, which is as far as the reference merges and ends those that contain themselves.
     """
     tree = cut_lineage(nodes.select("schema_id", "path", "parent_path", "edge", "name", "ordinal", "type", "required", "open", "ref"))
     frontier = tree.where("path = ''").select(F.col("schema_id").alias("owner"), F.lit("").alias("prefix"), "schema_id", "path", "type", "open", "required", "ref")
+    frontier = _follow(frontier, tree)
+    child = tree.select(F.col("schema_id").alias("__id"), F.col("parent_path").alias("__p"), "edge", "name", "ordinal", F.col("path").alias("__path"), F.col("type").alias("__type"), F.col("open").alias("__open"), F.col("required").alias("__req"), F.col("ref").alias("__ref"))
+    below = child.where(F.col("edge").isin("properties", "items"))
+    at = (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p"))
+    branches = _branches(child.where(F.col("edge").isin("all_of", "one_of", "any_of")), tree, depth + 1)
     fields = opened = None
     for level in range(depth + 1):
-        frontier = _follow(cut_lineage(frontier), tree)
-        here = frontier.where(F.coalesce("open", F.lit(False))).select("owner", "prefix").distinct()
+        own = frontier.select("owner", "prefix", "schema_id", "path", "open", F.array().cast("array<int>").alias("rank"), F.lit("").alias("variant"))
+        composed = frontier.join(branches, (F.col("schema_id") == F.col("__from")) & (F.col("path") == F.col("__at"))).select("owner", "prefix", F.col("__to").alias("schema_id"), F.col("__to_path").alias("path"), F.col("__to_open").alias("open"), "rank", "variant")
+        united = own.unionByName(composed)
+        here = united.where(F.coalesce("open", F.lit(False)) & (F.size("rank") == 0)).select("owner", "prefix").distinct()
         opened = here if opened is None else opened.unionByName(here)
         if level == depth:
             break
-        # branches of all_of, one_of and any_of belong to the node itself
-        branches, groups = frontier, [frontier.withColumn("rank", F.lit(-1))]
-        child = tree.select(F.col("schema_id").alias("__id"), F.col("parent_path").alias("__p"), "edge", "name", "ordinal", F.col("path").alias("__path"), F.col("type").alias("__type"), F.col("open").alias("__open"), F.col("required").alias("__req"), F.col("ref").alias("__ref"))
-        for _ in range(3):
-            under = branches.join(child.where(F.col("edge").isin("all_of", "one_of", "any_of")), (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p")))
-            rank = F.when(F.col("edge") == "all_of", F.col("ordinal")).otherwise(F.lit(-1))
-            branches = under.select("owner", "prefix", F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), "required", F.col("__ref").alias("ref"), rank.alias("rank"))
-            branches = _follow_ranked(cut_lineage(branches), tree)
-            if branches.isEmpty():
-                break
-            groups.append(branches)
-        united = groups[0]
-        for g in groups[1:]:
-            united = united.unionByName(g)
-        step = united.join(child.where(F.col("edge").isin("properties", "items")), (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p")))
+        step = united.join(below, at)
         dotted = F.when(F.col("edge") == "items", F.concat("prefix", F.lit("[]"))).when(F.col("prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "prefix", "name"))
-        rows = step.select("owner", dotted.alias("prefix"), F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), F.coalesce("__req", F.lit(False)).alias("required"), F.col("__ref").alias("ref"), "rank", "edge")
-        latest = rows.groupBy("owner", "prefix").agg(F.max("rank").alias("__top"))
-        frontier = cut_lineage(rows.join(latest, ["owner", "prefix"]).where(F.col("rank") == F.col("__top")).drop("rank", "__top").distinct())
+        rows = step.select("owner", dotted.alias("prefix"), F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), F.coalesce("__req", F.lit(False)).alias("required"), F.col("__ref").alias("ref"), "rank", "variant")
+        key = ["owner", "prefix", "variant"]
+        latest = rows.groupBy(*key).agg(F.max("rank").alias("__top"), F.bool_or("required").alias("__req"))
+        frontier = cut_lineage(rows.drop("required").join(latest, key).where(F.col("rank") == F.col("__top")).withColumnRenamed("__req", "required").drop("rank", "__top", "variant").distinct())
         if frontier.isEmpty():
             break
-        resolved = _follow(frontier.drop("edge"), tree)
-        found = resolved.where(~F.endswith("prefix", F.lit("[]"))).select("owner", F.col("prefix").alias("field"), F.coalesce("type", F.lit("object")).alias("type"), "required").distinct()
-        items = resolved.where(F.endswith("prefix", F.lit("[]"))).select("owner", F.col("prefix").alias("field"), F.coalesce("type", F.lit("object")).alias("type"), F.lit(False).alias("required")).distinct()
-        both = found.unionByName(items)
+        frontier = _follow(frontier, tree)
+        item = F.endswith("prefix", F.lit("[]"))
+        both = frontier.select("owner", F.col("prefix").alias("field"), F.coalesce("type", F.lit("object")).alias("type"), (F.col("required") & ~item).alias("required")).distinct()
         fields = both if fields is None else fields.unionByName(both)
-        frontier = resolved
     empty = nodes.sparkSession.createDataFrame([], "owner string, field string, type string, required boolean")
     return (fields.distinct() if fields is not None else empty), opened.distinct()
 
 
-def _follow_ranked(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``_follow`` for rows that carry a branch rank."""
-    roots = nodes.where("path = ''").select(F.col("schema_id").alias("__id"), F.col("type").alias("__type"), F.col("open").alias("__open"))
-    j = frontier.join(roots, F.col("ref") == F.col("__id"), "left")
-    found = F.col("__id").isNotNull()
-    return j.select("owner", "prefix", F.when(found, F.col("__id")).otherwise(F.col("schema_id")).alias("schema_id"), F.when(found, F.lit("")).otherwise(F.col("path")).alias("path"), F.when(found, F.col("__type")).otherwise(F.col("type")).alias("type"), F.when(found, F.col("__open")).otherwise(F.col("open")).alias("open"), "required", F.lit(None).cast("string").alias("ref"), "rank")
-
-
 def field_triples(fields: DataFrame) -> DataFrame:
     """H5: ``owner, triple`` with ``path|type|required`` (``required`` or ``optional``)."""
     return fields.select("owner", F.concat_ws("|", "field", "type", F.when(F.col("required"), "required").otherwise("optional")).alias("triple"))

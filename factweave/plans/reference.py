@@ -19,7 +19,10 @@ from factweave.operators import joins as J
 from factweave.operators import metrics as M
 from factweave.operators import ordering as O
 from factweave.operators import validate as V
+from factweave.operators.nested import latest_documents
+from factweave.operators.schema_tree import field_triples, flatten
 from factweave.plans.registry import Registry
+from factweave.sources.documents import schema_rows
 from factweave.tables import table
 
 REFERENCE = Registry()
@@ -378,12 +381,25 @@ def method_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 @REFERENCE.add("SELECT DISTINCT k AS path, json_type(v) AS type FROM (SELECT unnest(json_keys(props)) AS k, json_extract(props, '$.' || unnest(json_keys(props))) AS v FROM events)".replace("json_type(v)", "CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN json_type(v) = 'VARCHAR' THEN 'string' ELSE lower(json_type(v)) END"))
 def json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """H5 on free objects: paths and types in the event properties."""
+    """Paths and types of the first level of the event properties, which are free objects without a schema."""
     rows = table(spark, d, "events", "props").select(F.try_parse_json("props").alias("v"))
     flat = spark.sql("SELECT e.key AS path, schema_of_variant(e.value) AS t FROM {rows} r, LATERAL variant_explode(r.v) AS e(pos, key, value)", rows=rows)
     return flat.select("path", F.when(F.col("t") == "BIGINT", "integer").when(F.col("t") == "STRING", "string").otherwise(F.lower("t")).alias("type")).distinct()
 
 
+@REFERENCE.add()
+def schema_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """H5, H6: ``path|type|required`` of every readable tree of raw_schemas, all versions; a reference
+    means the newest readable version of its schema."""
+    raw = table(spark, d, "raw_schemas")
+    roots = latest_documents(raw, "raw_id", "schema_json", ["received_at"])
+    ids = raw.join(roots.select("raw_id"), "raw_id", "left_semi").groupBy("raw_id").agg(F.max(F.struct("received_at", "schema_id")).alias("v")).select("raw_id", "v.*")
+    newest = ids.where("schema_id IS NOT NULL").groupBy(F.col("schema_id").alias("ref")).agg(F.max(F.struct("received_at", "raw_id"))["raw_id"].cast("string").alias("__target"))
+    nodes = schema_rows(roots.select(F.col("raw_id").cast("string").alias("schema_id"), "node"))
+    fields, _ = flatten(nodes.join(newest, "ref", "left").drop("ref").withColumnRenamed("__target", "ref"))
+    return field_triples(fields).select(F.col("owner").cast("long").alias("raw_id"), "triple").join(ids, "raw_id").select("schema_id", "raw_id", "triple")
+
+
 @REFERENCE.add("SELECT key AS op_key, count(*) AS snapshots, count(DISTINCT json_extract_string(value, '$.state')) AS states FROM (SELECT DISTINCT fingerprint, graph_json FROM contract_graph_cache WHERE graph_json IS NOT NULL) g, json_each(g.graph_json, '$.operations') GROUP BY 1")
 def snapshot_operations(spark: SparkSession, d: str) -> DataFrame:
     """Operations over the saved graph snapshots."""

@@ -105,6 +105,47 @@ def test_flatten(spark):
     assert rows(opened) == [("Open", "extra")]
 
 
+def test_flatten_nested_compositions(spark):
+    deep = {"properties": {"deep": {"type": "string"}}}
+    for k in range(7):
+        deep = {("allOf", "oneOf", "anyOf")[k % 3]: [{"properties": {f"p{k}": {"type": "string"}}}, deep]}
+    string, integer = {"type": "string"}, {"type": "integer"}
+    schemas = {
+        "Deep": deep,
+        "Order": {"allOf": [{"allOf": [{"properties": {"x": string}}, {"required": ["x"], "properties": {"x": string}}]}, {"properties": {"x": integer}}]},
+        "Union": {"oneOf": [{"allOf": [{"properties": {"y": string}}, {"properties": {"y": integer}}]}, {"allOf": [{"properties": {"y": {"type": "boolean"}}}]}]},
+        "Self": {"allOf": [{"$ref": "#/s/Self"}, {"properties": {"z": string}}]},
+        "Alias": {"$ref": "#/s/Aim"},
+        "Aim": {"properties": {"w": string}},
+        "Far": {"allOf": [{"$ref": "#/s/Alias"}]},
+        "Wide": {"anyOf": [{"additionalProperties": True}]},
+    }
+    fields, opened = flatten(nodes_of(spark, schemas))
+    got = {}
+    for owner, triple in rows(field_triples(fields)):
+        got.setdefault(owner, []).append(triple)
+    assert got["Deep"] == ["deep|string|optional"] + [f"p{k}|string|optional" for k in range(7)]
+    assert got["Order"] == ["x|integer|required"]
+    assert got["Union"] == ["y|boolean|optional", "y|integer|optional"]
+    assert got["Self"] == ["z|string|optional"]
+    assert got["Far"] == ["w|string|optional"]
+    assert rows(opened) == [("Wide", "")]
+
+
+def test_flatten_query(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    tree = {"properties": {"a": {"type": "string"}, "b": {"$ref": "#/x/S2"}}}
+    for _ in range(5):
+        tree = {"all_of": [tree]}
+    old, new = {"properties": {"old": {"types": ["string"]}}}, {"properties": {"new": {"type": "integer"}}, "required": ["new"]}
+    given = [(1, "S1", json.dumps(tree), 1), (1, "S1", json.dumps(tree), 1), (2, "S2", json.dumps(old), 1), (3, "S2", json.dumps(new), 2), (4, "S2", "{", 3), (5, None, None, 1)]
+    spark.createDataFrame(given, "raw_id long, schema_id string, schema_json string, received_at long").write.parquet(str(tmp_path / "raw_schemas.parquet"))
+    assert rows(queries()["schema_flatten"](spark, str(tmp_path))) == [
+        ("S1", 1, "a|string|optional"), ("S1", 1, "b.new|integer|required"), ("S1", 1, "b|object|optional"), ("S2", 2, "old|string|optional"), ("S2", 3, "new|integer|required"),
+    ]
+
+
 def test_shapes_and_edits(spark):
     nodes = nodes_of(spark, {"A": {"properties": {"x": {"type": "string"}}}, "B": {"properties": {"x": {"type": "string"}}}, "C": {"properties": {"x": {"additionalProperties": {"type": "string"}}}}})
     shapes = dict(rows(canonical_shapes(nodes)))
