@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factweave.functions.text import PARAM_LOCATIONS, SCALAR_TYPES, name_in_source, template_names
+from factweave.functions.text import PARAM_LOCATIONS, SCALAR_TYPES, name_in_source, template_names, token_set
+from factweave.tables import cut_lineage
 
 #: String formats that proposals may use.
 FORMATS = ["", "int32", "int64", "float", "double", "byte", "binary", "date", "date-time", "uuid", "email", "uri", "password"]
@@ -86,20 +87,58 @@ def line_windows(lines: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def verify_routes(routes: DataFrame, lines: DataFrame, methods: Sequence[str] = ("GET", "PUT", "POST", "DELETE", "PATCH", "HEAD", "OPTIONS", "TRACE")) -> DataFrame:
-    """Routes whose method is allowed, whose line exists, and whose path literal and handler
-    name stand within two lines of it."""
-    w = line_windows(lines).select(F.col("file").alias("__f"), F.col("line_no").alias("__l"), "window")
-    literal = F.regexp_replace("path", r"\{[^{}]*\}.*$", "")
-    return routes.join(w, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l"))).where(F.upper("method").isin(list(methods)) & F.contains("window", literal) & F.contains("window", F.col("handler"))).drop("__f", "__l", "window")
+    """Routes whose method is allowed and whose line exists, with a literal within two lines of it
+    that is a suffix of the path; what is before it (mounts, groups) stands in literals of any lines.
+
+    The handler's last name stands within the two lines; an inline or unnamed one needs no name.
+    """
+    w = line_windows(lines).select(F.col("file").alias("__f"), F.col("line_no").alias("__l"), "window").distinct()
+    name = F.trim(F.coalesce("handler", F.lit("")))
+    short = F.regexp_extract(name, r"([^.:]*)$", 1)
+    named = (F.lower(name).isin("", "inline")) | name_in_source(short, F.col("window"), token_set(F.col("window")))
+    j = routes.join(w, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l")))
+    # cut, for the optimizer loses the path when it infers filters of the lambda below the join
+    j = cut_lineage(j.where(F.upper(F.trim("method")).isin(list(methods)) & F.startswith("path", F.lit("/")) & named))
+    j = cut_lineage(j.withColumn("__lit", longest_suffix_literal(F.col("window"), F.col("path")))).where("__lit IS NOT NULL")
+    j = j.withColumn("__prefix", F.expr("left(path, length(path) - length(__lit))"))
+    alone = F.col("__prefix").isin("", "/")
+    mounted = prefixes_in_literals(j.where(~alone).select(F.col("__prefix").alias("prefix")), lines)
+    kept = j.where(alone).unionByName(j.where(~alone).join(mounted.withColumnRenamed("prefix", "__prefix"), "__prefix", "left_semi"))
+    return kept.select(*routes.columns)
+
+
+def string_literals(text: Column) -> Column:
+    """The contents of the quoted literals of a text, in order."""
+    quoted = F.regexp_extract_all(text, F.lit("\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))
+    return F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
 
 def longest_suffix_literal(window: Column, path: Column) -> Column:
     """The longest quoted literal that is a suffix of the path at a segment boundary; null if none."""
-    literals = F.regexp_extract_all(window, F.lit("[\"'`](/[^\"'`]*)[\"'`]"), F.lit(1))
-    fit = F.filter(literals, lambda x: F.endswith(path, x))
+    boundary = lambda x: (x == path) | F.startswith(x, F.lit("/")) | F.endswith(path, F.concat(F.lit("/"), x))
+    fit = F.filter(string_literals(window), lambda x: (x != "") & F.endswith(path, x) & boundary(x))
     return F.array_max(F.transform(fit, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
 
 
+def prefixes_in_literals(prefixes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The distinct ``prefix`` that are a row of literals starting with ``/``, each anywhere in the lines.
+
+    Each round takes a literal off the end of what remains; a slash at the end of either is ignored.
+    Remainders get shorter in every round, so that the loop ends.
+    """
+    literals = lines.select(F.explode(string_literals(F.col("text"))).alias("__lit")).select(F.regexp_replace("__lit", "/$", "").alias("__lit")).where(F.startswith("__lit", F.lit("/"))).distinct()
+    literals = cut_lineage(literals)
+    rest = cut_lineage(prefixes.where("prefix IS NOT NULL").distinct().withColumn("rest", F.col("prefix")))
+    found = prefixes.sparkSession.createDataFrame([], "prefix string")
+    while not rest.isEmpty():
+        cut = rest.withColumn("rest", F.regexp_replace("rest", "/$", "")).where("rest <> ''").withColumn("__at", F.explode(F.expr("filter(sequence(1, length(rest)), i -> substring(rest, i, 1) = '/')")))
+        cut = cut.withColumn("__lit", F.expr("substring(rest, __at)")).join(literals, "__lit", "left_semi")
+        cut = cut_lineage(cut.select("prefix", F.expr("left(rest, __at - 1)").alias("rest")).distinct())
+        found = found.unionByName(cut.where("rest = ''").select("prefix"))
+        rest = cut.where("rest <> ''")
+    return found.distinct()
+
+
 def first_match(lines: DataFrame, keys: DataFrame, needle: str) -> DataFrame:
     """C20: per row of ``keys`` (with its ``file``) the first line of the file that holds the needle."""
     joined = keys.join(lines, "file").where(F.contains("text", F.col(needle)))

@@ -101,6 +101,19 @@ def test_names_and_windows(spark):
     assert rows(O.constant_before(lines, r"= (\d+)"), "line_no", "constant") == [(1, None), (2, "4"), (4, None)]
 
 
+def test_routes_under_mounts(spark):
+    text = {("m", 1): "app.use('/api', v1)", ("m", 2): "v1.use(\"/v2/\", users)", ("r", 1): "users.get('/list/{id}', ctl.list)", ("r", 9): "users.post('items', (q) => 1)"}
+    lines = spark.createDataFrame([(f, n, t) for (f, n), t in text.items()], "file string, line_no int, text string")
+    given = [
+        ("GET", "/list/{id}", 1, "ctl.list"), ("get", "/api/v2/list/{id}", 1, "ctl.list"), ("POST", "/api/v2/items", 9, "inline"), ("POST", "/v2/items", 9, None),
+        ("GET", "/other/list/{id}", 1, "ctl.list"), ("GET", "/api/v2/list/{id}", 1, "missing"), ("CONNECT", "/list/{id}", 1, "list"), ("GET", "/list/{id}", 7, "list"), ("GET", "/x/{id}", 1, "list"),
+    ]
+    routes = spark.createDataFrame([("r", *g) for g in given], "file string, method string, path string, line int, handler string")
+    kept = E.verify_routes(routes, lines)
+    assert kept.columns == routes.columns
+    assert rows(kept, "method", "path", "line", "handler") == rows(routes.limit(4), "method", "path", "line", "handler")
+
+
 def bfs(edges, seeds, cap):
     depth = {s: 0 for s in seeds}
     todo = list(seeds)
