@@ -15,8 +15,9 @@ keep whitespace runs, and fixed function words for Han lines.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from factweave.tables import spread
 
 #: Bound of the word list that travels to the executors (the shipped table is fixed and small).
 MAX_COMMON_WORDS = 100_000
+#: Words of the longest phrase whose coverage is counted; a longer one is seen by its first 16 words.
+MAX_PHRASE = 16
 
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
 _HAN_CHARS = "\u3005\u3007\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -174,6 +177,41 @@ def _cjk_kind(s: str, cjk: int) -> str:
     return "prose" if words * 25 >= cjk else "list"
 
 
+def _phrase_coverage(words: list[str]) -> tuple[int, int]:
+    """Most characters that one repeated phrase of 2 to ``MAX_PHRASE`` words covers, counted without
+    overlap; and the same of the phrases that come four times or more.
+
+    A phrase is looked at only where its first words, all but the last, are repeated too.
+    """
+    ends = list(accumulate(map(len, words), initial=0))
+    best = loop = 0
+    at: list[int] = list(range(len(words) - 1))
+    grams: list[tuple] = list(zip(words, words[1:], strict=False))
+    for n in range(2, MAX_PHRASE + 1):
+        counts = Counter(grams)
+        places: dict[tuple, list[int]] = defaultdict(list)
+        for i, g in zip(at, grams, strict=True):
+            if counts[g] > 1:
+                places[g].append(i)
+        for p in places.values():
+            size = ends[p[0] + n] - ends[p[0]]
+            if len(p) * size > min(best, loop):
+                times = free = 0
+                for i in p:
+                    if i >= free:
+                        times, free = times + 1, i + n
+                if times > 1:
+                    best = max(best, times * size)
+                if times > 3:
+                    loop = max(loop, times * size)
+        nexts = sorted((i, k) for k, p in enumerate(places.values()) for i in p if i + n < len(words))
+        if not nexts:
+            break
+        at = [i for i, _ in nexts]
+        grams = [(k, words[i + n]) for i, k in nexts]
+    return best, loop
+
+
 class Form:
     """Reads texts; ``words`` are the common words of all languages."""
 
@@ -262,18 +300,17 @@ class Form:
         shares = dict.fromkeys(("prose", "list", "table", "code", "junk"), 0)
         for kind, chars, _, _ in kinds:
             shares[kind] += chars
-        pairs = Counter(zip(all_words, all_words[1:], strict=False)) if n_words > 3 else Counter()
-        top, times = pairs.most_common(1)[0] if pairs else (("", ""), 0)
-        coverage = min(1.0, times * (len(top[0]) + len(top[1])) / total) if times > 1 else 0.0
+        most, looped = _phrase_coverage(all_words) if n_words > 3 else (0, 0)
+        coverage = most / total
         duplicate = sum(k - 1 for k in seen.values()) / n_lines
         n_paragraphs = sum(paragraphs.values())
         twice = sum(k - 1 for k in paragraphs.values()) / n_paragraphs
         form = None
-        if shares["prose"] * 2 < total:
-            if n_words >= 8 and coverage > 0.8:
-                form = "junk"
-            else:
-                form = max(("junk", "table", "code", "list"), key=lambda k: shares[k])
+        again = sum((k - 1) * len("".join(s.split())) for s, k in seen.items())
+        if n_words >= 8 and (looped > 0.8 * total or n_lines >= 8 and min(duplicate, again / total) > 0.8 or n_paragraphs >= 8 and twice > 0.8):
+            form = "junk"  # a phrase, lines or paragraphs over and over, whatever they say
+        elif shares["prose"] * 2 < total:
+            form = max(("junk", "table", "code", "list"), key=lambda k: shares[k])
         symbols = len(text.encode("utf-8", "replace").translate(None, _NOT_ASCII_SYMBOL)) + (0 if text.isascii() else len(_WIDE_SYMBOL.findall(text)))
         return (n_words, word_chars / n_words, symbols / total, n_ends / n_lines, n_common / n_words, duplicate, twice, coverage, *(shares[k] / total for k in ("prose", "list", "table", "code", "junk")), form)
 
@@ -334,7 +371,7 @@ def quality_statistics(documents: DataFrame, common_words: DataFrame, key: str =
     ``form`` is list, table, code or junk where less than half of the visible characters are natural
     prose, else null; null, empty and blank texts have zeros and no form. Words are whitespace runs, in
     Han text common words and else single characters; ``common_word_share`` is within 0..1. ``top_ngram_coverage`` is
-    the share of visible characters in the commonest word pair. Repeated rows give repeated rows.
+    the greatest share of visible characters that one phrase of 2 to 16 words, repeated, covers without overlap. Repeated rows give repeated rows.
     """
     rows = common_words.select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().limit(MAX_COMMON_WORDS + 1).collect()
     if len(rows) > MAX_COMMON_WORDS:

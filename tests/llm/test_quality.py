@@ -86,3 +86,14 @@ def test_chinese_words():
     assert Form(words).read("我们路由 我们路由 我们路由")[7] >= 0.75
     assert Form(words).read("「，」旧")[0] == 1
     assert Form(words).read("，。、")[:2] == (1, 3.0)
+
+
+@pytest.mark.parametrize("text", ["pallet orchid rocket " * 9, "amber bridge cursor delta ember falcon " * 7, "托盘路由字段" * 12, "\n".join(["pallet one", "rocket two"] * 8), "the index is in the store " * 8])
+def test_loops_are_junk(text):
+    read = Form(WORDS).read(text)
+    assert read[-1] == "junk" and 0.4 < read[7] <= 1
+
+
+def test_twice_is_no_loop():
+    assert Form(WORDS).read(PROSE[0] + "\n" + PROSE[0])[-1] is None
+    assert Form(WORDS).read("ab ab ab ab cd")[7] == 8 / 10
