@@ -1,24 +1,31 @@
 """Processing only new or changed records (problem 1), run fingerprints and staleness.
 
-Two layers share one rule, *listing anti-join manifest*:
+``BatchStore`` is the manifest: batches below one shared folder, the output of each written under its id,
+each committed by the rename of its manifest, which is made last. Two jobs stand on it, and both follow
+one rule, *listing anti-join manifest*:
 
-* record level: ``latest_state`` turns an append-only log into one state per record; ``pending``
-  anti-joins the listing (all rows) against the manifest (the rows a successful run had seen);
-* file level: ``IncrementalJob`` keeps a manifest of processed input files with size and checksum,
-  writes the output of a run under a batch id derived from what it processes, and commits the
-  manifest last, so that a run that dies anywhere is repeated without losing or doubling a record.
+* ``RecordJob``: the records of an append-only log. The manifest holds the state of each record that a
+  committed batch has seen; a run aggregates new rows only and anti-joins them with the manifest.
+* ``IncrementalJob``: files. The manifest holds path, size and checksum of the processed files; contents
+  are opened for files whose path, size and time are unknown only.
+
+A run that dies anywhere is repeated without losing or doubling a record.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from factweave.functions.keys import normalize_file_path, normalize_hash, normalize_operation_key
+from factweave.tables import bounded, cut_lineage, hadoop_path, scratch_folder
+
+#: Most rows of a table of snapshots or runs that is broadcast (short rows: keys, a version, a time).
+SMALL_ROWS = 100_000
 
 
 def latest_state(log: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -35,22 +42,13 @@ def latest_state(log: DataFrame, keys: Sequence[str], value: str, order: Sequenc
 def pending(listing: DataFrame, manifest: DataFrame, keys: Sequence[str], state: Sequence[str]) -> DataFrame:
     """Rows of ``listing`` without a row in ``manifest`` of the same keys and the same state.
 
-    Null equals null, in keys and in state. Other columns of either side play no part. A key may be
-    a non-null struct (its fields may be null): where both sides come from ``latest_state`` by that
-    struct, they are already hashed by it and the join adds no shuffle.
+    Null equals null, in keys and in state. Other columns of either side play no part.
     """
     sides = [*keys, *state]
     m = manifest.select(*[F.col(c).alias(f"__m_{i}") for i, c in enumerate(sides)])
     condition = F.lit(True)
     for i, c in enumerate(sides):
-        left, right = listing[c], m[f"__m_{i}"]
-        if c in state:  # kept out of the hash keys, so that a partitioning by the keys is enough
-            same = F.coalesce(left == right, left.isNull() & right.isNull())
-        elif isinstance(listing.schema[c].dataType, StructType):
-            same = left == right
-        else:
-            same = left.eqNullSafe(right)
-        condition = condition & same
+        condition = condition & listing[c].eqNullSafe(m[f"__m_{i}"])
     return listing.join(m, condition, "left_anti")
 
 
@@ -58,9 +56,10 @@ def normalized_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The log with its repo, keys and hashes in normal form.
 
     A row counts if its (fingerprint, engine_version) has a snapshot. Repeated snapshots are
-    collapsed first. ``snapshots`` grows with the data and is never broadcast by hint.
+    collapsed first; up to ``SMALL_ROWS`` of them are broadcast, so that the log isn't shuffled to find
+    its repos, more are joined by a shuffle.
     """
-    owner = snapshots.select("fingerprint", "engine_version", "repo").where("repo IS NOT NULL").distinct()
+    owner = bounded(snapshots.select("fingerprint", "engine_version", "repo").where("repo IS NOT NULL").distinct(), SMALL_ROWS)
     rows = log.select("fingerprint", "engine_version", "operation_key", "file_path", "file_hash", "recorded_at", "dep_seq", "ingested_at")
     return rows.join(owner, ["fingerprint", "engine_version"]).select(
         "repo",
@@ -79,91 +78,218 @@ def last_success(runs: DataFrame) -> DataFrame:
     return runs.where(ok & F.col("repo").isNotNull()).groupBy("repo").agg(F.max("started_at").alias("started_at")).where("started_at IS NOT NULL")
 
 
-def changed_records(log: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+class BatchStore:
+    """Batches below a folder: ``manifest/<batch>`` and ``output/<batch>``, Parquet folders.
+
+    A batch exists once its manifest has its name; until then it is called ``_<batch>``, and an output
+    folder without a manifest is not read. Ids sort in the order of the commits. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, work: str):
+        self.spark, self.work = spark, work
+
+    def committed(self) -> list[str]:
+        """Ids of the committed batches, the oldest first."""
+        fs, p = hadoop_path(self.spark, f"{self.work}/manifest")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))) if fs.exists(p) else []
+
+    def named(self, digest: str) -> str:
+        """The id of the next batch that processes what ``digest`` stands for; a run repeated after a
+        failure gets the same id, for nothing was committed in between."""
+        return f"{len(self.committed()):08d}-{digest}"
+
+    def commit(self, batch: str, manifest: DataFrame, output: DataFrame | None = None) -> None:
+        """Writes the output, then the manifest, then renames it; repeated, it replaces its own folders."""
+        if batch in self.committed():
+            return
+        if output is not None:
+            output.write.mode("overwrite").parquet(f"{self.work}/output/{batch}")
+        manifest.write.mode("overwrite").parquet(f"{self.work}/manifest/_{batch}")
+        fs, staged = hadoop_path(self.spark, f"{self.work}/manifest/_{batch}")
+        if not fs.rename(staged, hadoop_path(self.spark, f"{self.work}/manifest/{batch}")[1]):
+            raise RuntimeError(f"batch {batch} could not be committed")
+
+    def _read(self, kind: str, schema: str | None) -> DataFrame | None:
+        found = []
+        for b in self.committed():
+            folder = f"{self.work}/{kind}/{b}"
+            fs, p = hadoop_path(self.spark, folder)
+            if fs.exists(p):
+                found.append(folder)
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        if found:
+            return reader.parquet(*found).withColumn("batch", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        return self.spark.createDataFrame([], f"{schema}, batch string") if schema else None
+
+    def manifest(self, schema: str) -> DataFrame:
+        """The manifest rows of all committed batches, with ``batch``."""
+        return self._read("manifest", schema)  # type: ignore[return-value]
+
+    def output(self) -> DataFrame | None:
+        """The output of all committed batches, with ``batch``; None if none has any."""
+        return self._read("output", None)
+
+
+class RecordJob:
+    """Records of an append-only log: each run takes the rows that arrived since and gives the records
+    whose state is new or changed.
+
+    ``keys`` name a record, ``order`` ranks its rows and ``value`` is its state; ``schema`` is the DDL of
+    the three together. The manifest holds one row per record and batch, the latest that the batch has
+    seen. Work is in proportion to the new rows and one pass over the manifest, whatever the log's length.
+    """
+
+    def __init__(self, spark: SparkSession, work: str, keys: Sequence[str], value: str, order: Sequence[str], schema: str):
+        self.store, self.keys, self.value, self.order, self.schema = BatchStore(spark, work), list(keys), value, list(order), schema
+
+    def _states(self, rows: DataFrame) -> DataFrame:
+        """Per record the row of the greatest order; of rows tied in all of it the greatest value."""
+        return rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, self.value)).alias("s"))
+
+    def known(self) -> DataFrame:
+        """Keys and state ``s`` of every record that a committed batch has seen."""
+        rows = self.store.manifest(self.schema)
+        if len(self.store.committed()) > 1:
+            return self._states(rows)
+        return rows.select(*self.keys, F.struct(*self.order, self.value).alias("s"))  # one batch: one row a record
+
+    def adopt(self, rows: DataFrame, digest: str) -> str:
+        """Commits what an earlier run, told by ``digest``, has processed, without output."""
+        batch = self.store.named(digest)
+        self.store.commit(batch, self._states(rows).select(*self.keys, "s.*"))
+        return batch
+
+    def run(self, rows: DataFrame) -> str:
+        """Processes the new rows: the changed records become the output of the batch, the states of all
+        records among the rows its manifest.
+
+        A row that is older than what the manifest knows changes nothing, whenever it arrives.
+        """
+        fresh = cut_lineage(self._states(rows))
+        told = fresh.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*self.keys, "s").cast("decimal(38,0)")).alias("h")).first()
+        batch = self.store.named(hashlib.sha256(f"{told['n']}|{told['h']}".encode()).hexdigest()[:16])
+        known = self.known().select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)], F.col("s").alias("__s"))
+        same = F.lit(True)
+        for i, k in enumerate(self.keys):
+            same = same & fresh[k].eqNullSafe(known[f"__k{i}"])
+        value = F.col("s")[self.value]
+        unchanged = (F.col("__s") >= F.col("s")) | F.col("__s")[self.value].eqNullSafe(value)
+        changed = fresh.join(known, same & unchanged, "left_anti")
+        self.store.commit(batch, fresh.select(*self.keys, "s.*"), changed.select(*self.keys, value.alias(self.value)))
+        return batch
+
+
+def changed_records(log: DataFrame, snapshots: DataFrame, runs: DataFrame, work: str | None = None) -> DataFrame:
     """``repo, operation_key, file_path, file_hash`` of every record that is new or changed since
     its repo's last successful run.
 
-    The manifest is the state of each record at that run's start, as far as it had been ingested by
-    then; the listing is the state over all rows. Failed, cancelled and unfinished runs leave the
-    manifest as it is, late rows are compared with what the run could see. Hashes that are null on
-    both sides are equal. Empty inputs give an empty result.
+    What that run had seen, the rows ingested up to its start, is committed to a manifest; the rows that
+    arrived since are aggregated apart, anti-joined with it, and written as the next batch, which is
+    returned. Failed, cancelled and unfinished runs leave the manifest as it is; late rows count only if
+    they are later than what the manifest knows. Hashes that are null on both sides are equal. Empty
+    inputs give an empty result. ``work`` (by default a new folder in the shared one) holds the batches;
+    called again after a failure with the same ``work`` and inputs, finished batches stay as they are.
     """
-    rows = normalized_log(log, snapshots).withColumn("record", F.struct("repo", "operation_key", "file_path"))
-    order = ["recorded_at", "dep_seq"]
-    seen = rows.join(last_success(runs), "repo").where("ingested_at <= started_at")
-    listing = latest_state(rows, ["record"], "file_hash", order)
-    manifest = latest_state(seen, ["record"], "file_hash", order)
-    return pending(listing, manifest, ["record"], ["file_hash"]).select("record.*", "file_hash")
+    spark = log.sparkSession
+    schema = "repo string, operation_key string, file_path string, recorded_at timestamp, dep_seq long, file_hash string"
+    job = RecordJob(spark, work or scratch_folder(spark, "records"), ["repo", "operation_key", "file_path"], "file_hash", ["recorded_at", "dep_seq"], schema)
+    done = job.store.committed()
+    success = last_success(runs)
+    rows = normalized_log(log, snapshots).join(bounded(success, SMALL_ROWS), "repo", "left")
+    seen = F.coalesce(F.col("ingested_at") <= F.col("started_at"), F.lit(False))
+    if not done:
+        told = success.agg(F.count("*").alias("n"), F.max("started_at").alias("t")).first()
+        job.adopt(rows.where(seen), hashlib.sha256(f"{told['n']}|{told['t']}".encode()).hexdigest()[:16])
+    if len(done) < 2:
+        job.run(rows.where(~seen))
+    out = job.store.output()
+    return out.select("repo", "operation_key", "file_path", "file_hash") if out is not None else spark.createDataFrame([], "repo string, operation_key string, file_path string, file_hash string")
+
+
+def file_checksums(files: DataFrame, path: str = "path") -> DataFrame:
+    """The rows with ``checksum``, the SHA-256 of each file, read in blocks, so that a file of any size is
+    hashed in little memory; null for a file that is gone by now."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            sums = []
+            for p in b.column(b.schema.get_field_index(path)).to_pylist():
+                system, where = fs.FileSystem.from_uri(p)
+                try:
+                    digest = hashlib.sha256()
+                    with system.open_input_stream(where) as f:
+                        while block := f.read(1 << 20):
+                            digest.update(block)
+                    sums.append(digest.hexdigest())
+                except FileNotFoundError:
+                    sums.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.string())], names=[*b.schema.names, "checksum"])
+
+    return files.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in files.schema.fields)}, checksum string")
 
 
 class IncrementalJob:
     """Files in, batches out, each input file version exactly once.
 
-    ``work`` holds ``manifest/`` (one Parquet folder per committed batch) and ``output/`` (one folder
-    per batch). The commit is the rename of the manifest folder, made after the output is complete:
-
-    * a run that dies before it leaves at most an output folder no manifest names; it is ignored by
-      ``read`` and overwritten or left aside by the next run;
-    * a run repeated over the same files gets the same batch id and overwrites its own folder.
-
-    A file counts as processed if path, size and checksum are in a committed manifest. Checksums are
-    computed for files whose path, size and modification time are unknown only. One run at a time.
+    A file counts as processed if path, size and checksum are in a committed manifest. Its listing reads
+    names, sizes and times; contents are opened, by ``file_checksums``, for files whose path, size and time are
+    unknown only. A file that is gone gets a manifest row without a checksum. ``read`` gives, of every file
+    that still exists, the output of its newest version. One run at a time.
     """
 
-    def __init__(self, spark: SparkSession, source: str, work: str, pattern: str = "*"):
-        self.spark, self.source, self.pattern = spark, source, pattern
-        self.manifest_dir, self.output_dir = f"{work}/manifest", f"{work}/output"
+    SCHEMA = "path string, size long, modified timestamp, checksum string"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+    def __init__(self, spark: SparkSession, source: str, work: str, pattern: str = "*"):
+        self.spark, self.source, self.pattern, self.store = spark, source, pattern, BatchStore(spark, work)
 
     def committed(self) -> list[str]:
         """Ids of the committed batches."""
-        fs, p, _ = self._fs(self.manifest_dir)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith("_")) if fs.exists(p) else []
+        return self.store.committed()
 
     def manifest(self) -> DataFrame:
-        """``path, size, modified, checksum`` of every processed file."""
-        paths = [f"{self.manifest_dir}/{b}" for b in self.committed()]
-        schema = "path string, size long, modified timestamp, checksum string"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """``path, size, modified, checksum, batch``: the newest row of every file ever processed."""
+        newest = F.max(F.struct("batch", "size", "modified", "checksum")).alias("m")
+        return self.store.manifest(self.SCHEMA).groupBy("path").agg(newest).select("path", "m.size", "m.modified", "m.checksum", "m.batch")
 
-    def _files(self) -> DataFrame:
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.pattern).load(self.source)
+    def listing(self) -> DataFrame:
+        """``path, size, modified`` of the files there are; no contents are read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.pattern).load(self.source)
+        return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
     def pending(self) -> DataFrame:
         """The files to process, with their checksums."""
         known = self.manifest()
-        listed = self._files().select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-        unseen = pending(listed, known, ["path"], ["size", "modified"])
-        summed = unseen.select("path", "size", "modified", F.sha2("content", 256).alias("checksum"))
-        return pending(summed, known, ["path"], ["size", "checksum"])
+        unseen = pending(self.listing(), known, ["path"], ["size", "modified"])
+        return pending(file_checksums(unseen).where("checksum IS NOT NULL"), known, ["path"], ["size", "checksum"])
+
+    def gone(self) -> DataFrame:
+        """Manifest rows of files that are no longer there."""
+        here = self.manifest().where("checksum IS NOT NULL").select("path").join(self.listing().select("path"), "path", "left_anti")
+        return here.selectExpr("path", "CAST(NULL AS LONG) AS size", "CAST(NULL AS TIMESTAMP) AS modified", "CAST(NULL AS STRING) AS checksum")
 
     def run(self, process: Callable[[DataFrame], DataFrame]) -> str | None:
         """Processes what is pending; the batch id, or None if there was nothing.
 
-        ``process`` gets ``path, size, modified, checksum`` rows and returns the output rows.
+        ``process`` gets ``path, size, modified, checksum`` rows and returns output rows with their ``path``.
         """
-        from factweave.tables import cut_lineage
-
-        todo = cut_lineage(self.pending())
-        digest = todo.agg(F.sum(F.conv(F.substring(F.sha2(F.concat_ws("\0", "path", "checksum"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
+        todo = cut_lineage(self.pending().unionByName(self.gone()))
+        line = F.sha2(F.concat_ws("\0", "path", F.coalesce("checksum", F.lit("gone"))), 256)
+        digest = todo.agg(F.sum(F.conv(F.substring(line, 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
         if not digest["n"]:
             return None
-        batch = hashlib.sha256(f"{digest['s']}|{digest['n']}".encode()).hexdigest()[:16]
-        process(todo).write.mode("overwrite").parquet(f"{self.output_dir}/{batch}")
-        todo.write.mode("overwrite").parquet(f"{self.manifest_dir}/_{batch}")
-        fs, staged, jvm = self._fs(f"{self.manifest_dir}/_{batch}")
-        if not fs.rename(staged, jvm.org.apache.hadoop.fs.Path(f"{self.manifest_dir}/{batch}")):
-            raise RuntimeError(f"batch {batch} could not be committed")
+        batch = self.store.named(hashlib.sha256(f"{digest['s']}|{digest['n']}".encode()).hexdigest()[:16])
+        output = process(todo.where("checksum IS NOT NULL"))
+        if "path" not in output.columns:
+            raise ValueError("output rows must have the path of their file")
+        self.store.commit(batch, todo, output)
         return batch
 
     def read(self) -> DataFrame | None:
-        """The output of all committed batches."""
-        paths = [f"{self.output_dir}/{b}" for b in self.committed()]
-        return self.spark.read.parquet(*paths) if paths else None
+        """The output of every file's newest version; files that are gone have none."""
+        rows = self.store.output()
+        return None if rows is None else rows.join(self.manifest().where("checksum IS NOT NULL").select("path", "batch"), ["path", "batch"], "left_semi").drop("batch")
 
 
 def run_fingerprint(files: DataFrame, group: Sequence[str], path: str, digest: str, version: str = "") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,13 +25,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``max_rows`` rows; a larger one is joined by a shuffle.
+
+    Counts ``df``, which should be cheap to read and of short rows.
+    """
+    return broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     The setting is read from the session. Only where it is unset and the master is local (as in
     tests) a folder is created; on a cluster an unset folder is an error, never a machine-local path.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -38,5 +49,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="factweave-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path of any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one; removed when the driver's Python ends, if Spark still runs then."""
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            fs, p = hadoop_path(spark, folder)
+            fs.delete(p, True)
+
+    atexit.register(remove)
+    return folder

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators.incremental import IncrementalJob, changed_records, latest_state, pending, run_fingerprint, stale_rows
+from factweave.operators.incremental import BatchStore, IncrementalJob, RecordJob, changed_records, latest_state, pending, run_fingerprint, stale_rows
 from tests.helpers import rows
 
 LOG = "dep_seq long, fingerprint string, engine_version string, operation_key string, file_path string, file_hash string, recorded_at timestamp, ingested_at timestamp"
@@ -62,15 +62,74 @@ def test_job_survives_failures(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         job.run(broken)
+    with pytest.raises(ValueError):
+        job.run(lambda todo: todo.select("checksum"))
     assert job.committed() == [] and job.read() is None
     first = job.run(read)
     assert job.run(read) is None and job.committed() == [first]
     (source / "b.txt").write_text("3")
     (source / "a.txt").write_text("1\n2\n9")
     second = job.run(read)
-    assert job.read().count() == 3 and set(job.committed()) == {first, second}
+    assert job.read().count() == 2 and set(job.committed()) == {first, second}  # of a, the newest version
     (source / "b.txt").touch()  # another time, the same content
     assert job.run(read) is None
+    (source / "b.txt").unlink()
+    assert job.run(read) and job.read().count() == 1 and job.run(read) is None
+    (source / "b.txt").write_text("3")
+    assert job.run(read) and job.read().count() == 2
+
+
+def test_listing_reads_no_contents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1")
+    job = IncrementalJob(spark, str(tmp_path / "in"), str(tmp_path / "work"))
+    plan = job.listing()._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan.split("Relation")[0] and job.listing().count() == 1
+    assert job.manifest().count() == 0
+
+
+@pytest.mark.parametrize("step", ["output", "manifest", "rename"])
+def test_records_survive_failures_at_each_step(spark, tmp_path, monkeypatch, step):
+    a = (1, "f1", "v1", "GET /a", "x.go", "aa", t(1), t(1))
+    changed = (2, "f1", "v1", "GET /a", "x.go", "bb", t(2), t(5))
+    new = (3, "f1", "v1", "GET /b", None, None, t(2), t(5))
+    log = spark.createDataFrame([a, changed, new, new], LOG)
+    snapshots = spark.createDataFrame([("f1", "v1", "r")], "fingerprint string, engine_version string, repo string")
+    runs = spark.createDataFrame([("r", t(3), "succeeded")], "repo string, started_at timestamp, outcome string")
+    go = lambda: rows(changed_records(log, snapshots, runs, str(tmp_path)))
+    real, calls = BatchStore.commit, []
+
+    def dies(self, batch, manifest, output=None):
+        calls.append(batch)
+        if len(calls) == 2:  # the run after the adopted one
+            if step != "output":
+                output.write.parquet(f"{self.work}/output/{batch}")
+            else:
+                (tmp_path / "output" / batch).mkdir(parents=True)  # half of an output
+            if step == "rename":
+                manifest.write.parquet(f"{self.work}/manifest/_{batch}")
+            raise RuntimeError("killed")
+        real(self, batch, manifest, output)
+
+    monkeypatch.setattr(BatchStore, "commit", dies)
+    with pytest.raises(RuntimeError):
+        go()
+    store = BatchStore(spark, str(tmp_path))
+    assert len(store.committed()) == 1 and store.output() is None
+    want = [("r", "GET /a", "x.go", "bb"), ("r", "GET /b", None, None)]
+    assert go() == want and len(store.committed()) == 2 and calls[1] == calls[2]
+    assert go() == want and len(store.committed()) == 2
+
+
+def test_records_over_several_runs(spark, tmp_path):
+    job = RecordJob(spark, str(tmp_path), ["k"], "v", ["o"], "k string, o int, v string")
+    make = lambda *x: spark.createDataFrame(list(x), "k string, o int, v string")
+    last = lambda batch: rows(job.store.output().where(F.col("batch") == batch), "k", "v")
+    assert last(job.run(make(("a", 1, "x"), ("a", 2, "y"), (None, 1, "n")))) == [(None, "n"), ("a", "y")]
+    assert last(job.run(make(("a", 1, "late"), ("b", 1, None)))) == [("b", None)]
+    assert last(job.run(make(("a", 3, "y"), ("b", 2, None), ("a", 0, "z")))) == []
+    assert last(job.run(make(("a", 4, "z"), (None, 2, None)))) == [(None, None), ("a", "z")]
+    assert last(job.run(make())) == []
 
 
 def test_fingerprint_and_staleness(spark):
