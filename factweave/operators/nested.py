@@ -2,13 +2,16 @@
 
 ``relate`` handles records whose merged schema is finite: the schema is inferred in one aggregation
 over all rows, then every array or map level is exploded into a child table that carries the
-surrogate key of its parent row and the ordinal within it. ``tree_nodes`` handles recursive trees,
-whose merged schema is the recursive node type itself (property names are data there, so a struct of
-all names would grow with the corpus): one frontier step per depth, each exploding all edges at once.
+surrogate key of its parent row and the ordinal within it. ``tree_nodes`` handles recursive trees. Their
+property names are data, so that a struct of all names would grow with the corpus; the merged schema is
+that of the node type: which keys hold named, ordered or single children (``merged_edges``, one
+aggregation). Each level is one explode, many levels are one pass, and every node has a surrogate key, its
+parent's, and its ordinal.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -31,6 +34,10 @@ SCHEMA_EDGES = {
 }
 
 
+#: Levels that one pass explodes before what is deeper is looked at again.
+LEVELS = 6
+
+
 def parse_document(text: F.Column) -> F.Column:
     """The text as VARIANT; null if it is null, unreadable, cut short or followed by other text.
 
@@ -42,81 +49,100 @@ def parse_document(text: F.Column) -> F.Column:
     return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def is_object(v: F.Column) -> F.Column:
-    """True for a JSON object, false for null, scalars and arrays."""
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def members(v: F.Column) -> F.Column:
+    """The members of a JSON object; null for null, scalars and arrays."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def latest_documents(rows: DataFrame, key: str, text: str, order: list[str]) -> DataFrame:
     """``key, node``: of each key the readable object with the greatest ``order``.
 
-    Only the order is aggregated; the texts are joined back by it, so that no wide value travels
-    through a sort of one hot key. Rows tied in the whole order are settled by the text.
+    Each text is parsed once; the parsed value travels with its order through one aggregation with
+    map-side combine. Rows tied in the whole order are settled by the text's hash. Rows with a null key
+    are left out.
     """
-    readable = rows.select(key, text, *order).where(F.col(key).isNotNull()).withColumn("node", parse_document(F.col(text))).where(is_object(F.col("node")))
-    best = readable.groupBy(key).agg(F.max(F.struct(*order, text)).alias("__b"))
-    return best.select(key, parse_document(F.col(f"__b.{text}")).alias("node"))
+    parsed = rows.select(key, text, *order).where(F.col(key).isNotNull()).withColumn("node", parse_document(F.col(text)))
+    readable = parsed.where(members(F.col("node")).isNotNull())
+    return readable.groupBy(key).agg(F.max_by("node", F.struct(*order, F.xxhash64(text))).alias("node"))
+
+
+def merged_edges(roots: DataFrame, node: str = "node", edges: Mapping[str, tuple[str, str]] = SCHEMA_EDGES) -> dict[str, tuple[str, str]]:
+    """The part of ``edges`` that the merged schema of all trees has: one aggregation over the keys of all
+    objects at any depth, of which at most two rows per edge reach the driver. A key counts if it holds
+    an object (``map``, ``one``) or an array (``list``) anywhere; types that don't merge hide nothing."""
+    names = "|".join(map(re.escape, edges))
+    seen = F.regexp_extract_all(F.to_json(node), F.lit(f'(?<=[{{,])"((?:{names})":[{{\\[])'), F.lit(1))
+    found = {r.e for r in roots.select(F.explode(F.array_distinct(seen)).alias("e")).distinct().collect()}
+    return {k: (edge, kind) for k, (edge, kind) in edges.items() if f'{k}":' + ("[" if kind == "list" else "{") in found}
 
 
 def tree_nodes(roots: DataFrame, key: str, node: str = "node", edges: Mapping[str, tuple[str, str]] = SCHEMA_EDGES) -> DataFrame:
-    """``key, node_path, parent_path, edge, ordinal, name`` of every node below the roots.
+    """``key, node_key, parent_key, node_path, parent_path, edge, ordinal, name`` of every node below the roots.
 
     ``edges`` maps a JSON key to (edge name, kind): ``map`` holds named children, ``list`` ordered
     ones, ``one`` a single child. Children that are not objects are no nodes, but keep their place
     in the numbering of a list. A path is the parent's plus ``/edge``, and ``/NAME`` or ``/I``, with
-    ``~`` and ``/`` of a name written ``~0`` and ``~1``. Roots without children and empty inputs give
-    no rows. Any depth: the frontier of each depth is checkpointed, the loop ends when it is empty.
+    ``~`` and ``/`` of a name written ``~0`` and ``~1``. ``node_key`` is a surrogate: the root's key and the
+    places of the nodes on the way. Roots without children and empty inputs give no rows.
+
+    A node is replaced by itself, done, and its children, pending; ``LEVELS`` such steps are one narrow
+    pass without a shuffle. What is pending then, at any depth, is written and goes through another.
     """
+    held = merged_edges(roots, node, edges)
     spark = roots.sparkSession
-    kinds = {k: kind for k, (_, kind) in edges.items()}
-    quoted = lambda names: ", ".join(f"'{k}'" for k in names) or "''"
-    names = F.create_map(*[F.lit(x) for k, (edge, _) in edges.items() for x in (k, edge)])
-    frontier = cut_lineage(roots.select(F.col(key).alias("id"), F.lit("").alias("path"), F.col(node).alias("node")))
-    width = frontier.rdd.getNumPartitions()
+    kind = roots.schema[key].dataType.simpleString()
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    fields = ["node_key", "parent_key", "node_path", "parent_path", "edge", "ordinal", "name"]
+    result = f"`{key}` {kind}, node_key string, parent_key string, node_path string, parent_path string, edge string, ordinal int, name string"
+
+    def children(word: str) -> F.Column:
+        """The children under one key of the node in ``m``; ``slot`` tells them from those under others."""
+        edge, way = held[word]
+        value = F.try_element_at(F.col("m"), F.lit(word))
+        at = F.concat(F.col("node_path"), F.lit(f"/{edge}"))
+        slot = f".{list(held).index(word)}"
+
+        def child(path: F.Column, number: F.Column, name: F.Column, place: F.Column, v: F.Column) -> F.Column:
+            columns = [F.concat("node_key", F.lit(slot), place), F.col("node_key"), path, F.col("node_path"), F.lit(edge), number, name, members(v)]
+            return F.struct(*[c.alias(n) for c, n in zip(columns, [*fields, "m"], strict=True)])
+
+        index = lambda i: F.concat(F.lit("-"), i.cast("string"))
+        if way == "map":
+            step = lambda n: F.replace(F.replace(n, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+            each = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e, i: child(F.concat(at, F.lit("/"), step(e["key"])), number, e["key"], index(i), e["value"]))
+        elif way == "list":
+            each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: child(F.concat(at, F.lit("/"), i.cast("string")), i, text, index(i), v))
+        else:
+            each = F.array(child(at, number, text, F.lit(""), value))
+        return F.filter(each, lambda c: c["m"].isNotNull())
+
+    empty = f"array<struct<{', '.join(f'{n}:{"int" if n == "ordinal" else "string"}' for n in fields)}, m:map<string,variant>>>"
+    itself = F.struct(*fields, F.lit(None).cast("map<string,variant>").alias("m"))
+    step = F.concat(F.array(itself), *[F.coalesce(children(w), F.array().cast(empty)) for w in held])
+    rows = roots.select(key, F.col(key).cast("string").alias("node_key"), text.alias("parent_key"), F.lit("").alias("node_path"), text.alias("parent_path"), text.alias("edge"), number.alias("ordinal"), text.alias("name"), members(F.col(node)).alias("m"))
     found = None
-    while not frontier.isEmpty():
-        held = spark.sql(
-            f"SELECT id, path, k, v FROM {{frontier}} f, LATERAL variant_explode(f.node) AS e(p0, k, v) WHERE k IN ({quoted(edges)})", frontier=frontier
-        )
-        many = spark.sql(
-            f"""SELECT id, path, k, c.ordinal, c.name, c.child FROM {{held}} h, LATERAL variant_explode(h.v) AS c(ordinal, name, child)
-            WHERE (k IN ({quoted(x for x, kind in kinds.items() if kind == "map")}) AND name IS NOT NULL)
-               OR (k IN ({quoted(x for x, kind in kinds.items() if kind == "list")}) AND name IS NULL)""",
-            held=held,
-        )
-        one = held.where(F.col("k").isin([x for x, kind in kinds.items() if kind == "one"])).selectExpr("id", "path", "k", "CAST(NULL AS INT) AS ordinal", "CAST(NULL AS STRING) AS name", "v AS child")
-        # the union would double the partitions at each depth
-        children = many.unionByName(one).where(is_object(F.col("child"))).coalesce(max(width, 1))
-        edge = names[F.col("k")]
-        step = F.when(F.col("name").isNotNull(), F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).otherwise(F.col("ordinal").cast("string"))
-        level = cut_lineage(
-            children.select(
-                "id",
-                F.concat(F.col("path"), F.lit("/"), edge, F.coalesce(F.concat(F.lit("/"), step), F.lit(""))).alias("path"),
-                F.col("path").alias("parent_path"),
-                edge.alias("edge"),
-                F.when(F.col("name").isNull(), F.col("ordinal")).alias("ordinal"),
-                "name",
-                F.col("child").alias("node"),
-            )
-        )
-        rows = level.drop("node")
-        found = rows if found is None else found.unionByName(rows)
-        frontier = level.select("id", "path", "node")
-    if found is None:
-        return spark.createDataFrame([], "id string, node_path string, parent_path string, edge string, ordinal int, name string").withColumnRenamed("id", key)
-    return found.select(F.col("id").alias(key), F.col("path").alias("node_path"), "parent_path", "edge", "ordinal", "name")
+    while held:
+        for _ in range(LEVELS):
+            rows = rows.select(key, F.explode(F.when(F.col("m").isNull(), F.array(itself)).otherwise(step)).alias("n")).select(key, "n.*")
+        rows = cut_lineage(rows)
+        done = rows.where("m IS NULL AND edge IS NOT NULL").drop("m")
+        found = done if found is None else found.unionByName(done)
+        rows = rows.where("m IS NOT NULL")
+        if rows.isEmpty():
+            break
+    return found if found is not None else spark.createDataFrame([], result)
 
 
 def schema_nodes(raw: DataFrame) -> DataFrame:
-    """``schema_id, node_path, parent_path, edge, ordinal, name`` of each schema's newest readable version."""
-    return tree_nodes(latest_documents(raw, "schema_id", "schema_json", ["received_at", "raw_id"]), "schema_id")
+    """The ``tree_nodes`` of each schema's newest readable version."""
+    return tree_nodes(cut_lineage(latest_documents(raw, "schema_id", "schema_json", ["received_at", "raw_id"])), "schema_id")
 
 
 def merged_schema(rows: DataFrame, text: str) -> str:
     """DDL of the schema that fits every readable text, merged by one aggregation on the executors."""
     ddl = rows.select(F.schema_of_variant_agg(F.try_parse_json(F.col(text))).alias("s")).first()["s"]
-    return ddl.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    types = {"OBJECT<": "STRUCT<", "VOID": "STRING"}  # names stand in backticks or before a colon
+    return re.sub(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b(?!:)", lambda m: types.get(m[0], m[0]), ddl)
 
 
 def relate(rows: DataFrame, key: str, column: str, root: str = "root") -> dict[str, DataFrame]:

@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factweave.operators.nested import SCHEMA_EDGES, merged_schema, relate, schema_nodes
+from factweave.operators.nested import LEVELS, SCHEMA_EDGES, latest_documents, merged_edges, merged_schema, relate, schema_nodes
 from factweave.sources.documents import schema_rows
 from factweave.operators.schema_tree import canonical_shapes, field_triples, flatten, replace_subtree, unknown_paths
 from tests.helpers import rows
@@ -153,3 +153,31 @@ def test_shapes_and_edits(spark):
     assert rows(unknown_paths(nodes)) == [("C", "/properties/x")]
     edited = replace_subtree(nodes, "A", "/properties/x", nodes.where("schema_id = 'B'"))
     assert rows(edited.where("schema_id = 'A'"), "path", "parent_path", "name") == [("", None, None), ("/properties/x", "", "x"), ("/properties/x/properties/x", "/properties/x", "x")]
+
+
+def test_surrogate_keys_ordinals_and_depth(spark):
+    tree = {"type": "object"}
+    for i in range(3 * LEVELS + 1):
+        tree = {"items": tree} if i % 2 else {"all_of": [None, tree, {"properties": {"x": {}}}], "allOf": [{}]}
+    df = spark.createDataFrame([(1, "s", json.dumps(tree), None)], RAW)
+    nodes = schema_nodes(df)
+    got = nodes.collect()
+    assert rows(nodes, "schema_id", "node_path", "parent_path", "edge") == expected("s", tree)
+    keys = {r.node_key for r in got}
+    assert len(keys) == len(got) and {r.parent_key for r in got} <= keys | {"s"}
+    assert all((r.ordinal is not None) == (r.edge == "all_of") and (r.name is not None) == (r.edge == "properties") for r in got)
+    by_key = {r.node_key: r for r in got}
+    assert all(r.parent_path == by_key[r.parent_key].node_path for r in got if r.parent_key != "s")
+
+
+def test_merged_edges(spark):
+    df = spark.createDataFrame([(1, "s", '{"properties":{"items":{"not":3}},"allOf":{"x":1},"a: OBJECT<not: OBJECT<":1}', None), (2, "t", '{"any_of":[{"one_of":[1,{"not":[]},{"not":{"any\\u004ff":[]}}]}]}', None)], RAW)
+    roots = latest_documents(df, "schema_id", "schema_json", ["received_at", "raw_id"])
+    found = merged_edges(roots)
+    assert set(found) == {"properties", "items", "any_of", "one_of", "not", "anyOf"}
+    assert rows(schema_nodes(df), "schema_id", "node_path") == [("s", "/properties/items"), ("t", "/any_of/0"), ("t", "/any_of/0/one_of/1"), ("t", "/any_of/0/one_of/2"), ("t", "/any_of/0/one_of/2/not")]
+
+
+def test_types_in_names(spark):
+    df = spark.createDataFrame([('{"AVOID": null, "VOID": {"x": [null]}, "a OBJECT<": 1}',)], "t string")
+    assert merged_schema(df, "t") == "STRUCT<AVOID: STRING, VOID: STRUCT<x: ARRAY<STRING>>, `a OBJECT<`: BIGINT>"
