@@ -85,52 +85,61 @@ def tree_nodes(roots: DataFrame, key: str, node: str = "node", edges: Mapping[st
     ``~`` and ``/`` of a name written ``~0`` and ``~1``. ``node_key`` is a surrogate: the root's key and the
     places of the nodes on the way. Roots without children and empty inputs give no rows.
 
-    A node is replaced by itself, done, and its children, pending; ``LEVELS`` such steps are one narrow
-    pass without a shuffle. What is pending then, at any depth, is written and goes through another.
+    A node is replaced by itself, done, and its children; those with edges of their own are pending.
+    ``LEVELS`` such steps are one narrow pass without a shuffle. What is pending then, at any depth, is
+    written and goes through another. Only the edges of a node travel with it, and of its parent only how
+    much of the path and of the key is the parent's.
     """
     held = merged_edges(roots, node, edges)
     spark = roots.sparkSession
     kind = roots.schema[key].dataType.simpleString()
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
-    fields = ["node_key", "parent_key", "node_path", "parent_path", "edge", "ordinal", "name"]
-    result = f"`{key}` {kind}, node_key string, parent_key string, node_path string, parent_path string, edge string, ordinal int, name string"
-
-    def children(word: str) -> F.Column:
-        """The children under one key of the node in ``m``; ``slot`` tells them from those under others."""
-        edge, way = held[word]
-        value = F.try_element_at(F.col("m"), F.lit(word))
-        at = F.concat(F.col("node_path"), F.lit(f"/{edge}"))
-        slot = f".{list(held).index(word)}"
-
-        def child(path: F.Column, number: F.Column, name: F.Column, place: F.Column, v: F.Column) -> F.Column:
-            columns = [F.concat("node_key", F.lit(slot), place), F.col("node_key"), path, F.col("node_path"), F.lit(edge), number, name, members(v)]
-            return F.struct(*[c.alias(n) for c, n in zip(columns, [*fields, "m"], strict=True)])
-
-        index = lambda i: F.concat(F.lit("-"), i.cast("string"))
-        if way == "map":
-            step = lambda n: F.replace(F.replace(n, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-            each = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e, i: child(F.concat(at, F.lit("/"), step(e["key"])), number, e["key"], index(i), e["value"]))
-        elif way == "list":
-            each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: child(F.concat(at, F.lit("/"), i.cast("string")), i, text, index(i), v))
-        else:
-            each = F.array(child(at, number, text, F.lit(""), value))
-        return F.filter(each, lambda c: c["m"].isNotNull())
-
-    empty = f"array<struct<{', '.join(f'{n}:{"int" if n == "ordinal" else "string"}' for n in fields)}, m:map<string,variant>>>"
-    itself = F.struct(*fields, F.lit(None).cast("map<string,variant>").alias("m"))
-    step = F.concat(F.array(itself), *[F.coalesce(children(w), F.array().cast(empty)) for w in held])
-    rows = roots.select(key, F.col(key).cast("string").alias("node_key"), text.alias("parent_key"), F.lit("").alias("node_path"), text.alias("parent_path"), text.alias("edge"), number.alias("ordinal"), text.alias("name"), members(F.col(node)).alias("m"))
+    if not held:
+        return spark.createDataFrame([], f"`{key}` {kind}, node_key string, parent_key string, node_path string, parent_path string, edge string, ordinal int, name string")
+    of = lambda way: [k for k, (_, x) in held.items() if x == way]
+    names = F.create_map(*[F.lit(x) for k, (edge, _) in held.items() for x in (k, edge)])
+    none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    below = lambda v: F.filter(F.map_entries(members(v)), lambda e: e["key"].isin(list(held)))
+
+    def children(e: F.Column, slot: F.Column) -> F.Column:
+        """The rows of the children under one edge of the node."""
+        child = lambda name, ordinal, v: F.struct(name.alias("name"), ordinal.alias("ordinal"), below(v).alias("below"))
+        found = (
+            F.when(e["key"].isin(of("map")), F.transform(F.map_entries(members(e["value"])), lambda x: child(x["key"], none_number, x["value"])))
+            .when(e["key"].isin(of("list")), F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda v, i: child(none_text, i, v)))
+            .when(e["key"].isin(of("one")), F.array(child(none_text, none_number, e["value"])))
+        )
+        edge = names[e["key"]]
+        step = lambda c: F.coalesce(F.concat(F.lit("/"), F.replace(F.replace(c["name"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), F.concat(F.lit("/"), c["ordinal"].cast("string")), F.lit(""))
+        row = lambda c, i: F.struct(
+            F.concat("node_key", F.lit("."), slot.cast("string"), F.lit("-"), i.cast("string")).alias("node_key"),
+            F.length("node_key").alias("key_cut"),
+            F.concat("node_path", F.lit("/"), edge, step(c)).alias("node_path"),
+            F.length("node_path").alias("path_cut"),
+            edge.alias("edge"),
+            c["ordinal"].alias("ordinal"),
+            c["below"].alias("below"),
+        )
+        return F.transform(F.filter(found, lambda c: c["below"].isNotNull()), row)
+
+    fields = ["node_key", "key_cut", "node_path", "path_cut", "edge", "ordinal"]
+    itself = F.array(F.struct(*fields, F.array().cast("array<struct<key:string,value:variant>>").alias("below")))
+    pending = F.size("below") > 0
+    under = F.flatten(F.filter(F.transform("below", children), lambda x: x.isNotNull()))
+    step = F.when(pending, F.concat(itself, under)).otherwise(itself)
+    rows = roots.select(key, F.col(key).cast("string").alias("node_key"), F.lit(0).alias("key_cut"), F.lit("").alias("node_path"), F.lit(0).alias("path_cut"), none_text.alias("edge"), none_number.alias("ordinal"), below(F.col(node)).alias("below"))
     found = None
-    while held:
+    while True:
         for _ in range(LEVELS):
-            rows = rows.select(key, F.explode(F.when(F.col("m").isNull(), F.array(itself)).otherwise(step)).alias("n")).select(key, "n.*")
+            rows = rows.select(key, F.explode(step).alias("n")).select(key, "n.*")
         rows = cut_lineage(rows)
-        done = rows.where("m IS NULL AND edge IS NOT NULL").drop("m")
+        done = rows.where(~pending & F.col("edge").isNotNull()).drop("below")
         found = done if found is None else found.unionByName(done)
-        rows = rows.where("m IS NOT NULL")
+        rows = rows.where(pending)
         if rows.isEmpty():
             break
-    return found if found is not None else spark.createDataFrame([], result)
+    name = F.replace(F.replace(F.expr("substring(node_path, path_cut + length(edge) + 3)"), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    named = F.col("edge").isin([edge for edge, way in held.values() if way == "map"])
+    return found.select(key, "node_key", F.expr("left(node_key, key_cut)").alias("parent_key"), "node_path", F.expr("left(node_path, path_cut)").alias("parent_path"), "edge", "ordinal", F.when(named, name).alias("name"))
 
 
 def schema_nodes(raw: DataFrame) -> DataFrame:
