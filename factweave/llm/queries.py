@@ -48,7 +48,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add()
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return token_ids(table(spark, d, "documents", "doc_id", "text"))
+    return token_ids(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
+
+
+@LLM.add()
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts were stitched of how many pieces, and the number of their ids."""
+    done = token_ids(table(spark, d, "documents", "doc_id", "text"))
+    return done.groupBy("pieces").agg(F.count("*").alias("texts"), F.sum(F.size("ids")).alias("ids"))
 
 
 @LLM.add()

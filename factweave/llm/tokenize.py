@@ -1,12 +1,12 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 6).
 
-Texts up to ``chunk_chars`` are encoded whole, in Arrow batches. Longer ones are cut into chunks that
-overlap: chunks are spread over the cluster, pre-tokenised and encoded in parallel, then each
-document's chunks are stitched where the pre-token boundaries of two neighbours resynchronise.
-Pre-tokens are found from left to right and depend only on the text from their start on, so that
-from a common boundary on both readings agree. Where an overlap has no common boundary the chunks
-are read again as one text, which is exact at the price of a longer piece. A pre-token's bytes are
-merged alone, so the ids of the stitched pre-tokens are the ids of the text.
+Every text is read as overlapping chunks of ``chunk_chars`` characters. The overlap of two neighbours is
+pre-tokenised twice, as the left chunk reads it and as the right one does, and the text is cut where both
+have a boundary that holds whatever stands before it; then the pieces between the cuts are encoded, those
+of a very long text on several threads. Pre-tokens are found from left to right and depend only on the
+text from their start on, so that from a boundary on all readings agree, and a pre-token's bytes are
+merged alone: the ids of the pieces are the ids of the text. Where an overlap has no such boundary the
+chunks are read as one. The corpus is read once and not shuffled.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from factweave.tables import spread
 
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 512
+CHUNK_CHARS = 1_024
+OVERLAP_CHARS = 96
+#: Pieces of one text from which on they are encoded by so many threads.
+MANY_PIECES, THREADS = 512, 4
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -65,132 +68,83 @@ def decode(ids: list[int], path: str | None = None) -> str:
     return encoder(path or vocabulary_path()).decode_bytes(ids).decode("utf-8")
 
 
-def boundaries(text: str, offset: int = 0) -> list[int]:
-    """Starts of the pre-tokens, shifted by ``offset``."""
-    return [m.start() + offset for m in _pretokens().finditer(text)]
+@functools.lru_cache(maxsize=1)
+def _certain():
+    import regex
 
+    return regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=\S)\s")
 
-def stitch(chunks: list[tuple[int, str]]) -> list[str]:
-    """Pieces of a text, each starting and ending at a pre-token boundary, from overlapping chunks.
 
-    ``chunks`` are (start, text) in order. A chunk is trusted from the common boundary with its left
-    neighbour to that with its right one; the common boundary may not lie in the last pre-token of
-    the left chunk, which the cut may have shortened, nor follow white space, whose split depends on
-    what comes next and would be lost at the end of a piece.
-    """
-    pieces: list[str] = []
-    start, text = chunks[0]
-    own = boundaries(text, start)
-    for following, more in chunks[1:]:
-        theirs = boundaries(more, following)
-        last = own[-2] if len(own) > 1 else start  # starts of the two last pre-tokens aren't trusted
-        common = sorted(x for x in {x for x in own if following <= x < last} & set(theirs) if x > start and not text[x - start - 1].isspace())
-        if common:
-            sync = common[0]
-            pieces.append(text[: sync - start])
-            text, start = more[sync - following :], sync
-            own = theirs[theirs.index(sync) :]
-        else:
-            text = text[: following - start] + more
-            own = boundaries(text, start)
-    return [*pieces, text]
-
-
-def encode_chunk(text: str, at: int, chunk_chars: int, overlap_chars: int, path: str) -> dict:
-    """What stitching needs of one chunk: starts and ids of the pre-tokens that begin in either
-    overlap (``head`` with the left neighbour, ``tail`` with the right one), and the ids between."""
-    encode = encoder(path).encode_ordinary
-    starts = boundaries(text)
-    ends = [*starts[1:], len(text)]
-    body = [s for s in starts if overlap_chars <= s < chunk_chars]
-    low = body[0] if body else next((s for s in starts if s >= overlap_chars), len(text))
-    # white space at the end of the body would be split otherwise than inside the text
-    high = next((s for s in starts if s >= chunk_chars and not text[s - 1].isspace()), len(text))
-    trusted = starts[-2] if len(starts) > 1 else 0
-    single = lambda keep: [(at + s, encode(text[s:e])) for s, e in zip(starts, ends, strict=True) if keep(s)]
-    return {
-        "head": single(lambda s: s < low),
-        "body": encode(text[low:high]),
-        "tail": single(lambda s: s >= high),
-        "trusted": at + trusted,
-    }
-
-
-def join_chunks(chunks: list[dict]) -> list[int] | None:
-    """Ids of a text from its encoded chunks in order; None if two neighbours never agree."""
-    ids: list[int] = []
-    since = -1
-    for k, c in enumerate(chunks):
-        until = None
-        if k + 1 < len(chunks):
-            theirs = {s for s, _ in chunks[k + 1]["head"]}
-            until = next((s for s, _ in c["tail"] if s in theirs and s < c["trusted"]), None)
-            if until is None:
-                return None
-        for s, x in c["head"]:
-            if s >= since:
-                ids.extend(x)
-        ids.extend(c["body"])
-        for s, x in c["tail"]:
-            if until is None or s < until:
-                ids.extend(x)
-        since = until if until is not None else since
-    return ids
-
-
-def _lists(key: pa.Array, name: str, ids: list[list[int]]) -> pa.RecordBatch:
-    import itertools
-
-    import numpy as np
-
-    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-    return pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[name, "ids"])
+def _settled(c: str) -> bool:
+    """Whether all versions of Unicode and of white space agree on what a character is."""
+    return unicodedata.ucd_3_2_0.category(c) not in ("Cn", "Cc") or c in "\t\n\r"
+
+
+def boundaries(text: str, start: int, end: int) -> list[int]:
+    """Starts of the pre-tokens of a reading from ``start`` that sees the text up to ``end``."""
+    return [m.start() for m in _pretokens().finditer(text, start, end)]
+
+
+def certain(text: str, start: int, end: int) -> list[int]:
+    """Boundaries that every reading has: the ends of runs of letters, of digits, and of what is no white
+    space. No pre-token holds a letter or digit and then another sign, or white space after a sign."""
+    return [m.start() for m in _certain().finditer(text, start, end) if _settled(text[m.start() - 1]) and _settled(text[m.start()])]
+
+
+def cuts(text: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[int]:
+    """Where neighbouring chunks are stitched: for each overlap the first boundary of both readings that is
+    certain; none where there is none. A text of one chunk has no overlap."""
+    found: list[int] = []
+    last = 0
+    for at in range(chunk_chars, len(text) - overlap_chars, chunk_chars):
+        end = at + overlap_chars
+        known = certain(text, at, end)
+        if not known:
+            continue
+        before = certain(text, max(last + 1, at - overlap_chars), at)
+        left = boundaries(text, before[-1] if before else last, end)
+        both = set(left).intersection(boundaries(text, at, end), known)
+        if both:
+            last = min(both)
+            found.append(last)
+    return found
+
+
+def encode_text(text: str, path: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> tuple[list[int] | np.ndarray, int]:
+    """The ids of a text, and how many pieces it was stitched of."""
+    encoding = encoder(path)
+    at = [0, *cuts(text, chunk_chars, overlap_chars), len(text)]
+    n = len(at) - 1
+    if n == 1:
+        return encoding.encode_ordinary(text), 1
+    if n < MANY_PIECES:
+        return [i for a, b in zip(at, at[1:], strict=False) for i in encoding.encode_ordinary(text[a:b])], n
+    parts = []
+    for k in range(0, n, MANY_PIECES):  # ids are packed as they come: a list of Python numbers takes nine times the room
+        some = [text[a:b] for a, b in zip(at[k : k + MANY_PIECES], at[k + 1 : k + MANY_PIECES + 1], strict=False)]
+        parts += [np.array(x, np.int32) for x in encoding.encode_ordinary_batch(some, num_threads=THREADS)]
+    return np.concatenate(parts), n
 
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """``key, ids``: the token ids of every text, without special tokens.
+    """``key, ids, pieces``: the token ids of every text, without special tokens, and the number of pieces
+    it was stitched of (0 for a null or empty text).
 
     Marker-like strings are ordinary text. Null and empty texts give an empty list, a blank text is
-    encoded like any other. Each input row gives one row; rows that repeat a key are not merged, but
-    of texts over ``chunk_chars`` the key must be unique and not null. Texts of any length.
+    encoded like any other. Each input row gives one row; keys may be null or repeated. A text and its
+    ids are one cell each, so that one task holds them; texts may have any length that a cell may have.
     """
     if not 0 < 2 * overlap_chars <= chunk_chars:
         raise ValueError("the overlap must be at most half a chunk")
     path = path or vocabulary_path()
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key), F.col(text).alias("__t"))
-    long = F.coalesce(F.length("__t") > chunk_chars, F.lit(False))
-    side = pa.list_(pa.struct([("s", pa.int64()), ("x", pa.list_(pa.int32()))]))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _lists(b.column(0), key, [encode(t) if t else [] for t in b.column(1).to_pylist()])
+            done = [encode_text(t, path, chunk_chars, overlap_chars) if t else ([], 0) for t in b.column(1).to_pylist()]
+            offsets = np.zeros(len(done) + 1, np.int32)
+            np.cumsum([len(ids) for ids, _ in done], out=offsets[1:])
+            flat = np.concatenate([np.asarray(ids, np.int32) for ids, _ in done]) if done else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([n for _, n in done], pa.int32())], names=[key, "ids", "pieces"])
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = lambda xs: [{"s": s, "x": x} for s, x in xs]
-        for b in batches:
-            done = [encode_chunk(t, at, chunk_chars, overlap_chars, path) for at, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            columns = [pa.array([pairs(c["head"]) for c in done], side), pa.array([c["body"] for c in done], pa.list_(pa.int32())), pa.array([pairs(c["tail"]) for c in done], side), pa.array([c["trusted"] for c in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[key, "__at", "__c", "head", "body", "tail", "trusted"])
-
-    def joined(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda c: c["__at"])
-        ids = join_chunks([c | {n: [(x["s"], x["x"]) for x in c[n]] for n in ("head", "tail")} for c in parts])
-        if ids is None:
-            encode = encoder(path).encode_ordinary
-            ids = [i for piece in stitch([(c["__at"], c["__c"]) for c in parts]) for i in encode(piece)]
-        return pa.Table.from_batches([_lists(table.column(key).combine_chunks().slice(0, 1), key, [ids])])
-
-    schema = f"`{key}` {kind}, ids array<int>"
-    short = spread(rows.where(~long)).mapInArrow(whole, schema)
-    starts = F.sequence(F.lit(0), F.length("__t") - 1, F.lit(chunk_chars))
-    cut = lambda a: F.struct(a.alias("__at"), F.substring(F.col("__t"), a + 1, F.lit(chunk_chars + overlap_chars)).alias("__c"))
-    chunks = rows.where(long).select(key, F.explode(F.transform(starts, cut)).alias("x")).select(key, "x.*")
-    scattered = chunks.repartition(F.col(key), F.col("__at"))  # the chunks of one text go to many tasks
-    overlap = "array<struct<s: bigint, x: array<int>>>"
-    parts = scattered.mapInArrow(encoded, f"`{key}` {kind}, __at int, __c string, head {overlap}, body array<int>, tail {overlap}, trusted bigint")
-    return short.unionByName(parts.groupBy(key).applyInArrow(joined, schema))
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, pieces int")
