@@ -1,31 +1,45 @@
 """Evaluation texts that leak into training text (problem 7).
 
-A positional inverted index restricted to what can matter. The corpus is read once and never
-shuffled: the pass counts in how many documents each term of the test items occurs, and stores the
-postings (term, document, positions) of test terms in documents that hold some five neighbouring
-words of an item. A stretch of twelve words with at most one word in eight changed, left out or added
-always keeps five neighbouring words, so nothing is lost. Then, of every five words of an item, the
-posting list of the rarest (by the counts over all documents) is shifted by its offset and
-intersected with the shifted lists of the other four, which gives exact phrases; each is extended on
-both sides over the lists of its neighbours, across changed words, to a match by proximity.
+A distributed positional inverted index. Items are a table: their tokens, the wording that several of
+them share, and their phrases of five words are found by aggregations, so that their number may grow.
+
+* The corpus is read once, whatever the number of items. The pass stores postings (term, document,
+  positions) of test terms where five words in a row are linked in pairs as in some item, and an item's
+  length around; what it takes along are bitmaps of pairs and terms of a fixed size, which can store a
+  posting too much but never miss one.
+* Each phrase looks up the list of its rarest term, the one with the shortest list; shifted by the term's
+  offset, the positions are where the phrase would start. With each position stand the hashes of the five
+  phrases that it is part of, so that the lists of the other terms are intersected without being fetched.
+  Then the lists of those documents are, which gives exact phrases; each is extended on both sides over the
+  lists of its neighbours, across changed words, to a match by proximity.
+
+A stretch of twelve words with at most one word in eight changed, left out or added always keeps five
+neighbouring words, so nothing is lost.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.tables import cut_lineage, spread
 
-#: Items are handled in blocks of this many, so that what travels to the executors is bounded.
-ITEMS_PER_BLOCK = 5_000
+#: Bits of each bitmap that travels to the executors (2 MiB), whatever the number of items.
+BITMAP_BITS = 1 << 24
+#: Items with at most this many words in all travel to the executors whole; larger sets are joined instead.
+CARRIED_WORDS = 1_000_000
 #: A stretch is this many words; a Chinese character counts as 12/30 of a word.
 STRETCH_WORDS = 12.0
 CJK_WEIGHT = 0.4
@@ -39,7 +53,7 @@ SHARED_RUN = 6
 OWN_WORDS = 6.0
 
 _TOKEN = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.*?-->")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--.*?-->")
 _ASCII_TOKEN = re.compile(r"[a-z0-9]+")
 _WORD_TOKEN = re.compile(r"[^\W_]+")
 _HAS_CJK = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
@@ -80,44 +94,27 @@ def _weight(token: str) -> float:
 
 
 class Item:
-    """An item's tokens, their weights, and which of them are wording of its own."""
-
-    def __init__(self, key, tokens: list[str]):
-        self.key, self.tokens = key, tokens
-        self.weights = [_weight(t) for t in tokens]
-        self.own: list[bool] = [True] * len(tokens)
-        self.sums()
-
-    def sums(self) -> None:
-        """Running weights of all words and of the item's own."""
+    """An item's tokens, their weights, and which of them are wording of its own; ``shared`` are the places
+    of runs of ``SHARED_RUN`` words that other items hold too."""
+
+    def __init__(self, tokens: Sequence[str], shared: Sequence[int] = ()):
+        self.tokens = list(tokens)
+        self.weights = [_weight(t) for t in self.tokens]
+        self.own = [True] * len(self.tokens)
+        for i in shared:
+            self.own[i : i + SHARED_RUN] = [False] * SHARED_RUN
+        if sum(w for w, o in zip(self.weights, self.own, strict=True) if o) < OWN_WORDS and sum(self.weights) < STRETCH_WORDS:
+            self.own = [True] * len(self.tokens)  # a short item of common wording can only be found whole
+        #: Running weights of all words and of the item's own.
         self.total, self.mine = [0.0], [0.0]
         for w, x in zip(self.weights, self.own, strict=True):
             self.total.append(self.total[-1] + w)
             self.mine.append(self.mine[-1] + (w if x else 0.0))
 
-    def phrases(self) -> list[tuple[int, tuple[str, ...]]]:
+    def phrases(self) -> list[tuple[int, list[str]]]:
         """Offsets and words of the phrases with a word of the item's own; of a short item, itself."""
         n = min(PHRASE, len(self.tokens))
-        return [(i, tuple(self.tokens[i : i + n])) for i in range(len(self.tokens) - n + 1) if any(self.own[i : i + n])]
-
-
-def shared_wording(items: list[Item]) -> None:
-    """Marks the words of runs that occur in two or more items with different texts.
-
-    Items of the same text count as one, or none of them could ever be found.
-    """
-    holders: dict[tuple, set] = defaultdict(set)
-    for it in items:
-        text = tuple(it.tokens)
-        for i in range(len(text) - SHARED_RUN + 1):
-            holders[text[i : i + SHARED_RUN]].add(hash(text))
-    for it in items:
-        for i in range(len(it.tokens) - SHARED_RUN + 1):
-            if len(holders[tuple(it.tokens[i : i + SHARED_RUN])]) > 1:
-                it.own[i : i + SHARED_RUN] = [False] * SHARED_RUN
-        if sum(w for w, o in zip(it.weights, it.own, strict=True) if o) < OWN_WORDS and sum(it.weights) < STRETCH_WORDS:
-            it.own = [True] * len(it.tokens)  # a short item of common wording can only be found whole
-        it.sums()
+        return [(i, self.tokens[i : i + n]) for i in range(len(self.tokens) - n + 1) if any(self.own[i : i + n])]
 
 
 def _run(tokens: list[str], at: dict[int, str], o: int, p: int, step: int) -> int:
@@ -130,7 +127,8 @@ def _run(tokens: list[str], at: dict[int, str], o: int, p: int, step: int) -> in
     return k
 
 
-#: Ways over a change: words of the item and of the document that are skipped, the cheapest first.
+#: Ways over a change: words of the item and of the document that are skipped, the cheapest first. Longer
+#: ones need no way: of a stretch with four changes in a row, what is on one side is a stretch by itself.
 _STEPS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 2), (2, 3)]
 
 
@@ -139,7 +137,7 @@ def _extend(item: Item, at: dict[int, str], o: int, p: int, step: int) -> list[t
     ends = []
     changes = 0.0
     tokens = item.tokens
-    for _ in range(6):
+    while True:
         best = None
         for skip, gap in _STEPS:
             k = _run(tokens, at, o + step * skip, p + step * gap, step)
@@ -178,118 +176,241 @@ def repeats(item: Item, at: dict[int, str], o: int, p: int, k: int) -> bool:
     return False
 
 
-def postings(documents: DataFrame, key: str, text: str, items: list[Item]) -> DataFrame:
-    """``term, <key>, positions, n``: the index and, with ``n`` set, document counts of test terms.
+class _Hashes(dict):
+    """Hashes of tokens, kept for those that recur."""
 
-    A document is indexed if it holds a phrase of an item; of its words those are stored that occur
-    in an item, within an item's length of such a phrase.
-    """
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, tokens: Sequence[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` neighbouring hashes."""
+    size = max(len(hashes) - n + 1, 0)
+    mixed = np.full(size, n, np.uint64)
+    for k in range(n):
+        mixed = (mixed ^ hashes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _slots(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The place in a bitmap of each ``n`` neighbouring hashes."""
+    return (_mixed(hashes, n) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each five neighbouring words, as it is stored."""
+    return (_mixed(hashes, PHRASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Filter(NamedTuple):
+    """What decides which postings are stored: bitmaps, packed, of the items' terms, of pairs of
+    neighbouring words within phrases, and of whole items shorter than a phrase by their length; and how
+    many words around a phrase are stored."""
+
+    bits: int
+    terms: bytes
+    pairs: bytes
+    short: dict[int, bytes]
+    reach: int
+
+
+def phrase_filter(texts: DataFrame, bits: int = BITMAP_BITS) -> Filter:
+    """The filter of prepared items. The driver gets the numbers of the bits that are set, each once, at
+    most ``bits`` for each of six bitmaps."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            found: set[tuple[int, int]] = set()
+            for tokens, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found.update((0, int(x)) for x in _slots(hashes.of(tokens), 1, bits))
+                for _, phrase in Item(tokens, shared or ()).phrases():
+                    h = hashes.of(phrase)
+                    n = len(phrase)
+                    found.update((PHRASE, int(x)) for x in (_slots(h, 2, bits) if n == PHRASE else ()))
+                    if n < PHRASE:
+                        found.add((n, int(_slots(h, n, bits)[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=["kind", "slot"])
+
+    set_ = texts.select("tokens", "shared").mapInArrow(slots, "kind int, slot int").distinct().toArrow()
+    kinds, places = set_.column("kind").to_numpy(), set_.column("slot").to_numpy()
+
+    def bitmap(kind: int) -> bytes:
+        on = np.zeros(bits, bool)
+        on[places[kinds == kind]] = True
+        return np.packbits(on).tobytes()
+
+    longest = texts.agg(F.max(F.size("tokens")).alias("n")).first()["n"] or 0
+    return Filter(bits, bitmap(0), bitmap(PHRASE), {n: bitmap(n) for n in range(1, PHRASE) if (kinds == n).any()}, longest * 5 // 4 + 16)
+
+
+def postings(documents: DataFrame, key: str, text: str, keep: Filter) -> DataFrame:
+    """``term, <key>, positions, grams``: the index, of every document, in one narrow pass. ``grams`` has
+    five numbers for each position: the hashes of the phrases in which it has place 0 to 4."""
     kind = documents.schema[key].dataType.simpleString()
-    terms = frozenset(t for it in items for t in it.tokens)
-    by_size: dict[int, set] = defaultdict(set)
-    for it in items:
-        for _, phrase in it.phrases():
-            by_size[len(phrase)].add(phrase)
-    sizes = [(n, frozenset(x)) for n, x in by_size.items()]
-    reach = max((len(it.tokens) for it in items), default=0) * 5 // 4 + 16
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        doc_type = None
-        row = lambda *c: pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], doc_type), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.int64())], names=["term", key, "positions", "n"])
+        unpack = lambda packed: np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        terms, pairs, short = unpack(keep.terms), unpack(keep.pairs), {n: unpack(x) for n, x in keep.short.items()}
+        hashes = _Hashes()
         for b in batches:
-            doc_type = b.schema.field(0).type
-            out: tuple[list, list, list] = ([], [], [])
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = tokens_of(t)
-                held = terms.intersection(words)
-                counts.update(held)
-                if len(held) < 3 and not by_size.keys() & {1, 2}:
-                    continue
-                ends: list[int] = []
-                for n, phrases in sizes:
-                    grams = lambda n=n: zip(*[words[i:] for i in range(n)], strict=False)
-                    if not phrases.isdisjoint(grams()):
-                        ends += [i for i, g in enumerate(grams()) if g in phrases]
-                if not ends:
-                    continue
-                places: dict[str, list[int]] = defaultdict(list)
-                done = 0
-                for at in sorted(ends):
-                    for i in range(max(done, at - reach), min(len(words), at + reach + 1)):
-                        if words[i] in held:
-                            places[words[i]].append(i)
-                    done = max(done, at + reach + 1)
-                for w, at in places.items():
-                    out[0].append(w)
-                    out[1].append(k)
-                    out[2].append(at)
-            yield row(*out, [None] * len(out[0]))
-        if doc_type is not None:
-            yield row(list(counts), [None] * len(counts), [None] * len(counts), list(counts.values()))
-
-    return spread(documents.where(F.col(text).isNotNull()).select(key, text)).mapInArrow(index, f"term string, `{key}` {kind}, positions array<int>, n long")
-
-
-def intersect(lists: DataFrame, key: str, item_key: str, item_type: str, items: list[Item], frequency: dict[str, int]) -> DataFrame:
-    """Pairs of document and item whose shifted posting lists meet.
-
-    One group is the lists of one document, bounded by its own length.
+            docs = [tokens_of(t) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([len(d) for d in docs])
+            flat = list(itertools.chain.from_iterable(docs))
+            h = hashes.of(flat)
+            total = len(flat)
+            linked = pairs[_slots(h, 2, keep.bits)]
+            linked[ends[(ends > 0) & (ends < total)] - 1] = False  # not from one document to the next
+            starts = linked[: max(total - PHRASE + 1, 0)].copy()
+            for k in range(1, PHRASE - 1):
+                starts &= linked[k : k + len(starts)]
+            found = [np.nonzero(starts)[0]]
+            for n, whole in short.items():
+                at = np.nonzero(whole[_slots(h, n, keep.bits)])[0]
+                found.append(at[np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + n - 1, "right")])
+            at = np.concatenate(found)
+            owner = np.searchsorted(ends, at, "right")
+            first = np.concatenate([[0], ends])[owner]
+            cover = np.zeros(total + 1, np.int64)
+            np.add.at(cover, np.maximum(first, at - keep.reach), 1)
+            np.add.at(cover, np.minimum(ends[owner], at + PHRASE + keep.reach), -1)
+            stored = np.nonzero((np.cumsum(cover[:total]) > 0) & terms[_slots(h, 1, keep.bits)])[0]
+            owner = np.searchsorted(ends, stored, "right")
+            lists: dict[tuple[int, str], list[int]] = defaultdict(list)  # of places in ``stored``
+            for n, (d, i) in enumerate(zip(owner.tolist(), stored.tolist(), strict=True)):
+                lists[d, flat[i]].append(n)
+            order = np.fromiter(itertools.chain.from_iterable(lists.values()), np.int64, len(stored))
+            offsets = np.zeros(len(lists) + 1, np.int32)
+            np.cumsum(list(map(len, lists.values())), out=offsets[1:])
+            padded = np.concatenate([np.zeros(PHRASE - 1, np.int32), _grams(h), np.zeros(PHRASE, np.int32)])
+            positions = (stored - np.concatenate([[0], ends])[owner])[order].astype(np.int32)
+            grams = padded[stored[order][:, None] + (PHRASE - 1 - np.arange(PHRASE))].ravel()
+            columns = [pa.array([t for _, t in lists], pa.string()), b.column(0).take(pa.array([d for d, _ in lists], pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions)), pa.ListArray.from_arrays(pa.array(offsets * np.int32(PHRASE)), pa.array(grams))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", key, "positions", "grams"])
+
+    rows = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    return spread(rows).mapInArrow(index, f"term string, `{key}` {kind}, positions array<int>, grams array<int>")
+
+
+def prepared_items(items: DataFrame, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """``item, text_key`` of all items with a word, and ``text_key, tokens, shared`` of their different texts.
+
+    Wording is shared if a run of ``SHARED_RUN`` words stands in two different texts: one aggregation over
+    all runs. Items of the same words count as one, or none of them could ever be found.
     """
-    kind = lists.schema[key].dataType.simpleString()
-    rarest: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)  # term -> item, phrase, its size, offset of the term
-    for n, it in enumerate(items):
-        for i, phrase in it.phrases():
-            j = min(range(len(phrase)), key=lambda j: (frequency.get(phrase[j], 0), phrase[j]))
-            rarest[phrase[j]].append((n, i, len(phrase), i + j))
-
-    def meet(table: pa.Table) -> pa.Table:
-        at = {p: t for t, ps in zip(table.column("term").to_pylist(), table.column("positions").to_pylist(), strict=True) for p in ps}
-        found: set[int] = set()
-        tried: dict[tuple[int, int], int] = {}
-        for p in sorted(at):
-            for n, i, size, o in rarest.get(at[p], ()):
-                shift = p - o
-                if n in found or tried.get((n, shift), -1) > i:
-                    continue
-                tokens = items[n].tokens
-                if all(at.get(shift + x) == tokens[x] for x in range(i, i + size)):
-                    left = _run(tokens, at, i - 1, shift + i - 1, -1)
-                    k = left + _run(tokens, at, i, shift + i, 1)
-                    tried[(n, shift)] = i - left + k
-                    if repeats(items[n], at, i - left, shift + i - left, k):
-                        found.add(n)
-        doc = table.column(key).combine_chunks()
-        return pa.table({key: pa.array([doc[0].as_py()] * len(found), doc.type), item_key: pa.array([items[n].key for n in sorted(found)], pa.int64() if item_type == "bigint" else pa.string())})
-
-    return lists.groupBy(key).applyInArrow(meet, f"`{key}` {kind}, `{item_key}` {item_type}")
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    kind = items.schema[item_key].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["item", "tokens"])
+
+    source = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("t")).distinct()
+    parsed = source.mapInArrow(parse, f"item {kind}, tokens array<string>").where(F.size("tokens") > 0)
+    parsed = cut_lineage(parsed.withColumn("text_key", F.sha2(F.concat_ws(" ", "tokens"), 256)))
+    texts = parsed.groupBy("text_key").agg(F.any_value("tokens").alias("tokens"))
+    last = F.size("tokens") - SHARED_RUN
+    runs = texts.where(last >= 0).select("text_key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.slice("tokens", i + 1, SHARED_RUN)))).alias("at", "run"))
+    twice = runs.groupBy("run").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
+    shared = runs.join(twice, "run", "left_semi").groupBy("text_key").agg(F.collect_list("at").alias("shared"))  # of one item
+    return parsed.select("item", "text_key").distinct(), cut_lineage(texts.join(shared, "text_key", "left"))
+
+
+def lookups(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """``term, text_key, offset, place, gram``: of each phrase whose terms are all in the index, the rarest
+    of them by the length of its list, its place in the phrase, and the phrase's hash, null for a short item."""
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            out = [(k, o, p, int(_grams(hashes.of(p))[0]) if len(p) == PHRASE else None) for k, t, s in zip(*[c.to_pylist() for c in b.columns], strict=True) for o, p in Item(t, s or ()).phrases()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.string())), pa.array([x[3] for x in out], pa.int32())], names=["text_key", "offset", "terms", "gram"])
+
+    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+    each = texts.select("text_key", "tokens", "shared").mapInArrow(phrases, "text_key string, offset int, terms array<string>, gram int").select("text_key", "offset", "gram", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term"))
+    held = each.join(frequency, "term").groupBy("text_key", "offset", "gram", "size").agg(F.count("*").alias("held"), F.min_by(F.struct("term", "place"), F.struct("n", "term", "place")).alias("x"))
+    return held.where("held = size").select("x.term", "text_key", "offset", "x.place", "gram")
+
+
+def intersect(index: DataFrame, key: str, entries: DataFrame, texts: DataFrame, carried_words: int = CARRIED_WORDS) -> DataFrame:
+    """``<key>, text_key``: documents whose shifted posting lists meet in an exact phrase that extends to a
+    stretch of the item.
+
+    The lists that the entries name are fetched by term. A document's lists, and what may be in it, come
+    together in one row, bounded by its own length. Terms of long lists have no more entries than others,
+    and a list's rows are one per document, so that a skewed join can be split.
+    """
+    kind = index.schema[key].dataType.simpleString()
+    at = F.transform("positions", lambda p, i: F.when(F.col("gram").isNull() | (F.get("grams", i * PHRASE + F.col("place")) == F.col("gram")), p - F.col("place")))
+    met = index.join(entries, "term").select(key, "text_key", "offset", F.filter(at, lambda p: p >= 0).alias("starts")).where(F.size("starts") > 0)
+    hits = met.groupBy(key, "text_key").agg(F.collect_list(F.struct("offset", "starts")).alias("hits"))
+    words = texts.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    known = {r.text_key: Item(r.tokens, r.shared or ()) for r in texts.collect()} if words <= carried_words else {}
+    if words > carried_words:
+        hits = hits.join(texts, "text_key")
+    sought = hits.groupBy(key).agg(F.collect_list(F.struct(*[c for c in hits.columns if c != key])).alias("sought"))
+    lists = index.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = dict(known)
+        for b in batches:
+            rows, keys = [], []
+            seek, held = b.column(1).flatten(), b.column(2).flatten()
+            columns = {n: seek.field(n) for n in seek.type.names}
+            text_keys, hits = columns["text_key"].to_pylist(), columns["hits"].to_pylist()
+            terms, positions = held.field("term").to_pylist(), held.field("positions").to_pylist()
+            sought_until, lists_until = np.cumsum(pc.list_value_length(b.column(1))), np.cumsum(pc.list_value_length(b.column(2)))
+            i = j = 0
+            for n in range(b.num_rows):
+                at: dict[int, str] = {}
+                for x in range(j, lists_until[n]):
+                    at.update(dict.fromkeys(positions[x], terms[x]))
+                for x in range(i, sought_until[n]):
+                    item = items.get(text_keys[x])
+                    if item is None:
+                        if len(items) >= 10_000:
+                            items.clear()
+                        item = items[text_keys[x]] = Item(columns["tokens"][x].as_py(), columns["shared"][x].as_py() or ())
+                    if _found(item, at, sorted({(h["offset"], p) for h in hits[x] for p in h["starts"]})):
+                        rows.append(n)
+                        keys.append(text_keys[x])
+                i, j = sought_until[n], lists_until[n]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=[key, "text_key"])
+
+    return sought.join(lists, key).select(key, "sought", "lists").mapInArrow(meet, f"`{key}` {kind}, text_key string")
+
+
+def _found(item: Item, at: dict[int, str], hits: list[tuple[int, int]]) -> bool:
+    tried: dict[int, int] = {}  # shift -> offset up to which the item is known not to extend
+    size = min(PHRASE, len(item.tokens))
+    for offset, start in hits:
+        shift = start - offset
+        if tried.get(shift, -1) > offset or any(at.get(shift + x) != item.tokens[x] for x in range(offset, offset + size)):
+            continue
+        left = _run(item.tokens, at, offset - 1, start - 1, -1)
+        k = left + _run(item.tokens, at, offset, start, 1)
+        tried[shift] = offset - left + k
+        if repeats(item, at, offset - left, start - left, k):
+            return True
+    return False
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", bits: int = BITMAP_BITS, carried_words: int = CARRIED_WORDS) -> DataFrame:
     """``key, item_key`` of every document that repeats a passage of an item, each pair once.
 
     A passage is a stretch of at least 12 words (30 Chinese characters), or the whole of a shorter
     item, with at most one word in eight changed, left out or added; case, punctuation, markup,
     escapes and layout play no part. At least half of the twelve words must not be wording that
-    several items share. Null and empty texts on either side match nothing; items with one text are
-    all reported; repeated rows are one. Texts of any length: one row of the corpus is read at once,
-    and postings are kept around phrases only. Items are taken in blocks of bounded size.
+    several items share. Null and empty texts and null keys on either side match nothing; items with one text are
+    all reported; repeated rows are one, and a key names one text. Texts and items of any length and number.
     """
-    item_type = "bigint" if items.schema[item_key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
-    source = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast(item_type).alias("k"), F.col(item_text).alias("t")).distinct()
-    rows = sorted((r.k, r.t) for r in source.toLocalIterator())
-    parsed = [Item(k, tokens) for k, t in rows if (tokens := tokens_of(t))]
-    shared_wording(parsed)
-    kind = documents.schema[key].dataType.simpleString()
-    result = None
-    for a in range(0, len(parsed), block):
-        part = parsed[a : a + block]
-        index = cut_lineage(postings(documents, key, text, part))
-        counts = index.where("n IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()  # test terms only
-        lists = index.where("n IS NULL").select("term", key, "positions")
-        found = intersect(lists, key, item_key, item_type, part, {r.term: r.n for r in counts})
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return documents.sparkSession.createDataFrame([], f"`{key}` {kind}, `{item_key}` {item_type}")
-    return result.distinct()
-
+    named, texts = prepared_items(items, item_key, item_text)
+    index = cut_lineage(postings(documents, key, text, phrase_filter(texts, bits)))
+    found = intersect(index, key, lookups(texts, index), texts, carried_words)
+    return found.join(named, "text_key").select(key, F.col("item").alias(item_key)).distinct()

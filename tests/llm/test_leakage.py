@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factweave.llm.leakage import Item, leaked_items, shared_wording, tokens_of
+from factweave.llm.leakage import leaked_items, phrase_filter, postings, prepared_items, tokens_of
 
 ASK = "Read the following passage about a fictional service and answer the question at the end in one short sentence."
 SYLLABLES = ["kel", "vor", "mi", "tan", "ru", "sil", "bra", "osk"]
@@ -63,7 +63,7 @@ def test_edges(spark):
     e = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert leaked_items(d, e).count() == 0
     twice = ["x " + " ".join(ITEMS[0]) + " " + " ".join(ITEMS[1]) * 2]
-    assert case(spark, twice) == [(0, 0), (0, 1)] == case(spark, twice, block=3)
+    assert case(spark, twice) == [(0, 0), (0, 1)] == case(spark, twice, bits=64) == case(spark, twice, carried_words=0)  # a full bitmap only stores more
     assert case(spark, ["lorem " * 50_000 + " ".join(ITEMS[2]) + " ipsum" * 50_000]) == [(0, 2)]
 
 
@@ -110,8 +110,31 @@ def test_against_brute_force(spark, seed):
     assert got == want
 
 
-def test_tokens_and_shared_wording():
+def test_tokens_and_shared_wording(spark):
     assert tokens_of("Ｆｕｌｌ-width _em_ <b>bold</b> &amp; caf\\u00e9\\nnew o'clock re-\nported 好的") == ["full", "width", "em", "bold", "café", "new", "o", "clock", "reported", "好", "的"]
-    a, b = Item(1, tokens_of(f"{ASK} one two three")), Item(2, tokens_of(f"{ASK} four five six"))
-    shared_wording([a, b])
-    assert a.own.count(True) == 3
+    assert tokens_of(f'one <a title="{"x " * 300}">two') == ["one", "two"]
+    items = spark.createDataFrame([(1, f"{ASK} one two three"), (2, f"{ASK} four five six"), (2, f"{ASK} four five six"), (3, f"{ASK}: one, two, three!")], "item_id long, text string")
+    named, texts = prepared_items(items, "item_id", "text")
+    shared = [r.shared for r in texts.collect()]
+    assert named.count() == 3 and len(shared) == 2 and all(sorted(x) == list(range(len(ASK.split()) - 5)) for x in shared)
+
+
+def test_few_different_words_and_many_changes(spark):
+    two = "tick tock " * 8
+    assert case(spark, [f"{two} tick"], {1: two}) == [(0, 1)]
+    w = [f"w{i}" for i in range(120)]
+    changed = [x if i % 8 != 7 else "other" for i, x in enumerate(w)]  # 15 changes, each side of any phrase
+    assert case(spark, [" ".join(changed)], {1: " ".join(w)}) == [(0, 1)]
+
+
+def test_many_items_in_one_pass(spark):
+    items = {i: " ".join(passage(1000 + i, 24)) for i in range(20_000)}
+    documents = [f"noise before {items[i]} noise after" for i in range(0, 20_000, 997)] + ["noise only " * 20]
+    assert case(spark, documents, items) == [(n, i) for n, i in enumerate(range(0, 20_000, 997))]
+
+
+def test_index_holds_lists_of_all_documents(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    documents = spark.createDataFrame([(1, "x c d e f g y"), (2, "a b c d x e f"), (None, "a b c d e f"), (4, None)], "doc_id long, text string")
+    index = postings(documents, "doc_id", "text", phrase_filter(prepared_items(items, "item_id", "text")[1]))
+    assert sorted((r.term, r.doc_id, r.positions) for r in index.collect() if len(r.grams) == 5) == [(t, 1, [i + 1]) for i, t in enumerate("cdefg")]
