@@ -7,12 +7,16 @@ the identifier and of the call around it, the shape of the value, and the kind o
 on weak labels: literals that match a pattern of known secrets or a name that says so, against
 placeholders, references and values whose name says what else they are. Scores are calibrated on a
 held-out part, and what lies above the threshold is redacted; all other text stays as it is.
+
+``detect`` reads the texts once: the candidates are kept by the executors while the classifier is fitted
+and they are scored, and released then. Values never go to a checkpoint or any other shared file.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import functools
 import math
 import re
 from collections import Counter
@@ -21,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ REDACTED = "[REDACTED]"
 SECRET_WORDS = frozenset("password passwd pass passphrase pwd pw secret token auth authorization bearer basic key apikey credential credentials creds cred login signing private license webhook session cookie salt pin pem otp seed phrase unlock passcode passwort kennwort geheimnis schlüssel contraseña contrasena clave secreto passe motdepasse jeton 口令 密码 密碼 密钥 密鑰 令牌".split())
 STRONG_WORDS = frozenset("password passwd passphrase pwd secret apikey credential credentials creds bearer authorization passwort kennwort contraseña contrasena passphrase 口令 密码 密碼 密钥 密鑰 令牌".split())
 OTHER_WORDS = frozenset("digest etag integrity sha sha1 sha256 sha384 sha512 checksum commit blob trace request span correlation revision rev hash fingerprint url uri host file path dir name id ids uuid icon image max min limit count length size header content type mode kind state err error message msg page next prev cursor tokenizer public cert certificate version tag ref user username uid email region bucket env policy ttl expires expiry algorithm alg format note label title".split())
+PHRASE_WORDS = frozenset("password passwd passphrase phrase pwd seed mnemonic secret passwort kennwort contraseña 口令 密码 密碼".split())
 #: Provider prefixes of keys and tokens.
 PREFIXED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|glpat-[\w-]{12,}|npm_[A-Za-z0-9]{16,}|xox[abprs]-[\w-]{10,}|sk-[A-Za-z0-9_-]{16,}|AIza[\w-]{20,}|SG\.[\w.-]{16,}|[a-z0-9]{2,5}_(?:sk|pk|live|test|key)_(?:live_|test_)?[A-Za-z0-9]{12,}|(?:sk|rk)_(?:live|test)_\w{10,}|[A-Za-z0-9]{2,5}[._-](?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{20,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.?[\w-]*")
@@ -92,6 +98,7 @@ _ABBREVIATION = re.compile(r"^(?:smtps?|https?|html|mqtt|rtsp|ldaps?|grpc|sftp|f
 _LONG = re.compile(r"[A-Za-z0-9_.-]{14}")
 #: A line without any of this holds no literal: quotes, assignments, markup, options, long tokens.
 _MAYBE = re.compile(r"[\"'`=:<]|--|\s-u\s| / |[A-Za-z0-9_.-]{14}|Bearer|Basic|Token|ApiKey|Digest|login\s|(?:ENV|ARG)\s| (?:is|was|were|used to be|became|set to|equals) ", re.I)
+_MARKS = frozenset("\"'`=:<")
 _NUMBERED = re.compile(r"^\s{0,6}\d+\| ?")
 _QUOTE_MARK = re.compile(r"^\s{0,3}> ?")
 _WRAPPED = re.compile(r'^\s*"((?:[^"\\]|\\.)*)",?\s*$')
@@ -150,6 +157,11 @@ def _names_a_secret(words: list[str]) -> bool:
     return last in SECRET_WORDS or _secret_name(words)
 
 
+def _holds_a_phrase(words: list[str]) -> bool:
+    """Whether the name is that of a secret that may have blanks."""
+    return bool(words) and words[-1] in PHRASE_WORDS
+
+
 def candidates(line: str, previous: str = "") -> list[Candidate]:
     """All literals of a statement that could be secrets; ``previous`` is the name given on the line
     before to a value that stands alone."""
@@ -175,7 +187,7 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
             add(m.start(2), m.end(2), m[1], "connection")
     for m in _SCHEME.finditer(line) if _SCHEME_WORD.search(line) else ():
         add(m.start(2), m.end(2), m[1] + " authorization", "scheme")
-    if "--" in line:
+    if "-" in line:
         for m in _FLAG.finditer(line):
             add(m.start(2), m.end(2), m[1], "flag")
     for m in _IDENTIFIED.finditer(line) if quoted else ():
@@ -192,12 +204,14 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
             text = m[3]
             if not text or len(text) < 3:
                 continue
-            if " " in text or _URL.match(text) or "://" in text:
+            if "://" in text:
                 continue
             left = line[: m.start()]
             name, how = _name_before(left, strings[:k])
             if how == "alone" and previous and not left.strip():
                 name, how = previous, "assigned"
+            if " " in text and not (how == "assigned" and _holds_a_phrase(words_of(name))):
+                continue
             add(start, end, name, how)
     for m in _USER_OPTION.finditer(line) if "-" in line and ":" in line else ():
         add(m.start(2), m.end(2), "user password", "userinfo")
@@ -271,7 +285,7 @@ def text_candidates(text: str, memo: dict[str, list[Candidate]] | None = None) -
     candidates of short statements, which recur in source text; it is emptied when full."""
     at, previous = 0, ""
     for number, line in enumerate(text.split("\n"), 1):
-        if _MAYBE.search(line):
+        if not _MARKS.isdisjoint(line) or _MAYBE.search(line):
             for start, statement in segments(line):
                 if previous or memo is None or len(statement) > 100:
                     found = candidates(statement, previous)
@@ -315,13 +329,22 @@ def _readable(value: str) -> bool:
     return bool(words) and sum(map(len, words)) >= 3 * len(words) and not any(_CONSONANTS.search(_ABBREVIATION.sub("", w)) for w in words)
 
 
+_DIGITS, _UPPER, _LOWER = b"0123456789", bytes(range(65, 91)), bytes(range(97, 123))
+
+
+def _counts(value: str) -> tuple[int, int, int]:
+    """Numbers of digits, capitals and small letters."""
+    if value.isascii():
+        raw = value.encode()
+        return tuple(len(raw) - len(raw.translate(None, x)) for x in (_DIGITS, _UPPER, _LOWER))  # type: ignore[return-value]
+    return sum(map(str.isdigit, value)), sum(map(str.isupper, value)), sum(map(str.islower, value))
+
+
+@functools.lru_cache(maxsize=50_000)
 def shape(value: str) -> dict[str, float]:
     """What a value looks like, as numbers."""
     n = len(value)
-    counts = Counter(value)
-    digits = sum(c.isdigit() for c in value)
-    upper = sum(c.isupper() for c in value)
-    lower = sum(c.islower() for c in value)
+    digits, upper, lower = _counts(value)
     other = n - digits - upper - lower
     return {
         "length": math.log1p(n) / 4,
@@ -331,7 +354,7 @@ def shape(value: str) -> dict[str, float]:
         "upper": upper / n,
         "other": other / n,
         "classes": (bool(digits) + bool(upper) + bool(lower) + bool(other)) / 4,
-        "entropy": -sum(c / n * math.log2(c / n) for c in counts.values()) / 6,
+        "entropy": -sum(c / n * math.log2(c / n) for c in Counter(value).values()) / 6,
         "placeholder": float(bool(_PLACEHOLDER.match(value))),
         "reference": float(bool(_DOTTED.match(value)) and not PREFIXED.match(value) and not JWT.match(value) and "=" not in value and (not digits and any(x in value for x in ".([") or (not digits or "." in value) and _readable(value))),
         "path": float(bool(_PATH.match(value)) and (n < 12 or _readable(value))),
@@ -346,8 +369,9 @@ def shape(value: str) -> dict[str, float]:
     }
 
 
-def features(value: str, name: str, how: str, path: str, likelihood: float) -> list[float]:
-    """The features of one candidate; ``likelihood`` is the Markov log ratio per character."""
+def features(value: str, name: str, how: str, config: bool, test: bool, likelihood: float) -> list[float]:
+    """The features of one candidate; ``likelihood`` is the Markov log ratio per character, ``config`` and
+    ``test`` tell whether its file is one of configuration or of tests."""
     words = words_of(name)
     seen = shape(value)
     secret = _names_a_secret(words)
@@ -363,8 +387,8 @@ def features(value: str, name: str, how: str, path: str, likelihood: float) -> l
         float(secret and not told and seen["classes"] > 0.3 and not seen["short"]),
         float(not secret and not seen["prefixed"]),
         told,
-        float(bool(_CONFIG.search(path))),
-        float(bool(_TEST.search(path))),
+        float(config),
+        float(test),
         *[float(how == h) for h in HOW],
     ]
 
@@ -394,8 +418,10 @@ def weak_label(value: str, name: str, how: str) -> int | None:
     return None
 
 
-def _symbol(c: str) -> int:
-    return ord(c) - 31 if 32 <= ord(c) < 127 else 0
+def _symbols(value: str) -> np.ndarray:
+    """Printable ASCII as 1 to 95, all else as 0."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where((codes >= 32) & (codes < 127), codes - 31, 0)
 
 
 class Markov(NamedTuple):
@@ -405,11 +431,11 @@ class Markov(NamedTuple):
     other: np.ndarray
 
     def ratio(self, value: str) -> float:
-        """Mean log likelihood ratio of a value; 0 for single characters."""
-        symbols = [_symbol(c) for c in value[:200]]
+        """Mean log likelihood ratio of a whole value; 0 for single characters."""
+        symbols = _symbols(value)
         if len(symbols) < 2:
             return 0.0
-        a, b = np.array(symbols[:-1]), np.array(symbols[1:])
+        a, b = symbols[:-1], symbols[1:]
         return float((self.secret[a, b] - self.other[a, b]).mean())
 
     @staticmethod
@@ -451,16 +477,17 @@ class Model(NamedTuple):
     scale: float
     shift: float
 
-    def probability(self, c: Candidate, path: str, memo: dict | None = None) -> float:
-        """Calibrated probability that the candidate is a credential; ``memo`` keeps those of literals
-        that recur, and is emptied when full."""
-        if c.how == "pem":
-            return 1.0
-        key = (c.value, c.name, c.how, bool(_CONFIG.search(path)), bool(_TEST.search(path)))
+    def probability(self, value: str, name: str, how: str, config: bool, test: bool, memo: dict | None = None) -> float:
+        """Calibrated probability that a candidate is a credential; ``memo`` keeps those of literals that
+        recur, and is emptied when full. Without weights, only the BEGIN line of a private key is one."""
+        key = (value, name, how, config, test)
         if memo is not None and key in memo:
             return memo[key]
-        x = np.array([*features(c.value, c.name, c.how, path, self.markov.ratio(c.value)), 1.0])
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * float(x @ self.weights) + self.shift))))
+        if len(self.weights):
+            x = np.array([*features(value, name, how, config, test, self.markov.ratio(value)), 1.0])
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * float(x @ self.weights) + self.shift))))
+        else:
+            p = float(how == "pem")
         if memo is not None:
             if len(memo) >= 100_000:
                 memo.clear()
@@ -470,8 +497,9 @@ class Model(NamedTuple):
     def spans(self, text: str | None, path: str | None, threshold: float = THRESHOLD, memo: dict | None = None, statements: dict | None = None) -> list[tuple[int, int, int]]:
         """(line number, start, end) of the credentials in a text."""
         found = []
+        kind = file_kind(path)
         for number, at, c in text_candidates(text or "", statements):
-            if self.probability(c, path or "", memo) >= threshold:
+            if self.probability(c.value, c.name, c.how, *kind, memo) >= threshold:
                 end = at + c.end
                 if c.how == "pem" and (close := re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, end)):
                     end = close.end()
@@ -479,60 +507,75 @@ class Model(NamedTuple):
         return found
 
 
-def _label_rows(rows: DataFrame, text: str, path: str | None) -> DataFrame:
+def file_kind(path: str | None) -> tuple[bool, bool]:
+    """Whether a file is one of configuration, and whether one of tests."""
+    return bool(_CONFIG.search(path or "")), bool(_TEST.search(path or ""))
+
+
+def candidate_rows(rows: DataFrame, key: str, text: str = "code", path: str | None = "file") -> DataFrame:
+    """``key, line_no, value, name, how, config, test, label`` of every candidate of every text."""
+    kind = rows.schema[key].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, labels = {}, {}
         for b in batches:
-            out = []
-            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for _, _, c in text_candidates(t or "", memo):
-                    key = (c.value, c.name, c.how)
-                    if key not in labels:
+            place, out = [], []
+            for n, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                kinds = file_kind(p)
+                for number, _, c in text_candidates(t or "", memo):
+                    literal = (c.value, c.name, c.how)
+                    if literal not in labels:
                         if len(labels) >= 100_000:
                             labels.clear()
-                        labels[key] = weak_label(*key)
-                    label = labels[key]
-                    if label is not None and c.how != "pem":
-                        out.append((c.value, c.name, c.how, p or "", label))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.int32())], names=["value", "name", "how", "path", "label"])
+                        labels[literal] = weak_label(*literal)
+                    place.append(n)
+                    out.append((number, *literal, *kinds, labels[literal]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "line_no", "value", "name", "how", "config", "test", "label"])
 
-    source = rows.select(F.col(text), (F.col(path) if path else F.lit(None)).cast("string"))
-    return spread(source).mapInArrow(run, "value string, name string, how string, path string, label int")
+    source = rows.select(F.col(key), F.col(text).alias("__t"), (F.col(path) if path else F.lit(None)).cast("string").alias("__p"))
+    return spread(source).mapInArrow(run, f"`{key}` {kind}, line_no int, value string, name string, how string, config boolean, test boolean, label int")
 
 
-def train(rows: DataFrame, text: str = "code", path: str | None = "file", sample: int = MAX_TRAINING_ROWS) -> Model:
-    """Fits the classifier on weak labels.
+def fit(found: DataFrame, sample: int = MAX_TRAINING_ROWS) -> Model:
+    """Fits the classifier on the weak labels of ``candidate_rows``.
 
-    Character chains are counted over all labelled literals of the corpus; the regression is fitted
-    on at most ``sample`` of them, chosen by hash, a quarter of which is held out for calibration.
-    A corpus without literals of both kinds gives a model that finds private key blocks only.
+    Character chains are counted over all different labelled literals; the regression is fitted on at
+    most ``sample`` of them, as many of either label, chosen by hash, a quarter of which is held out for
+    calibration. Without literals of both kinds the model finds private key blocks only.
     """
-    labelled = cut_lineage(_label_rows(rows, text, path).distinct())
+    literal = ["value", "name", "how", "config", "test", "label"]
+    labelled = found.where("label IS NOT NULL").select(*literal).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = np.zeros((2, 96 * 96), np.int64)
+        total = [0, 0]
         for b in batches:
             for value, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                symbols = [_symbol(c) for c in value]
-                counts.update((label, 96 * x + y) for x, y in zip(symbols, symbols[1:], strict=False))
-                counts[(label, -1)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["label", "pair", "n"])
+                symbols = _symbols(value)
+                np.add.at(counts[label], 96 * symbols[:-1] + symbols[1:], 1)
+                total[label] += 1
+        at = np.nonzero(counts)
+        columns = [[*at[0].tolist(), 0, 1], [*at[1].tolist(), -1, -1], [*counts[at].tolist(), *total]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["label", "pair", "n"])
 
     counted = labelled.select("value", "label").mapInArrow(pairs, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
     counts = {(r.label, r.pair): r.n for r in counted.collect()}  # at most 2 * 96 * 96 rows
     total = {k: counts.pop((k, -1), 0) for k in (0, 1)}
     markov = Markov.of(counts)
-    width = len(features("aaaa", "", "alone", "", 0.0)) + 1
     if not all(total.values()):
-        return Model(markov, np.zeros(width), 1.0, -30.0)
-    order = F.pmod(F.xxhash64("value", "name", "how", "path"), F.lit(1_000_000))
+        labelled.unpersist()
+        return Model(markov, np.zeros(0), 1.0, 0.0)
+    order = F.shiftrightunsigned(F.xxhash64("value", "name", "how", "config", "test"), 1)
     keep = F.lit(False)
     for k, n in total.items():  # both classes get the same room
-        keep = keep | ((F.col("label") == k) & (order < min(1_000_000, int(1_000_000 * sample / 2 / n * 0.95))))
-    rows_ = labelled.where(keep).withColumn("h", order).orderBy("h", "value", "name", "how", "path").limit(sample).collect()
-    x = np.array([features(r.value, r.name, r.how, r.path, markov.ratio(r.value)) for r in rows_])
-    y = np.array([float(r.label) for r in rows_])
+        share = min(1.0, sample / 2 / n * 0.95)
+        keep = keep | ((F.col("label") == k) & (order <= F.lit(min(2**63 - 1, int(2**63 * share)))))
+    rows = labelled.where(keep).withColumn("h", order).orderBy("h", *literal[:-1]).limit(sample).collect()
+    labelled.unpersist()
+    x = np.array([features(r.value, r.name, r.how, r.config, r.test, markov.ratio(r.value)) for r in rows])
+    y = np.array([float(r.label) for r in rows])
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
     fitted = ~held if 0 < y[~held].sum() < (~held).sum() else np.ones(len(y), bool)
     weights = fit_logistic(x[fitted], y[fitted])
@@ -544,22 +587,44 @@ def train(rows: DataFrame, text: str = "code", path: str | None = "file", sample
     return Model(markov, weights, float(max(scale, 1e-3)), float(shift))
 
 
+def train(rows: DataFrame, text: str = "code", path: str | None = "file", sample: int = MAX_TRAINING_ROWS) -> Model:
+    """Fits the classifier on the texts of ``rows``, for use on others."""
+    return fit(candidate_rows(rows.select(F.lit(0).alias("__k"), F.col(text), *([path] if path else [])), "__k", text, path), sample)
+
+
+def score(found: DataFrame, key: str, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``key, line_no`` of the lines of ``candidate_rows`` on which a credential begins, each once."""
+    kind = found.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for b in batches:
+            at = [n for n, c in enumerate(zip(*[b.column(i).to_pylist() for i in range(2, 7)], strict=True)) if model.probability(*c, memo) >= threshold]
+            yield b.select([key, "line_no"]).take(pa.array(at, pa.int64()))
+
+    return found.select(key, "line_no", "value", "name", "how", "config", "test").mapInArrow(run, f"`{key}` {kind}, line_no int").distinct()
+
+
 def find_credentials(rows: DataFrame, model: Model, key: str, text: str = "code", path: str | None = "file", threshold: float = THRESHOLD) -> DataFrame:
-    """``key, line_no`` of every line on which a credential begins, each once.
+    """``key, line_no`` of every line on which a credential begins, each once, by a fitted model.
 
     Lines are counted from 1 and split at ``\\n``. Null and empty texts have none; a text of any length
     is read whole, line by line. ``path`` is an optional column with the file's path, null allowed.
     """
-    kind = rows.schema[key].dataType.simpleString()
+    return score(candidate_rows(rows, key, text, path), key, model, threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, statements = {}, {}
-        for b in batches:
-            out = [(k, n) for k, t, p in zip(*[c.to_pylist() for c in b.columns], strict=True) for n in sorted({x[0] for x in model.spans(t, p, threshold, memo, statements)})]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], b.schema.field(0).type), pa.array([n for _, n in out], pa.int32())], names=[key, "line_no"])
 
-    source = rows.select(F.col(key), F.col(text).alias("__t"), (F.col(path) if path else F.lit(None)).cast("string").alias("__p"))
-    return spread(source).mapInArrow(run, f"`{key}` {kind}, line_no int").distinct()
+def detect(rows: DataFrame, key: str, text: str = "code", path: str | None = "file", sample: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """``find_credentials`` by a model fitted on the same texts, which are read once.
+
+    The candidates stay with the executors, which release them before this returns; those of a lost
+    executor are read again.
+    """
+    found = candidate_rows(rows, key, text, path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(score(found, key, fit(found, sample), threshold))
+    finally:
+        found.unpersist()
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int]], mark: str = REDACTED) -> str | None:

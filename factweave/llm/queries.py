@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm.codedoc import documented_fields, documented_functions
-from factweave.llm.credentials import find_credentials, train
+from factweave.llm.credentials import detect
 from factweave.llm.leakage import leaked_items
 from factweave.llm.quality import quality_statistics
 from factweave.llm.survivorship import slot_survivors, slot_survivors_sql
@@ -27,8 +27,7 @@ def source_texts(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines on which a credential begins."""
-    rows = source_texts(spark, d)
-    return find_credentials(rows, train(rows), "place").select("place.origin", "place.row_id", "line_no")
+    return detect(source_texts(spark, d), "place").select("place.origin", "place.row_id", "line_no")
 
 
 @LLM.add()

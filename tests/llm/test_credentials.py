@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factweave.llm.credentials import REDACTED, find_credentials, redact, redact_credentials, shape, train
+from factweave.llm.credentials import REDACTED, Markov, candidates, detect, find_credentials, redact, redact_credentials, shape, train
 from tests.helpers import rows
 
 rng = random.Random(11)
@@ -89,3 +89,25 @@ def test_placeholders():
     for v in ("%64I_tVroj", "WYSxmTbdLzO5UVmiucOO", "Gr4v3l#1x"):
         assert not shape(v)["placeholder"], v
     assert not shape("/DQnaBx88z53YMrMQO71i8WuIdTypx8Q")["path"] and shape("/run/secrets/key")["path"]
+
+
+def test_one_scan_gives_the_same_and_leaves_nothing(spark):
+    files = corpus(60)
+    df = spark.createDataFrame([f[:3] for f in files], "row_id long, code string, file string")
+    assert rows(detect(df, "row_id", sample=2000)) == rows(find_credentials(df, train(df, sample=2000), "row_id"))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert detect(df.limit(0), "row_id").count() == 0
+
+
+def test_a_value_counts_as_a_whole():
+    m = Markov.of({(1, 96 * 66 + 67): 50, (0, 96 * 66 + 66): 50})
+    assert m.ratio("a" * 200 + "ab" * 400) > m.ratio("a" * 200) and m.ratio("x") == 0.0 == m.ratio("")
+
+
+@pytest.mark.parametrize("line,value", [("mysql -password hunter2x", "hunter2x"), ('passphrase = "correct horse battery"', "correct horse battery"), ('seed_phrase: "alpha beta gamma delta"', "alpha beta gamma delta")])
+def test_forms(line, value):
+    assert value in [c.value for c in candidates(line)]
+
+
+def test_blanks_need_the_name_of_a_secret():
+    assert "a b c" not in [c.value for c in candidates('title = "a b c"')] + [c.value for c in candidates('throw("a b c")')]
