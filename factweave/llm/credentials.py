@@ -383,8 +383,6 @@ def features(value: str, name: str, how: str, config: bool, test: bool, likeliho
         float(bool(words) and not STRONG_WORDS.isdisjoint(words)),
         float(bool(words) and words[-1] in OTHER_WORDS),
         float(not words),
-        float(secret and not told),
-        float(secret and not told and seen["classes"] > 0.3 and not seen["short"]),
         float(not secret and not seen["prefixed"]),
         told,
         float(config),
