@@ -69,8 +69,9 @@ def is_identifier(c: Column) -> Column:
 
 
 def name_in_source(name: Column, text: Column, tokens: Column) -> Column:
-    """A whole token, or the name in quotes."""
-    return F.array_contains(tokens, name) | F.contains(text, F.concat(F.lit('"'), name, F.lit('"'))) | F.contains(text, F.concat(F.lit("'"), name, F.lit("'"))) | F.contains(text, F.concat(F.lit("`"), name, F.lit("`")))
+    """A whole token, or the name in single or double quotes; an empty name is in no source."""
+    quoted = [F.contains(text, F.concat(F.lit(q), name, F.lit(q))) for q in ('"', "'")]
+    return (name != "") & (F.array_contains(tokens, name) | quoted[0] | quoted[1])
 
 
 def gap_text(kind: Column, detail: Column) -> Column:

@@ -41,22 +41,23 @@ def canonical_json(c: Column) -> Column:
 
 
 def resolve(candidates: DataFrame, slot: Sequence[str] = SLOT) -> DataFrame:
-    """One row per slot with ``state, value_json, confidence, candidates, different``.
+    """One row per slot with ``state, value_json, representative, confidence, candidates, different``.
 
-    Equal values have a representative: the one of highest priority (ties: first in candidate order),
-    with the greatest confidence and the strongest status. Different values are a conflict and have no
-    winner: ``value_json`` is null. A null value is a value of its own. One aggregation with map-side
+    Equal values have a representative, told by its ``seq``: the one of highest priority (ties: first in
+    candidate order), with the greatest confidence; the state is the status of the highest source and status.
+    Different values are a conflict and have no winner: ``value_json`` and ``representative`` are null. A null value is a value of its own. One aggregation with map-side
     combine; the number of different values is told by their least and greatest, so no set of values
     is collected.
     """
     c = candidates.withColumn("__p", candidate_priority(F.col("evidence"), F.col("status"), F.col("confidence")))
     value = F.coalesce(F.col("value_json"), F.lit("null"))
-    first = F.max_by(F.struct("value_json", "status"), F.struct("__p", (-F.col("seq")).alias("s")))
+    c = c.withColumn("__r", candidate_priority(F.col("evidence"), F.col("status"), F.lit(0.0)))
+    first = F.max_by(F.struct("value_json", "seq"), F.struct("__p", (-F.col("seq")).alias("s")))
     g = c.groupBy(*slot).agg(
         F.min(value).alias("__lo"),
         F.max(value).alias("__hi"),
         first.alias("__b"),
-        F.max_by("status", F.struct((F.col("__p") - F.coalesce("confidence", F.lit(0.0))).alias("p"), (-F.col("seq")).alias("s"))).alias("__st"),
+        F.max_by("status", F.struct("__r", (-F.col("seq")).alias("s"))).alias("__st"),
         F.max("confidence").alias("confidence"),
         F.count("*").alias("candidates"),
     )
@@ -65,6 +66,7 @@ def resolve(candidates: DataFrame, slot: Sequence[str] = SLOT) -> DataFrame:
         *slot,
         F.when(conflict, "conflict").otherwise(F.coalesce(F.col("__st"), F.lit("unresolved"))).alias("state"),
         F.when(~conflict, F.col("__b.value_json")).alias("value_json"),
+        F.when(~conflict, F.col("__b.seq")).alias("representative"),
         "confidence",
         "candidates",
         conflict.alias("different"),
@@ -136,6 +138,12 @@ def schema_collisions(schemas: DataFrame) -> DataFrame:
     return schemas.join(kept, "name").select("name", "source", "json", F.when(collides, F.concat_ws(".", "source", "name")).otherwise(F.col("name")).alias("new_name"), collides.alias("collides"))
 
 
+def collision_diagnostics(collisions: DataFrame) -> DataFrame:
+    """``code, message`` of each schema that was renamed because its name was taken, each once."""
+    text = F.concat(F.lit("schema "), "name", F.lit(" of "), "source", F.lit(" differs from another of that name and becomes "), "new_name")
+    return collisions.where("collides").select(F.lit("schema_name_collision").alias("code"), text.alias("message")).distinct()
+
+
 def rewrite_references(rows: DataFrame, collisions: DataFrame, reference: str, source: str = "source") -> DataFrame:
     """References of a source to a renamed schema follow it. Parameters keep theirs, as in the
     reference; apply this to bodies and responses only."""
@@ -232,3 +240,9 @@ def operation_evidence(candidates: DataFrame) -> DataFrame:
     """``op_key, evidence``: the different evidence of all of an operation's candidates."""
     each = candidates.select("op_key", F.explode("evidence").alias("e")).distinct()
     return each.groupBy("op_key").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+
+
+def usage_counters(entries: DataFrame) -> DataFrame:
+    """One row ``answers, exhausted, usage_in, usage_out, reads``: sums over answers; null usage is 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return entries.agg(F.count("*").alias("answers"), F.count_if(F.col("exhausted")).alias("exhausted"), total("usage_in"), total("usage_out"), F.coalesce(F.sum(F.size(F.coalesce("reads", F.array()))), F.lit(0)).cast("long").alias("reads"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from factweave.functions.text import PARAM_LOCATIONS, SCALAR_TYPES, name_in_source, template_names, token_set
 from factweave.tables import cut_lineage
 
-#: String formats that proposals may use.
-FORMATS = ["", "int32", "int64", "float", "double", "byte", "binary", "date", "date-time", "uuid", "email", "uri", "password"]
+#: Formats that proposals may use.
+FORMATS = ["date-time", "date", "int64", "int32", "double", "float", "byte", "binary", "uuid"]
 MAX_SHAPE_DEPTH = 4
 
 
@@ -43,7 +43,9 @@ def evidence_gate(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def valid_proposal(where: Column, type_: Column, format_: Column, status: Column) -> Column:
-    """Location, scalar type, format and status lie in the closed sets; null counts as absent."""
+    """Location, scalar type, format and status lie in the closed sets; null counts as absent, and so
+    does an empty format."""
+    format_ = F.nullif(format_, F.lit(""))
     return (where.isNull() | where.isin(PARAM_LOCATIONS)) & (type_.isNull() | type_.isin(SCALAR_TYPES)) & (format_.isNull() | format_.isin(FORMATS)) & (status.isNull() | status.between(100, 599))
 
 
@@ -140,9 +142,16 @@ def prefixes_in_literals(prefixes: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def first_match(lines: DataFrame, keys: DataFrame, needle: str) -> DataFrame:
-    """C20: per row of ``keys`` (with its ``file``) the first line of the file that holds the needle."""
-    joined = keys.join(lines, "file").where(F.contains("text", F.col(needle)))
-    return joined.groupBy(*keys.columns).agg(F.min("line_no").alias("line_no"))
+    """C20: per row of ``keys`` (with its ``file``) the first line of the file whose text has the needle as a
+    whole token or in quotes (B9); keys that no line has give no row.
+
+    Lines are taken apart into tokens and quoted literals, each with its first line, and looked up by
+    equality; no file's keys are paired with its lines.
+    """
+    between = lambda q: F.slice(F.split("text", q), 2, F.greatest(F.size(F.split("text", q)) - 2, F.lit(0)))
+    words = lines.select("file", "line_no", F.explode(F.array_distinct(F.concat(token_set(F.col("text")), between('"'), between("'")))).alias("__w")).where("__w <> ''")
+    first = words.groupBy("file", "__w").agg(F.min("line_no").alias("line_no"))
+    return keys.distinct().join(first.withColumnRenamed("__w", needle), ["file", needle]).select(*keys.columns, "line_no")
 
 
 def first_rule(symbols: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,21 +39,54 @@ def select_within_budget(rows: DataFrame, free: Column, order: Sequence[str], bu
     return paid.where(F.col("__free") | (F.col("__cum") <= budget)).drop("__free", "__cum")
 
 
-def pack(rows: DataFrame, group: Sequence[str], order: Sequence[str], text: str, capacity: int = PACK_CAPACITY, truncate: int = PACK_TRUNCATE) -> DataFrame:
-    """Per group the snippets that fit: each cut to ``truncate`` bytes, taken in order while the
-    total stays within ``capacity``; one that does not fit is skipped and the next tried.
-
-    Skipping makes this a fold. It runs over sizes, not texts: a group is held as one (order, size)
-    per row, and of equal sizes in sequence the fold keeps only a running total.
+def _fold(capacity: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by group and key: those taken (``last``), or those that can be taken at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, started, used = None, False, 0
+        sums: dict[int, int] = {}  # a binary indexed tree: sizes so far, by size
+        for b in batches:
+            keep = []
+            for n, (g, size) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if not started or g != current:
+                    current, started, used, sums = g, True, 0, {}
+                if last:
+                    if used + size <= capacity:
+                        used += size
+                        keep.append(n)
+                    continue
+                smaller, i = 0, size
+                while i:
+                    smaller += sums.get(i, 0)
+                    i &= i - 1
+                if smaller + size <= capacity:
+                    keep.append(n)
+                    i = size
+                    while i <= capacity:
+                        sums[i] = sums.get(i, 0) + size
+                        i += i & -i
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def pack(rows: DataFrame, group: str, key: str, text: str, capacity: int = PACK_CAPACITY, truncate: int = PACK_TRUNCATE) -> DataFrame:
+    """``group, key, size`` of the snippets that fit: each is cut to ``truncate`` bytes and taken, in order of
+    ``key``, while the group's total stays within ``capacity``; one that doesn't fit is skipped and the next tried.
+
+    Null and empty texts take no room and are all taken. Keys are unique and not null; a null group is one.
+
+    Skipping makes this a fold over each group, but few rows reach it: when a snippet is taken, all earlier
+    ones of its size or less were, for there was room for them; so one whose earlier ones of no greater size
+    exceed the capacity together with it never is. Each task drops those among its own rows, without a
+    shuffle, which leaves of a group of any size some hundreds per task; these are folded in a stream.
     """
     size = F.least(F.octet_length(F.coalesce(F.col(text), F.lit(""))), F.lit(truncate))
-    items = F.array_sort(F.collect_list(F.struct(*order, size.alias("size"))))
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["size"] <= capacity
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, acc["kept"] + 1).otherwise(acc["kept"]).alias("kept"))
-
-    folded = F.aggregate("items", F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept")), step)
-    return rows.groupBy(*group).agg(items.alias("items")).select(*group, folded.alias("f")).select(*group, "f.used", "f.kept")
+    sized = rows.select(group, key, size.alias("size"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields)
+    some = sized.where("size > 0").sortWithinPartitions(group, key).mapInArrow(_fold(capacity, False), kind)
+    taken = some.repartition(F.col(group)).sortWithinPartitions(group, key).mapInArrow(_fold(capacity, True), kind)
+    return taken.unionByName(sized.where("size = 0"))
 
 
 def component_names(schemas: DataFrame, type_id: str = "type_id") -> DataFrame:

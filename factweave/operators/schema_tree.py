@@ -1,120 +1,199 @@
-"""Recursive schema flattening and tree editing over ``schema_nodes``.
+"""Flattening, comparing and editing of schema trees.
 
-A tree is rows ``schema_id, path, parent_path, edge, name, type, required, open, ref``; the root's path is
-empty. ``flatten`` walks all trees at once, one level per round, and resolves references by joins.
+``flatten`` reads whole trees, one row each with the components that its references mean, and gives the
+fields of every tree in one narrow pass: a tree is bounded by its document, and its merge rules (a later
+branch overrides an earlier one, up to a depth) are a recursion that no fixed number of joins expresses.
+The other operators work on node rows ``schema_id, path, parent_path, edge, name, type, required, open``; the
+root's path is empty.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.tables import cut_lineage
-
 FLATTEN_DEPTH, SHAPE_DEPTH = 8, 24
 
 
-def _follow(frontier: DataFrame, nodes: DataFrame, hops: int = 8) -> DataFrame:
-    """Replaces nodes that are references by the root of their target; a reference adds no level.
-
-    At most ``hops`` references in a row are followed; a missing target leaves the node as it is.
-    Other columns stay.
-    """
-    roots = nodes.where("path = ''").select(F.col("schema_id").alias("__id"), F.col("type").alias("__type"), F.col("open").alias("__open"), F.col("ref").alias("__ref"))
-    found = F.col("__id").isNotNull()
-    target = {
-        "schema_id": F.when(found, F.col("__id")).otherwise(F.col("schema_id")),
-        "path": F.when(found, F.lit("")).otherwise(F.col("path")),
-        "type": F.when(found, F.col("__type")).otherwise(F.col("type")),
-        "open": F.when(found, F.col("__open")).otherwise(F.col("open")),
-        "ref": F.when(found, F.col("__ref")),
-    }
-    for _ in range(hops):
-        if frontier.where(F.col("ref").isNotNull()).isEmpty():
-            break
-        j = frontier.join(roots, F.col("ref") == F.col("__id"), "left")
-        frontier = cut_lineage(j.select(*[target[c].alias(c) if c in target else F.col(c) for c in frontier.columns]))
-    return frontier
-
-
-def _branches(composed: DataFrame, tree: DataFrame, most: int) -> DataFrame:
-    """Per node (``__from, __at``) all branches below it (``__to, __to_path, __to_open``), through up to
-    ``most`` compositions in a row.
-
-    ``rank`` orders branches of all_of within one ``variant``, which is the last branch of one_of or
-    any_of on the way; it is longer, so later, for a branch of a branch than for that branch.
-    """
-    none = F.array().cast("array<int>")
-    merged = F.col("edge") == "all_of"
-    composed = cut_lineage(composed)
-    at = (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p"))
-    now = composed.select(F.col("__id").alias("__from"), F.col("__p").alias("__at"), F.col("__id").alias("schema_id"), F.col("__p").alias("path"), none.alias("rank"), F.lit("").alias("variant")).distinct()
-    found = None
-    for _ in range(most):
-        step = now.join(composed, at).select(
-            "__from", "__at", F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), F.col("__ref").alias("ref"),
-            F.when(merged, F.concat("rank", F.array("ordinal"))).otherwise(none).alias("rank"),
-            F.when(merged, F.col("variant")).otherwise(F.concat("__id", F.lit("#"), "__path")).alias("variant"),
-        )
-        now = _follow(cut_lineage(step.distinct()), tree)
-        found = now if found is None else found.unionByName(now)
-        if now.isEmpty():
-            break
-    return cut_lineage(found.select("__from", "__at", F.col("schema_id").alias("__to"), F.col("path").alias("__to_path"), F.col("open").alias("__to_open"), "rank", "variant").distinct())
-
-
-def flatten(nodes: DataFrame, depth: int = FLATTEN_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """H5-H7: (``owner, field, type, required``, ``owner, prefix`` of open objects).
-
-    Fields of a node are its properties, those of its ``all_of`` branches (a later branch overrides an
-    earlier one, however deep the branches lie; required if any of them says so), and the union of
-    those of its ``one_of`` and ``any_of`` branches. An object is open if it or one of the latter is.
-    ``[]`` stands for items. References and compositions do not count as a level; fields deeper than
-    ``depth`` levels are left out, and so are branches under more than ``depth + 1`` compositions in a
-    row, which is as far as the reference merges and ends those that contain themselves.
+class Tree:
+    """One schema node in either spelling (``allOf`` or ``all_of``, ``type`` or ``types``, ``$ref`` or ``ref``)."""
+
+    def __init__(self, node: object, components: dict | None = None):
+        self.node = node if isinstance(node, dict) else {}
+        self.components = components or {}
+
+    def _child(self, node: object) -> Tree:
+        return Tree(node, self.components)
+
+    def _list(self, *words: str) -> list[Tree]:
+        return [self._child(x) for w in words if isinstance(self.node.get(w), list) for x in self.node[w] if isinstance(x, dict)]
+
+    @property
+    def reference(self) -> str | None:
+        """The last segment of the reference, if the node is one."""
+        ref = self.node.get("$ref") or self.node.get("ref")
+        return ref.rsplit("/", 1)[-1] if isinstance(ref, str) else None
+
+    @property
+    def target(self) -> Tree | None:
+        """What the reference means; None if it is missing."""
+        found = self.components.get(self.reference)
+        return self._child(found) if isinstance(found, dict) else None
+
+    @property
+    def properties(self) -> dict[str, Tree]:
+        held = self.node.get("properties")
+        return {k: self._child(v) for k, v in held.items()} if isinstance(held, dict) else {}
+
+    @property
+    def items(self) -> Tree | None:
+        held = self.node.get("items")
+        return self._child(held) if isinstance(held, dict) else None
+
+    @property
+    def all_of(self) -> list[Tree]:
+        return self._list("all_of", "allOf")
+
+    @property
+    def variants(self) -> list[Tree]:
+        return self._list("one_of", "oneOf") + self._list("any_of", "anyOf")
+
+    @property
+    def required(self) -> set[str]:
+        held = self.node.get("required")
+        return {x for x in held if isinstance(x, str)} if isinstance(held, list) else set()
+
+    @property
+    def open(self) -> bool:
+        """Further properties are allowed."""
+        extra = self.node.get("additionalProperties", self.node.get("additional_properties"))
+        return extra is True or isinstance(extra, dict)
+
+    def layers(self, depth: int) -> Iterator[Tree]:
+        """H6: the node and, up to the depth, its ``all_of`` branches in order, each before its own branches.
+        A branch that is a reference stands for its target; a later layer overrides an earlier one."""
+        yield self
+        if depth <= FLATTEN_DEPTH:
+            for part in self.all_of:
+                yield from (part.target or part).layers(depth + 1)
+
+    def merged(self, depth: int) -> tuple[dict[str, Tree], set[str]]:
+        """Properties and required names of all layers."""
+        properties: dict[str, Tree] = {}
+        required: set[str] = set()
+        for layer in self.layers(depth):
+            properties |= layer.properties
+            required |= layer.required
+        return properties, required
+
+    def type_text(self) -> str:
+        """I16: the type of a field, that of its target if it is a reference; formats of numbers and null in a
+        list of types play no part, no type with a structure is an object, and ``?`` says nothing."""
+        node = self
+        for _ in range(FLATTEN_DEPTH + 1):
+            if node.reference is None or node.target is None:
+                break
+            node = node.target
+        if node.reference is not None:
+            return "$ref"
+        kind = node.node.get("type", node.node.get("types"))
+        if node.all_of or kind is None and (node.properties or node.variants):
+            return "object"
+        if isinstance(kind, list):
+            return "|".join(x for x in kind if isinstance(x, str) and x != "null")
+        if not isinstance(kind, str):
+            return "?"
+        form = node.node.get("format")
+        return f"{kind}/{form}" if form and isinstance(form, str) and kind not in ("integer", "number") else kind
+
+    def fields(self, prefix: str = "", depth: int = 0) -> Iterator[str]:
+        """H5: ``path|type|required`` of every field; ``[]`` stands for items.
+
+        Variants add a level and stand for the whole node; a reference adds none, and one whose target is
+        missing gives ``path:$ref:name``. Nine levels are read. Fields may come twice.
+        """
+        if depth > FLATTEN_DEPTH:
+            return
+        node = self
+        if self.reference is not None:
+            if self.target is None:
+                yield f"{prefix}:$ref:{self.reference}"
+                return
+            node = self.target
+        if node.variants:
+            for v in node.variants:
+                yield from v.fields(prefix, depth + 1)
+            return
+        properties, required = node.merged(depth)
+        for name, p in properties.items():
+            path = f"{prefix}.{name}" if prefix else name
+            yield f"{path}|{p.type_text()}|{'true' if name in required else 'false'}"
+            if p.properties or p.reference is not None or p.all_of or p.variants:
+                yield from p.fields(path, depth + 1)
+            if p.items:
+                yield from p.items.fields(f"{path}[]", depth + 1)
+        if node.items:
+            yield from node.items.fields(f"{prefix}[]", depth + 1)
+
+    def open_paths(self, prefix: str = "", depth: int = 0, hops: int = 0) -> Iterator[str]:
+        """H7: the paths of open objects; variants add to what the node itself has. References that only
+        lead to each other have none."""
+        if depth > FLATTEN_DEPTH:
+            return
+        if self.reference is not None:
+            if self.target is not None and hops <= len(self.components):
+                yield from self.target.open_paths(prefix, depth, hops + 1)
+            return
+        for v in self.variants:
+            yield from v.open_paths(prefix, depth + 1)
+        if self.open:
+            yield prefix
+        for name, p in self.merged(depth)[0].items():
+            yield from p.open_paths(f"{prefix}.{name}" if prefix else name, depth + 1)
+        if self.items:
+            yield from self.items.open_paths(f"{prefix}[]", depth + 1)
+
+
+def flatten(trees: DataFrame, key: str, tree: str = "node", components: str | None = None) -> DataFrame:
+    """H5-H7: ``key, kind, entry``: each ``field`` (``path|type|required``) and ``open`` path of every tree, once.
+
+    ``tree`` and ``components`` are VARIANT columns: a schema, and an object of the schemas that its
+    references name by their last segment. Null trees and trees that are no object have no entries; rows
+    are not merged.
     """
-    tree = cut_lineage(nodes.select("schema_id", "path", "parent_path", "edge", "name", "ordinal", "type", "required", "open", "ref"))
-    frontier = tree.where("path = ''").select(F.col("schema_id").alias("owner"), F.lit("").alias("prefix"), "schema_id", "path", "type", "open", "required", "ref")
-    frontier = _follow(frontier, tree)
-    child = tree.select(F.col("schema_id").alias("__id"), F.col("parent_path").alias("__p"), "edge", "name", "ordinal", F.col("path").alias("__path"), F.col("type").alias("__type"), F.col("open").alias("__open"), F.col("required").alias("__req"), F.col("ref").alias("__ref"))
-    below = child.where(F.col("edge").isin("properties", "items"))
-    at = (F.col("schema_id") == F.col("__id")) & (F.col("path") == F.col("__p"))
-    branches = _branches(child.where(F.col("edge").isin("all_of", "one_of", "any_of")), tree, depth + 1)
-    fields = opened = None
-    for level in range(depth + 1):
-        own = frontier.select("owner", "prefix", "schema_id", "path", "open", F.array().cast("array<int>").alias("rank"), F.lit("").alias("variant"))
-        composed = frontier.join(branches, (F.col("schema_id") == F.col("__from")) & (F.col("path") == F.col("__at"))).select("owner", "prefix", F.col("__to").alias("schema_id"), F.col("__to_path").alias("path"), F.col("__to_open").alias("open"), "rank", "variant")
-        united = own.unionByName(composed)
-        here = united.where(F.coalesce("open", F.lit(False)) & (F.size("rank") == 0)).select("owner", "prefix").distinct()
-        opened = here if opened is None else opened.unionByName(here)
-        if level == depth:
-            break
-        step = united.join(below, at)
-        dotted = F.when(F.col("edge") == "items", F.concat("prefix", F.lit("[]"))).when(F.col("prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "prefix", "name"))
-        rows = step.select("owner", dotted.alias("prefix"), F.col("__id").alias("schema_id"), F.col("__path").alias("path"), F.col("__type").alias("type"), F.col("__open").alias("open"), F.coalesce("__req", F.lit(False)).alias("required"), F.col("__ref").alias("ref"), "rank", "variant")
-        key = ["owner", "prefix", "variant"]
-        latest = rows.groupBy(*key).agg(F.max("rank").alias("__top"), F.bool_or("required").alias("__req"))
-        frontier = cut_lineage(rows.drop("required").join(latest, key).where(F.col("rank") == F.col("__top")).withColumnRenamed("__req", "required").drop("rank", "__top", "variant").distinct())
-        if frontier.isEmpty():
-            break
-        frontier = _follow(frontier, tree)
-        item = F.endswith("prefix", F.lit("[]"))
-        both = frontier.select("owner", F.col("prefix").alias("field"), F.coalesce("type", F.lit("object")).alias("type"), (F.col("required") & ~item).alias("required")).distinct()
-        fields = both if fields is None else fields.unionByName(both)
-    empty = nodes.sparkSession.createDataFrame([], "owner string, field string, type string, required boolean")
-    return (fields.distinct() if fields is not None else empty), opened.distinct()
-
-
-def field_triples(fields: DataFrame) -> DataFrame:
-    """H5: ``owner, triple`` with ``path|type|required`` (``required`` or ``optional``)."""
-    return fields.select("owner", F.concat_ws("|", "field", "type", F.when(F.col("required"), "required").otherwise("optional")).alias("triple"))
+    kind = trees.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, kinds, entries = [], [], []
+            for n, (t, c) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                root = Tree(json.loads(t) if t else None, json.loads(c) if c else None)
+                for name, found in (("field", root.fields()), ("open", root.open_paths())):
+                    different = dict.fromkeys(found)
+                    rows += [n] * len(different)
+                    kinds += [name] * len(different)
+                    entries += different
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(entries, pa.string())], names=[key, "kind", "entry"])
+
+    text = F.lit(None).cast("string") if components is None else F.to_json(components)
+    return trees.select(key, F.to_json(tree).alias("t"), text.alias("c")).mapInArrow(run, f"`{key}` {kind}, kind string, entry string")
 
 
 def unknown_paths(nodes: DataFrame) -> DataFrame:
-    """H8: paths of nodes marked unknown; nothing below an open object is listed, references stay closed."""
-    opened = nodes.where("open").select("schema_id", F.col("path").alias("__open"))
+    """H8: paths of nodes marked unknown; nothing below an open object is listed, references stay closed.
+
+    The ancestors of an unknown node are listed and joined by equality, so that no tree is paired with itself.
+    """
+    opened = nodes.where("open").select("schema_id", F.col("path").alias("__open")).distinct()
     unknown = nodes.where("unknown").select("schema_id", "path")
-    below = unknown.join(opened, "schema_id").where(F.startswith("path", F.concat("__open", F.lit("/")))).select("schema_id", "path").distinct()
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    listed = unknown.where(F.contains("path", F.lit("/"))).select("schema_id", "path", F.explode(above).alias("__open"))
+    below = listed.join(opened, ["schema_id", "__open"], "left_semi").select("schema_id", "path").distinct()
     return unknown.join(below, ["schema_id", "path"], "left_anti")
 
 

@@ -19,11 +19,11 @@ from factweave.operators import joins as J
 from factweave.operators import metrics as M
 from factweave.operators import ordering as O
 from factweave.operators import validate as V
-from factweave.operators.nested import latest_documents
-from factweave.operators.schema_tree import field_triples, flatten
+from factweave.operators.nested import members, parse_document
+from factweave.operators.schema_tree import flatten
 from factweave.plans.registry import Registry
-from factweave.sources.documents import schema_rows
-from factweave.tables import table
+from factweave.plans.schema_sql import FLAT_TREES
+from factweave.tables import cut_lineage, table
 
 REFERENCE = Registry()
 
@@ -36,20 +36,33 @@ def dedup_representative(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slot_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates table in the long form of the resolution operators; repeated rows once."""
+    """The candidates table in the long form of the resolution operators, with keys in normal form (I1-I4);
+    repeated rows once."""
     c = table(spark, d, "candidates").dropDuplicates(["cand_id"])
     value = F.coalesce(F.to_json("param"), F.to_json("body"), F.to_json("response"))
-    return c.select(F.concat_ws(" ", "repo", "op_key").alias("op_key"), "slot_kind", "slot_key", F.col("cand_id").alias("seq"), value.alias("value_json"), "confidence", F.lower(K.trim_space(F.col("status"))).alias("status"), "evidence", "param", "body", "response")
+    key = F.concat_ws(" ", "repo", K.normalize_operation_key(F.col("op_key"), templates=True))
+    return c.select(key.alias("op_key"), "slot_kind", F.lower(K.trim_space(F.col("slot_key"))).alias("slot_key"), F.col("cand_id").alias("seq"), value.alias("value_json"), "confidence", F.lower(K.trim_space(F.col("status"))).alias("status"), "evidence", "param", "body", "response")
 
 
-_CANDIDATES = """c AS (SELECT DISTINCT ON (cand_id) repo || ' ' || op_key AS op_key, slot_kind, slot_key, cand_id AS seq, confidence, lower(trim(status)) AS status, param, body, response,
- coalesce(to_json(param), 'null') || coalesce(to_json(body), 'null') || coalesce(to_json(response), 'null') AS v FROM candidates)"""
+_PRIORITY = """(CASE WHEN coalesce(src, 0) > 0 THEN src ELSE CASE status WHEN 'verified' THEN 5 WHEN 'observed' THEN 4 WHEN 'declared' THEN 3 WHEN 'inferred' THEN 1 ELSE 0 END END) * 10.0::DOUBLE
+ + CASE status WHEN 'verified' THEN 5 WHEN 'declared' THEN 4 WHEN 'observed' THEN 3 WHEN 'inferred' THEN 2 WHEN 'inconclusive' THEN 1 ELSE 0 END"""
+_CANDIDATES = rf"""c0 AS (SELECT DISTINCT ON (cand_id) *, regexp_replace(op_key, '^\s+|\s+$', '', 'g') AS k0 FROM candidates),
+c1 AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(k0, '^\S*\s*(.*)$', 1), ':([^/]*)', '{{\1}}', 'g'), '(^|/)\*([A-Za-z0-9_][^/]*)', '\1{{\2}}', 'g') AS p0 FROM c0),
+c2 AS (SELECT *, replace(CASE WHEN starts_with(p0, '/') THEN p0 ELSE '/' || p0 END, '//', '/') AS p1 FROM c1),
+c3 AS (SELECT repo || ' ' || upper(regexp_extract(k0, '^(\S*)', 1)) || ' ' || CASE WHEN p0 = '' THEN '' WHEN length(p1) > 1 THEN regexp_replace(p1, '/+$', '') ELSE p1 END AS op_key,
+ slot_kind, lower(trim(slot_key)) AS slot_key, cand_id AS seq, confidence, lower(trim(status)) AS status, param, body, response, evidence,
+ (SELECT max(CASE lower(trim(e.source)) WHEN 'source' THEN 5 WHEN 'runtime' THEN 4 WHEN 'openapi' THEN 3 WHEN 'documentation' THEN 2 WHEN 'human' THEN 2 WHEN 'llm' THEN 1 ELSE 0 END) FROM (SELECT unnest(evidence) AS e)) AS src,
+ coalesce(to_json(param), 'null') || coalesce(to_json(body), 'null') || coalesce(to_json(response), 'null') AS v FROM c2),
+c AS (SELECT *, {_PRIORITY} AS rank, {_PRIORITY} + coalesce(confidence, 0) AS prio FROM c3)"""
 
 
-@REFERENCE.add(f"WITH {_CANDIDATES} SELECT op_key, slot_kind, slot_key, count(DISTINCT v) > 1 AS conflict, max(confidence) AS confidence, count(*) AS candidates FROM c GROUP BY ALL")
+@REFERENCE.add(
+    f"""WITH {_CANDIDATES} SELECT op_key, slot_kind, slot_key, CASE WHEN count(DISTINCT v) > 1 THEN 'conflict' ELSE coalesce(arg_max(status, (rank, -seq)), 'unresolved') END AS state,
+ CASE WHEN count(DISTINCT v) = 1 THEN arg_max(seq, (prio, -seq)) END AS representative, max(confidence) AS confidence, count(*) AS candidates FROM c GROUP BY op_key, slot_kind, slot_key"""
+)
 def candidate_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Which slots have different values, and the resolved confidence."""
-    return C.resolve(slot_candidates(spark, d)).select("op_key", "slot_kind", "slot_key", F.col("different").alias("conflict"), "confidence", "candidates")
+    """The state of every slot, its representative where its values are equal, the resolved confidence."""
+    return C.resolve(slot_candidates(spark, d)).select("op_key", "slot_kind", "slot_key", "state", "representative", "confidence", "candidates")
 
 
 @REFERENCE.add(
@@ -65,20 +78,21 @@ def response_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REFERENCE.add(
-    f"""WITH {_CANDIDATES}, r AS (SELECT op_key, response.status AS status, seq, response.content_type AS ct, response.code AS code, response.code_known AS known, response.failure AS failure, response.raw AS raw FROM c WHERE slot_kind = 'response')
-SELECT op_key, status, arg_min(ct, seq) FILTER (WHERE coalesce(ct, '') <> '') AS content_type, len(list_distinct(list(code) FILTER (WHERE known AND code IS NOT NULL))) AS codes,
- coalesce(bool_or(failure), false) AS failure, coalesce(bool_or(raw), false) AS raw, count(*) AS candidates FROM r WHERE status IS NOT NULL GROUP BY ALL"""
+    f"""WITH {_CANDIDATES}, r AS (SELECT op_key, response.status AS status, seq, response.content_type AS ct, response.description AS description, response.code AS code, response.code_known AS known, response.failure AS failure, response.raw AS raw FROM c WHERE slot_kind = 'response'),
+t AS (SELECT op_key, status, string_agg(description, '; ' ORDER BY seq, description) AS descriptions FROM (SELECT op_key, status, description, min(seq) AS seq FROM r WHERE coalesce(description, '') <> '' GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT op_key, status, arg_min(ct, seq) FILTER (WHERE coalesce(ct, '') <> '') AS content_type, list_sort(list_distinct(list(code) FILTER (WHERE known AND code IS NOT NULL))) AS codes,
+ coalesce(bool_or(failure), false) AS failure, coalesce(bool_or(raw), false) AS raw, count(*) AS candidates FROM r WHERE status IS NOT NULL GROUP BY ALL)
+SELECT op_key, status, content_type, coalesce(array_to_string(codes, ','), '') AS codes, failure, raw, candidates, coalesce(descriptions, '') AS descriptions FROM g LEFT JOIN t USING (op_key, status)"""
 )
 def response_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Responses grouped by status."""
+    """Responses grouped by status, with their different descriptions."""
     rows = slot_candidates(spark, d).where("slot_kind = 'response' AND response.status IS NOT NULL").select("op_key", "seq", "response.status", "response.description", "response.content_type", "response.code", "response.code_known", "response.failure", "response.raw")
-    return C.group_responses(rows).select("op_key", "status", "content_type", F.size("codes").cast("long").alias("codes"), "failure", "raw", "candidates")
+    return C.group_responses(rows).select("op_key", "status", "content_type", F.array_join("codes", ",").alias("codes"), "failure", "raw", "candidates", "descriptions")
 
 
 @REFERENCE.add(
-    """SELECT repo || ' ' || op_key AS op_key, CASE WHEN bool_or(lower(trim(status)) = 'conflict') THEN 'conflict' WHEN count(*) > 1 THEN 'matched' ELSE min(lower(trim(status))) END AS state,
- coalesce(min(nullif(confidence, 0)), 0) AS confidence, arg_min(slot_key, cand_id) FILTER (WHERE slot_key <> '') AS operation_id, count(*) AS sources
-FROM (SELECT DISTINCT ON (cand_id) * FROM candidates) GROUP BY 1"""
+    f"""WITH {_CANDIDATES} SELECT op_key, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN count(*) > 1 THEN 'matched' ELSE min(status) END AS state,
+ coalesce(min(nullif(confidence, 0)), 0) AS confidence, arg_min(slot_key, seq) FILTER (WHERE slot_key <> '') AS operation_id, count(*) AS sources FROM c GROUP BY op_key"""
 )
 def operation_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Operation scalars merged over their claims."""
@@ -277,11 +291,15 @@ def budget_select(spark: SparkSession, d: str) -> DataFrame:
     return O.select_within_budget(o, F.col("o_orderstatus") == "F", ["o_orderdate", "o_orderkey"], 5000).select("o_orderkey", "o_orderstatus")
 
 
-@REFERENCE.add()
+@REFERENCE.add(
+    """WITH RECURSIVE s AS (SELECT source, doc_id, least(coalesce(octet_length(encode(text)), 0), 6000)::INT AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+f AS (SELECT source, doc_id, size, n, true AS taken, size AS used FROM s WHERE n = 1
+ UNION ALL SELECT s.source, s.doc_id, s.size, s.n, f.used + s.size <= 24000, CASE WHEN f.used + s.size <= 24000 THEN f.used + s.size ELSE f.used END FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source AND s.n = f.n + 1)
+SELECT source, doc_id, size FROM f WHERE taken"""
+)
 def capacity_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of each source packed into 24,000 bytes, skipping what does not fit. A fold; the
-    tests hold it against a Python loop."""
-    return O.pack(table(spark, d, "documents", "doc_id", "source", "text"), ["source"], ["doc_id"], "text")
+    """Which documents of each source are packed into 24,000 bytes, skipping what does not fit."""
+    return O.pack(table(spark, d, "documents", "doc_id", "source", "text"), "source", "doc_id", "text")
 
 
 @REFERENCE.add(
@@ -387,17 +405,18 @@ def json_flatten(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("path", F.when(F.col("t") == "BIGINT", "integer").when(F.col("t") == "STRING", "string").otherwise(F.lower("t")).alias("type")).distinct()
 
 
-@REFERENCE.add()
+def schema_trees(spark: SparkSession, d: str) -> DataFrame:
+    """``raw_id, schema_id, received_at, node`` of every readable version of raw_schemas, repeated rows once."""
+    raw = table(spark, d, "raw_schemas", "raw_id", "schema_id", "schema_json", "received_at").distinct()
+    return raw.withColumn("node", parse_document(F.col("schema_json"))).where(members(F.col("node")).isNotNull()).drop("schema_json")
+
+
+@REFERENCE.add(f"WITH RECURSIVE {FLAT_TREES} SELECT schema_id, raw_id, entry AS triple FROM flat_fields JOIN doc USING (raw_id)")
 def schema_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """H5, H6: ``path|type|required`` of every readable tree of raw_schemas, all versions; a reference
-    means the newest readable version of its schema."""
-    raw = table(spark, d, "raw_schemas")
-    roots = latest_documents(raw, "raw_id", "schema_json", ["received_at"])
-    ids = raw.join(roots.select("raw_id"), "raw_id", "left_semi").groupBy("raw_id").agg(F.max(F.struct("received_at", "schema_id")).alias("v")).select("raw_id", "v.*")
-    newest = ids.where("schema_id IS NOT NULL").groupBy(F.col("schema_id").alias("ref")).agg(F.max(F.struct("received_at", "raw_id"))["raw_id"].cast("string").alias("__target"))
-    nodes = schema_rows(roots.select(F.col("raw_id").cast("string").alias("schema_id"), "node"))
-    fields, _ = flatten(nodes.join(newest, "ref", "left").drop("ref").withColumnRenamed("__target", "ref"))
-    return field_triples(fields).select(F.col("owner").cast("long").alias("raw_id"), "triple").join(ids, "raw_id").select("schema_id", "raw_id", "triple")
+    """H5, H6, I16: ``path|type|required`` of every readable tree of raw_schemas, all versions."""
+    trees = schema_trees(spark, d)
+    fields = flatten(trees, "raw_id").where("kind = 'field'")
+    return fields.join(trees.select("raw_id", "schema_id"), "raw_id").select("schema_id", "raw_id", F.col("entry").alias("triple"))
 
 
 @REFERENCE.add("SELECT key AS op_key, count(*) AS snapshots, count(DISTINCT json_extract_string(value, '$.state')) AS states FROM (SELECT DISTINCT fingerprint, graph_json FROM contract_graph_cache WHERE graph_json IS NOT NULL) g, json_each(g.graph_json, '$.operations') GROUP BY 1")
@@ -408,33 +427,49 @@ def snapshot_operations(spark: SparkSession, d: str) -> DataFrame:
     return ops.groupBy("op_key").agg(F.count("*").alias("snapshots"), F.count_distinct("state").alias("states"))
 
 
-_DIAGNOSED = r"""o AS (SELECT DISTINCT op_key, regexp_extract(op_key, '^(\S*)', 1) AS method, regexp_extract(op_key, '^\S*\s*(.*)$', 1) AS path FROM candidates),
-x AS (SELECT *, replace(CASE WHEN starts_with(trim(path), '/') THEN trim(path) ELSE '/' || trim(path) END, '//', '/') AS q FROM o),
-i AS (SELECT op_key, path, upper(trim(method)) || ' ' || CASE WHEN trim(path) = '' THEN '' WHEN length(q) > 1 THEN regexp_replace(q, '/+$', '') ELSE q END AS k, method FROM x),
-c AS (SELECT DISTINCT ON (cand_id) op_key, slot_kind, slot_key, cand_id, param.param_in AS loc, coalesce(to_json(param), 'null') || coalesce(to_json(body), 'null') || coalesce(to_json(response), 'null') AS v FROM candidates),
-s AS (SELECT op_key, slot_kind, slot_key, arg_min(coalesce(loc, ''), cand_id) AS loc, count(*) AS n, count(DISTINCT v) > 1 AS conflict FROM c GROUP BY ALL),
-t AS (SELECT DISTINCT op_key, unnest(regexp_extract_all(path, '\{([^{}/]+)\}', 1)) AS name FROM o)"""
+_DIAGNOSED = rf"""{_CANDIDATES}, w AS (SELECT DISTINCT ON (cand_id) cand_id AS seq, op_key AS raw FROM candidates),
+x AS (SELECT substr(c.op_key, strpos(c.op_key, ' ') + 1) AS op_key, slot_kind, slot_key, c.seq, status, v, param.param_in AS loc, coalesce(param.schema, body.schema, response.schema) AS ref, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS k FROM c JOIN w USING (seq)),
+o AS (SELECT op_key, regexp_extract(min(k), '^(\S*)', 1) AS method, regexp_extract(min(k), '^\S*\s*(.*)$', 1) AS path, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN bool_or(status = 'unresolved') THEN 'unresolved' ELSE 'matched' END AS state FROM x GROUP BY op_key),
+q AS (SELECT *, replace(CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END, '//', '/') AS p1 FROM o),
+s AS (SELECT op_key, slot_kind, slot_key, arg_min(coalesce(loc, ''), seq) AS loc, count(*) AS n, count(DISTINCT v) > 1 AS conflict FROM x GROUP BY ALL),
+t AS (SELECT DISTINCT op_key, unnest(regexp_extract_all(path, '\{{([^{{}}/]+)\}}', 1)) AS name FROM o),
+known AS (SELECT body.schema AS id, count(*) < 3 AS unknown FROM c WHERE body.schema IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT op_key, slot_kind, slot_key, regexp_extract(trim(ref), '([^/]*)$', 1) AS id FROM x WHERE coalesce(ref, '') <> '')"""
 
 
 @REFERENCE.add(
     rf"""WITH {_DIAGNOSED}, d AS (
-SELECT 'operation_identity' AS code FROM i WHERE method = '' OR path = '' OR op_key <> k
+SELECT 'operation_identity' AS code FROM q WHERE method = '' OR path = '' OR op_key <> upper(method) || ' ' || CASE WHEN length(p1) > 1 THEN regexp_replace(p1, '/+$', '') ELSE p1 END
 UNION ALL SELECT 'parameter_location' FROM s WHERE slot_kind = 'param' AND lower(loc) NOT IN ('path', 'query', 'header', 'cookie')
 UNION ALL SELECT 'parameter_conflict' FROM s WHERE slot_kind = 'param' AND n > 1 AND conflict
-UNION ALL SELECT 'path_parameter_missing' FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.op_key = t.op_key AND c.slot_key = t.name AND slot_kind = 'param' AND lower(loc) = 'path')
+UNION ALL SELECT 'schema_reference_missing' FROM r WHERE id NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'path_parameter_missing' FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.op_key = t.op_key AND x.slot_key = t.name AND slot_kind = 'param' AND lower(loc) = 'path')
 UNION ALL SELECT 'request_body_conflict' FROM s WHERE slot_kind = 'body' AND conflict
 UNION ALL SELECT 'response_status' FROM s WHERE slot_kind = 'response' AND NOT coalesce(try_cast(slot_key AS INT) BETWEEN 100 AND 599, false)
-UNION ALL SELECT 'response_conflict' FROM s WHERE slot_kind = 'response' AND conflict)
+UNION ALL SELECT 'response_conflict' FROM s WHERE slot_kind = 'response' AND conflict
+UNION ALL SELECT 'operation_conflict' FROM o WHERE state = 'conflict'
+UNION ALL SELECT 'operation_unresolved' FROM o WHERE state = 'unresolved'
+UNION ALL SELECT 'schema_unknown' FROM known WHERE unknown)
 SELECT code, count(*) AS diagnostics FROM d GROUP BY 1"""
 )
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Diagnostics of the candidates as one graph, counted by code."""
+    """Diagnostics of the candidates of all repos as one graph, counted by code. An operation's
+    method and path are those of one of its spellings; known schemas are those of request bodies, unknown
+    if fewer than three claims name them."""
+    return V.diagnostics(*diagnosed_graph(spark, d)).groupBy("code").agg(F.count("*").alias("diagnostics"))
+
+
+def diagnosed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Operations, candidates and schemas for the validation rules."""
     c = slot_candidates(spark, d).join(table(spark, d, "candidates", "cand_id", F.col("op_key").alias("raw")).dropDuplicates(["cand_id"]), F.col("seq") == F.col("cand_id"))
-    rows = c.select(F.col("raw").alias("op_key"), "slot_kind", "slot_key", "seq", "value_json", F.col("param.param_in").alias("location"), F.lit("").alias("schema_ref"), F.lit(None).cast("string").alias("status_code"))
-    method, path = K.split_operation_key(F.col("op_key"))
-    operations = rows.select("op_key").distinct().select("op_key", method.alias("method"), path.alias("path"), F.lit("matched").alias("state"), F.array().cast("array<string>").alias("gaps"))
-    schemas = spark.createDataFrame([], "schema_id string, unknown boolean")
-    return V.diagnostics(operations, rows, schemas).groupBy("code").agg(F.count("*").alias("diagnostics"))
+    key = F.regexp_extract("op_key", r"^\S+ (.*)$", 1)
+    rows = c.select(key.alias("op_key"), "slot_kind", "slot_key", "seq", "value_json", "status", K.trim_space(F.col("raw")).alias("raw"), F.col("param.param_in").alias("location"), F.coalesce("param.schema", "body.schema", "response.schema").alias("schema_ref"), F.lit(None).cast("string").alias("status_code"), F.col("body.schema").alias("body_schema"))
+    rows = cut_lineage(rows)  # a dozen rules read it
+    method, path = K.split_operation_key(F.col("raw"))
+    state = F.when(F.bool_or(F.col("status") == "conflict"), "conflict").when(F.bool_or(F.col("status") == "unresolved"), "unresolved").otherwise("matched")
+    operations = rows.groupBy("op_key").agg(F.min("raw").alias("raw"), state.alias("state")).select("op_key", method.alias("method"), path.alias("path"), "state", F.array().cast("array<string>").alias("gaps"))
+    schemas = rows.where("body_schema IS NOT NULL").groupBy(F.col("body_schema").alias("schema_id")).agg((F.count("*") < 3).alias("unknown"))
+    return operations, rows, schemas
 
 
 @REFERENCE.add("SELECT repo, sha256('v1' || chr(0) || string_agg(file_path || chr(0) || coalesce(blob_sha, ''), chr(0) ORDER BY file_path || chr(0) || coalesce(blob_sha, ''))) AS fingerprint, count(*) AS files FROM (SELECT DISTINCT repo, file_path, blob_sha FROM source_files) GROUP BY 1")

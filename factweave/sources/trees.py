@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extensions that are read and folders that are skipped.
-EXTENSIONS = ["go", "py", "js", "ts", "jsx", "tsx", "java", "kt", "rb", "php", "rs", "cs"]
-SKIPPED = ["node_modules", "vendor", ".git", "dist", "build", "target", "__pycache__", ".venv", "testdata"]
+EXTENSIONS = ["js", "mjs", "cjs", "ts", "jsx", "tsx", "py", "java", "kt", "kts", "rb", "php", "cs", "go", "rs", "scala", "swift", "ex", "exs"]
+SKIPPED = [".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".next"]
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``file, text, blob_sha, size`` of the source files below ``root``; tests of Go are left out."""
+def source_tree(spark: SparkSession, root: str, own: Sequence[str] = ()) -> DataFrame:
+    """``file, text, blob_sha, size`` of the source files below ``root``; tests of Go are left out, and
+    so are the folders that a tool keeps for itself (``own``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
-    skip = "/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
+    skip = "/(" + "|".join(s.replace(".", r"\.") for s in [*SKIPPED, *own]) + ")/"
     kept = files.where(~F.regexp_like("path", F.lit(skip)) & ~F.endswith("path", F.lit("_test.go")))
     return kept.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("blob_sha"), F.col("length").alias("size"))
 

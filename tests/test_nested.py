@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from factweave.operators.nested import LEVELS, SCHEMA_EDGES, latest_documents, merged_edges, merged_schema, relate, schema_nodes
 from factweave.sources.documents import schema_rows
-from factweave.operators.schema_tree import canonical_shapes, field_triples, flatten, replace_subtree, unknown_paths
+from factweave.operators.schema_tree import Tree, canonical_shapes, flatten, replace_subtree, unknown_paths
 from tests.helpers import rows
 
 RAW = "raw_id long, schema_id string, schema_json string, received_at timestamp"
@@ -85,65 +85,65 @@ def nodes_of(spark, schemas):
     return schema_rows(df.selectExpr("schema_id", "parse_json(t) AS node"))
 
 
-def test_flatten(spark):
-    schemas = {
-        "Pet": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}, "owner": {"$ref": "#/s/Owner"}}},
-        "Owner": {"type": "object", "properties": {"name": {"type": "string"}}},
-        "Both": {"allOf": [{"$ref": "#/s/Owner"}, {"properties": {"name": {"type": "integer"}, "age": {"type": "integer"}}}]},
-        "Either": {"oneOf": [{"properties": {"a": {"type": "string"}}}, {"properties": {"b": {"type": "string"}}}]},
-        "Open": {"type": "object", "properties": {"extra": {"type": "object", "additionalProperties": True}}},
-        "Loop": {"properties": {"next": {"$ref": "#/s/Loop"}}},
-    }
-    fields, opened = flatten(nodes_of(spark, schemas))
-    got = {}
-    for owner, triple in rows(field_triples(fields)):
-        got.setdefault(owner, []).append(triple)
-    assert got["Pet"] == ["id|integer|required", "owner.name|string|optional", "owner|object|optional", "tags[]|string|optional", "tags|array|optional"]
-    assert got["Both"] == ["age|integer|optional", "name|integer|optional"]
-    assert got["Either"] == ["a|string|optional", "b|string|optional"]
-    assert len(got["Loop"]) == 8
-    assert rows(opened) == [("Open", "extra")]
-
-
-def test_flatten_nested_compositions(spark):
-    deep = {"properties": {"deep": {"type": "string"}}}
-    for k in range(7):
-        deep = {("allOf", "oneOf", "anyOf")[k % 3]: [{"properties": {f"p{k}": {"type": "string"}}}, deep]}
+def fields_of(tree, components=None):
+    return sorted(set(Tree(tree, components).fields()))
+
+
+def test_flatten_fields():
+    pet = {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer", "format": "int64"}, "when": {"type": "string", "format": "date"}, "tags": {"type": "array", "items": {"type": "string"}}, "owner": {"$ref": "#/s/Owner"}, "lost": {"$ref": "#/s/Lost"}, "x": None, "n": {"types": ["string", "null", "integer"]}}}
+    owner = {"type": "object", "properties": {"name": {"type": "string"}, "lines": {"items": {"properties": {"v": {}}}}}}
+    assert fields_of(pet, {"Owner": owner}) == sorted(["id|integer|true", "when|string/date|false", "tags|array|false", "owner|object|false", "owner.name|string|false", "owner.lines|?|false", "owner.lines[].v|?|false", "lost|$ref|false", "lost:$ref:Lost", "x|?|false", "n|string|integer|false"])
+    assert fields_of({"items": {"properties": {"a": {"type": "string"}}}}) == ["[].a|string|false"]
+    assert fields_of(None) == fields_of(3) == []
+
+
+def test_flatten_merges_and_variants():
     string, integer = {"type": "string"}, {"type": "integer"}
-    schemas = {
-        "Deep": deep,
-        "Order": {"allOf": [{"allOf": [{"properties": {"x": string}}, {"required": ["x"], "properties": {"x": string}}]}, {"properties": {"x": integer}}]},
-        "Union": {"oneOf": [{"allOf": [{"properties": {"y": string}}, {"properties": {"y": integer}}]}, {"allOf": [{"properties": {"y": {"type": "boolean"}}}]}]},
-        "Self": {"allOf": [{"$ref": "#/s/Self"}, {"properties": {"z": string}}]},
-        "Alias": {"$ref": "#/s/Aim"},
-        "Aim": {"properties": {"w": string}},
-        "Far": {"allOf": [{"$ref": "#/s/Alias"}]},
-        "Wide": {"anyOf": [{"additionalProperties": True}]},
-    }
-    fields, opened = flatten(nodes_of(spark, schemas))
-    got = {}
-    for owner, triple in rows(field_triples(fields)):
-        got.setdefault(owner, []).append(triple)
-    assert got["Deep"] == ["deep|string|optional"] + [f"p{k}|string|optional" for k in range(7)]
-    assert got["Order"] == ["x|integer|required"]
-    assert got["Union"] == ["y|boolean|optional", "y|integer|optional"]
-    assert got["Self"] == ["z|string|optional"]
-    assert got["Far"] == ["w|string|optional"]
-    assert rows(opened) == [("Wide", "")]
+    assert fields_of({"allOf": [{"properties": {"x": string}, "required": ["x"]}, {"allOf": [{"properties": {"x": integer}}, {"properties": {"y": string}}]}]}) == ["x|integer|true", "y|string|false"]
+    either = {"properties": {"own": string}, "oneOf": [{"properties": {"a": string}}], "anyOf": [{"properties": {"b": string}}]}
+    assert fields_of(either) == ["a|string|false", "b|string|false"]  # variants stand for the whole node
+    assert fields_of({"allOf": [either, {"properties": {"c": string}}]}) == ["c|string|false", "own|string|false"]  # a branch gives its properties only
+    both = {"result": {"$ref": "#/c/Payload"}}, {"error": {"$ref": "#/c/Error"}}
+    components = {"Payload": {"properties": {"id": string}}, "Error": {"properties": {"code": integer}}}
+    assert fields_of({"oneOf": [{"properties": b} for b in both]}, components) == ["error.code|integer|false", "error|object|false", "result.id|string|false", "result|object|false"]
+    self = {"allOf": [{"$ref": "#/s/Self"}, {"properties": {"z": string}}]}
+    assert fields_of(self, {"Self": self}) == ["z|string|false"]
+    assert fields_of({"allOf": [{"$ref": "#/s/Alias"}]}, {"Alias": {"$ref": "#/s/Aim"}, "Aim": {"properties": {"w": string}}}) == []  # one hop
+
+
+def test_flatten_depth():
+    loop = {"properties": {"next": {"$ref": "#/s/Loop"}}}
+    assert len(fields_of(loop, {"Loop": loop})) == 9  # a reference adds no level
+    deep = {"properties": {"deep": {"type": "string"}}}
+    for _ in range(8):
+        deep = {"oneOf": [deep]}
+    assert fields_of(deep) == ["deep|string|false"] and fields_of({"anyOf": [deep]}) == []
+
+
+def test_open_paths():
+    tree = {"additionalProperties": False, "properties": {"a": {"additionalProperties": {"type": "string"}}, "b": {"items": {"additionalProperties": True}}, "r": {"$ref": "x/R"}}, "anyOf": [{"additionalProperties": True}]}
+    assert sorted(set(Tree(tree, {"R": {"$ref": "x/Q"}, "Q": {"properties": {"o": {"additionalProperties": True}}}}).open_paths())) == ["", "a", "b[]", "r.o"]
+    assert list(Tree({"$ref": "x/A"}, {"A": {"$ref": "x/B"}, "B": {"$ref": "x/A"}}).open_paths()) == []
+
+
+def test_flatten_operator(spark):
+    df = spark.createDataFrame([(1, '{"properties":{"a":{"$ref":"#/c/A"}}}', '{"A":{"additionalProperties":true}}'), (2, None, None), (3, "[1]", None), (1, '{"properties":{"b":{}}}', None)], "raw_id long, t string, c string").selectExpr("raw_id", "try_parse_json(t) AS node", "try_parse_json(c) AS comps")
+    assert rows(flatten(df, "raw_id", "node", "comps")) == sorted([(1, "field", "a|?|false"), (1, "field", "b|?|false"), (1, "open", "a")], key=str)
+    assert flatten(df.limit(0), "raw_id").count() == 0
 
 
 def test_flatten_query(spark, tmp_path):
+    from datetime import datetime
+
     from __spark_entry__ import queries
 
     tree = {"properties": {"a": {"type": "string"}, "b": {"$ref": "#/x/S2"}}}
     for _ in range(5):
         tree = {"all_of": [tree]}
-    old, new = {"properties": {"old": {"types": ["string"]}}}, {"properties": {"new": {"type": "integer"}}, "required": ["new"]}
-    given = [(1, "S1", json.dumps(tree), 1), (1, "S1", json.dumps(tree), 1), (2, "S2", json.dumps(old), 1), (3, "S2", json.dumps(new), 2), (4, "S2", "{", 3), (5, None, None, 1)]
-    spark.createDataFrame(given, "raw_id long, schema_id string, schema_json string, received_at long").write.parquet(str(tmp_path / "raw_schemas.parquet"))
-    assert rows(queries()["schema_flatten"](spark, str(tmp_path))) == [
-        ("S1", 1, "a|string|optional"), ("S1", 1, "b.new|integer|required"), ("S1", 1, "b|object|optional"), ("S2", 2, "old|string|optional"), ("S2", 3, "new|integer|required"),
-    ]
+    raw = [(1, "S1", "r", "ir", json.dumps(tree), datetime(2025, 1, 1))] * 2 + [(2, "S1", "r", None, "{cut", datetime(2025, 1, 2)), (3, None, "r", None, '{"items":{"properties":{"c":{}}}}', None)]
+    spark.createDataFrame(raw, "raw_id long, schema_id string, repo string, layout string, schema_json string, received_at timestamp").write.parquet(str(tmp_path / "raw_schemas.parquet"))
+    assert rows(queries()["schema_flatten"](spark, str(tmp_path))) == sorted([("S1", 1, "a|string|false"), ("S1", 1, "b:$ref:S2"), ("S1", 1, "b|$ref|false"), (None, 3, "[].c|?|false")], key=lambda t: tuple((x is not None, str(x)) for x in t))
+
 
 
 def test_shapes_and_edits(spark):

@@ -81,14 +81,15 @@ def test_budget_and_packing(spark):
             want.append((i,))
     assert rows(O.select_within_budget(df, F.col("free"), ["i"], 40), "i") == sorted(want, key=str)
     assert O.select_within_budget(df, F.col("free"), ["i"], 0).count() == 200
-    packed = dict((g, (u, k)) for g, u, k in rows(O.pack(df, ["g"], ["i"], "t")))
-    for g in "ab":
-        used = kept = 0
-        for _, _, n, h in data:
-            if h == g and used + min(n, 6000) <= 24000:
-                used += min(n, 6000)
-                kept += 1
-        assert packed[g] == (used, kept)
+    for parts in (1, 7):
+        packed = rows(O.pack(df.repartition(parts), "g", "i", "t"))
+        for g in "ab":
+            used, kept = 0, []
+            for _, i, n, h in sorted((x[0], x[0], x[2], x[3]) for x in data):
+                if h == g and used + min(n, 6000) <= 24000:
+                    used += min(n, 6000)
+                    kept.append((g, i, min(n, 6000)))
+            assert [x for x in packed if x[0] == g] == sorted(kept, key=lambda x: tuple((y is not None, str(y)) for y in x))
 
 
 def test_names_and_windows(spark):
