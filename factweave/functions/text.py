@@ -147,9 +147,34 @@ def required_by_tag(tag: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1024-based sizes with one decimal."""
-    size = n.cast("double")
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KiB", size / 1024)).when(n < 1 << 30, F.format_string("%.1f MiB", size / (1 << 20))).otherwise(F.format_string("%.1f GiB", size / (1 << 30)))
+    """1024-based sizes with one decimal, halves to the even digit."""
+    size = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n.cast("double") / unit, 1))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, size(1 << 10, "KiB")).when(n < 1 << 30, size(1 << 20, "MiB")).otherwise(size(1 << 30, "GiB"))
+
+
+def evidence_label(quote: Column) -> Column:
+    """The label of a quote ``llm:label ← source line``; of other quotes ``route``."""
+    return F.when(F.startswith(quote, F.lit("llm:")), F.substring_index(quote, " ← ", 1)).otherwise(F.lit("route"))
+
+
+def tag_constraints(tag: Column, type_: Column) -> Column:
+    """``minimum, maximum, enum`` of the rules in ``binding``, else ``validate``; of strings and arrays (by
+    their schema type) they bound the length. Later rules win, unreadable numbers count for nothing.
+
+    ``min``, ``len`` and ``minlength`` bound a length from below, ``max``, ``len`` and ``maxlength`` from above; ``min`` or
+    ``gte``, and ``max`` or ``lte``, bound a number; ``oneof`` lists the values.
+    """
+    rules = F.split(F.coalesce(F.nullif(struct_tag(tag, "binding"), F.lit("")), struct_tag(tag, "validate"), F.lit("")), ",")
+    pairs = F.transform(F.filter(rules, lambda r: F.contains(r, F.lit("="))), lambda r: F.struct(F.substring_index(r, "=", 1).alias("rule"), F.regexp_replace(r, r"^[^=]*=", "").alias("value")))
+    length = type_.isin("string", "array")
+
+    def last(of_length: list[str], of_number: list[str]) -> Column:
+        held = F.filter(pairs, lambda p: F.when(length, p["rule"].isin(of_length)).otherwise(p["rule"].isin(of_number)) & p["value"].try_cast("double").isNotNull())
+        found = F.try_element_at(held, F.lit(-1))["value"].try_cast("double")
+        return F.when(length, F.floor(found).cast("double")).otherwise(found)
+
+    values = F.flatten(F.transform(F.filter(pairs, lambda p: p["rule"] == "oneof"), lambda p: F.filter(F.split(p["value"], r"\s+"), lambda x: x != "")))
+    return F.struct(last(["min", "len", "minlength"], ["min", "gte"]).alias("minimum"), last(["max", "len", "maxlength"], ["max", "lte"]).alias("maximum"), values.alias("enum"))
 
 
 def status_number(c: Column) -> Column:

@@ -170,7 +170,7 @@ def report_text(metrics: DataFrame, found: DataFrame, entries: int | None = None
     """One row ``report``: the metrics with three digits, then each section's number and, as far as
     ``entries`` says (None: all), its sorted entries. ``metrics`` is the row of ``evaluate``; the report is what the
     driver's reader must hold."""
-    head = F.concat_ws("\n", *[F.format_string(f"%-18s: %.3f", F.lit(k), F.col(c)) for k, c in REPORT.items()])
+    head = F.concat_ws("\n", *[F.format_string("%-18s: %.3f", F.lit(k), F.bround(c, 3)) for k, c in REPORT.items()])
     listed = F.array_sort(F.collect_list(F.concat(F.lit("  - "), "entry")))
     shown = listed if entries is None else F.slice(listed, 1, entries)
     parts = found.groupBy("section").agg(F.concat(F.initcap("section"), F.lit(" ("), F.count("*").cast("string"), F.lit("):\n"), F.array_join(shown, "\n")).alias("part"))

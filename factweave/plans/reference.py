@@ -414,9 +414,8 @@ def schema_trees(spark: SparkSession, d: str) -> DataFrame:
 @REFERENCE.add(f"WITH RECURSIVE {FLAT_TREES} SELECT schema_id, raw_id, entry AS triple FROM flat_fields JOIN doc USING (raw_id)")
 def schema_flatten(spark: SparkSession, d: str) -> DataFrame:
     """H5, H6, I16: ``path|type|required`` of every readable tree of raw_schemas, all versions."""
-    trees = schema_trees(spark, d)
-    fields = flatten(trees, "raw_id").where("kind = 'field'")
-    return fields.join(trees.select("raw_id", "schema_id"), "raw_id").select("schema_id", "raw_id", F.col("entry").alias("triple"))
+    trees = schema_trees(spark, d).select(F.struct("schema_id", "raw_id").alias("tree"), "node")
+    return flatten(trees, "tree").where("kind = 'field'").select("tree.schema_id", "tree.raw_id", F.col("entry").alias("triple"))
 
 
 @REFERENCE.add("SELECT key AS op_key, count(*) AS snapshots, count(DISTINCT json_extract_string(value, '$.state')) AS states FROM (SELECT DISTINCT fingerprint, graph_json FROM contract_graph_cache WHERE graph_json IS NOT NULL) g, json_each(g.graph_json, '$.operations') GROUP BY 1")
