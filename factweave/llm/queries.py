@@ -69,6 +69,35 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality_statistics(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words"))
 
 
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_HAN = r"\x{3005}\x{3007}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+
+
+@LLM.add(
+    rf"""WITH cw AS (SELECT DISTINCT lower(word) AS w FROM common_words WHERE word IS NOT NULL),
+h AS (SELECT '(' || string_agg(w, '|' ORDER BY length(w) DESC, w) || '|[{_HAN}])' AS p FROM cw WHERE length(w) > 1 AND regexp_full_match(w, '[{_HAN}]+')),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, n, regexp_replace(line, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS s FROM l),
+g AS (SELECT *, count(*) FILTER (WHERE s = '') OVER (PARTITION BY doc_id ORDER BY n) AS block FROM s),
+ne AS (SELECT * FROM g WHERE s <> ''),
+t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(s), '[{_SPACE}]+')) AS t FROM ne),
+piece AS (SELECT doc_id, t AS x, false AS cut FROM t WHERE NOT regexp_matches(t, '[{_HAN}]') UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '[{_HAN}]+|[^{_HAN}]+')), true FROM t WHERE regexp_matches(t, '[{_HAN}]')),
+word AS (SELECT doc_id, x AS w FROM piece WHERE NOT cut UNION ALL SELECT doc_id, unnest(regexp_extract_all(x, p)) FROM piece, h WHERE cut AND regexp_matches(x, '[{_HAN}]')
+ UNION ALL SELECT doc_id, regexp_extract(x, '[\p{{L}}\p{{N}}](?:.*[\p{{L}}\p{{N}}])?') FROM piece WHERE cut AND NOT regexp_matches(x, '[{_HAN}]') AND regexp_matches(x, '[\p{{L}}\p{{N}}]')),
+a AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars, count(*) FILTER (WHERE w IN (SELECT w FROM cw)) AS common FROM word GROUP BY 1),
+v AS (SELECT doc_id, sum(length(t)) AS visible FROM t GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS lines, count(DISTINCT s) AS different, count(*) FILTER (WHERE right(s, 1) IN ('.', '!', '?', ':', ';', '。', '！', '？', '：', '；', '…')) AS ended FROM ne GROUP BY 1),
+p AS (SELECT doc_id, count(*) AS blocks, count(DISTINCT x) AS different FROM (SELECT doc_id, block, string_agg(s, chr(10) ORDER BY n) AS x FROM ne GROUP BY ALL) GROUP BY 1),
+y AS (SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9_{_SPACE}]|[\p{{L}}\p{{N}}]', '', 'g')) AS symbols FROM documents)
+SELECT d.doc_id, coalesce(a.n, 0) AS word_count, coalesce(a.chars / a.n, 0) AS mean_word_length, coalesce(symbols / visible, 0) AS symbol_ratio, coalesce(ended / lines, 0) AS punctuated_line_share, coalesce(common / a.n, 0) AS common_word_share,
+ coalesce((lines - b.different) / lines, 0) AS duplicate_line_share, coalesce((blocks - p.different) / blocks, 0) AS duplicate_paragraph_share
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN y USING (doc_id)"""
+)
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that SQL can express: words, their length, symbols, line ends, common words, repetition."""
+    return p8_statistics(spark, d).select("doc_id", "word_count", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share")
+
+
 @LLM.add()
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are a list, a table, code or junk for more than half of their text."""
