@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import location_order, method_order, path_order, status_number, status_text
 from factweave.operators.candidates import resolve
+from factweave.tables import hadoop_path
 
 SCHEMA_VERSION = "1"
 
@@ -114,11 +114,31 @@ def report(statistics: dict[str, object], low: list[tuple[str, float]], gaps: li
     return "\n".join(lines) + "\n"
 
 
-def write_artifacts(folder: str, files: dict[str, str]) -> None:
-    """Writes the files in name order, each by a rename."""
-    os.makedirs(folder, exist_ok=True)
+def write_artifacts(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
+    """Writes the files in name order to a folder of any file system that Spark knows, each by a rename."""
+    fs, root = hadoop_path(spark, folder)
+    fs.mkdirs(root)
     for name in sorted(files):
-        temporary = os.path.join(folder, f".{name}.tmp")
-        with open(temporary, "w", encoding="utf-8") as f:
-            f.write(files[name])
-        os.replace(temporary, os.path.join(folder, name))
+        staged, final = hadoop_path(spark, f"{folder}/.{name}.tmp")[1], hadoop_path(spark, f"{folder}/{name}")[1]
+        out = fs.create(staged, True)
+        try:
+            out.write(bytearray(files[name].encode("utf-8")))
+        finally:
+            out.close()
+        fs.delete(final, False)
+        if not fs.rename(staged, final):
+            raise RuntimeError(f"{name} could not be written")
+
+
+def revalidated(text: str) -> dict:
+    """A document's JSON text read again before it is published; raises if it isn't an object, lacks its
+    version, or has an operation without responses or an empty status."""
+    document = json.loads(text)
+    if not isinstance(document, dict) or not str(document.get("openapi", "")).startswith("3."):
+        raise ValueError("not an OpenAPI 3 document")
+    for path, item in (document.get("paths") or {}).items():
+        for method, op in item.items():
+            responses = op.get("responses")
+            if not path.startswith("/") or not responses or any(not re.fullmatch(r"[1-5]\d\d|default", str(k)) for k in responses):
+                raise ValueError(f"{method.upper()} {path} is not valid")
+    return document

@@ -30,6 +30,20 @@ def running_total(rows: DataFrame, order: Sequence[str], amount: Column, name: s
     return parted.withColumn("__w", within).join(F.broadcast(before), "__p").withColumn(name, F.col("__off") + F.col("__w")).drop("__a", "__p", "__w", "__off")
 
 
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The place of each row in its group by ``order``, from 1; ``group`` and ``order`` together are total.
+
+    A group of any size is numbered by many tasks: a running count over all groups, less the count before
+    the group. Null groups are one.
+    """
+    counted = running_total(rows, [*group, *order], F.lit(1).cast("long"), "__c")
+    start = counted.groupBy(*group).agg(F.min("__c").alias("__s")).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "__s")
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & counted[g].eqNullSafe(start[f"__g{i}"])
+    return counted.join(start, same).withColumn(name, F.col("__c") - F.col("__s") + 1).select(*rows.columns, name)
+
+
 def select_within_budget(rows: DataFrame, free: Column, order: Sequence[str], budget: int) -> DataFrame:
     """Free rows all, paid rows in order until the budget is used; 0 means no limit. ``order``
     must be total."""
@@ -114,8 +128,7 @@ def clipped_windows(sites: DataFrame, functions: DataFrame, reach: int = 20, lim
 
 def blocks(hits: DataFrame, group: Sequence[str], order: Sequence[str], size: int = 80) -> DataFrame:
     """Hits numbered into blocks of ``size`` per group."""
-    w = W.partitionBy(*group).orderBy(*order)
-    return hits.withColumn("block", F.floor((F.row_number().over(w) - 1) / size))
+    return numbered(hits, group, order, "__n").withColumn("block", F.floor((F.col("__n") - 1) / size)).drop("__n")
 
 
 def constant_before(lines: DataFrame, pattern: str) -> DataFrame:

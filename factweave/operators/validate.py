@@ -1,4 +1,4 @@
-"""Validation rules and gates (L1-L22): each rule is one expression, all are united and sorted.
+"""Validation rules and gates (L1-L22): each rule is one condition; those on the same rows share one pass.
 
 ``operations``: ``op_key, method, path, state, gaps``; ``candidates``: ``op_key, slot_kind, slot_key, seq,
 location, schema_ref, status_code, value_json``; ``schemas``: ``schema_id, unknown``.
@@ -6,7 +6,9 @@ location, schema_ref, status_code, value_json``; ``schemas``: ``schema_id, unkno
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.keys import operation_key, schema_ref
@@ -18,36 +20,49 @@ def diagnostics(operations: DataFrame | None, candidates: DataFrame, schemas: Da
     spark = candidates.sparkSession
     if operations is None:
         return spark.createDataFrame([("graph_missing", "graph is missing")], "code string, message string")
-    row = lambda df, code, *text: df.select(F.lit(code).alias("code"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]).alias("message"))
     key = F.col("op_key")
     first = candidates.groupBy("op_key", "slot_kind", "slot_key").agg(
         F.min_by(F.struct("location", "status_code"), "seq").alias("f"),
         F.count("*").alias("n"),
         (F.min(F.coalesce("value_json", F.lit("null"))) != F.max(F.coalesce("value_json", F.lit("null")))).alias("conflict"),
     )
-    slot = lambda kind: first.where(F.col("slot_kind") == kind)
     known = schemas.select(F.col("schema_id").alias("__id")).distinct()
     refs = candidates.where(F.coalesce("schema_ref", F.lit("")) != "").select("op_key", "slot_kind", "slot_key", schema_ref(F.col("schema_ref")).alias("__id")).distinct()
     templates = operations.select("op_key", F.explode(template_names(F.col("path"))).alias("slot_key")).distinct()
     given = candidates.where((F.col("slot_kind") == "param") & (F.lower("location") == "path")).select("op_key", "slot_key").distinct()
     status = F.col("slot_key").try_cast("int")
-    rules = [
-        row(operations.where(key.isNull()), "operation_missing", "operation without a key"),
-        row(operations.where(key.isNotNull() & (F.coalesce(F.col("method"), F.lit("")).isin("") | F.coalesce(F.col("path"), F.lit("")).isin("") | ~key.eqNullSafe(operation_key(F.col("method"), F.col("path"))))), "operation_identity", key, " does not match its method and path"),
-        row(slot("param").where(~F.coalesce(F.lower("f.location"), F.lit("")).isin(PARAM_LOCATIONS)), "parameter_location", key, " parameter ", F.col("slot_key")),
-        row(slot("param").where((F.col("n") > 1) & F.col("conflict")), "parameter_conflict", key, " parameter ", F.col("slot_key")),
-        row(refs.join(known, "__id", "left_anti"), "schema_reference_missing", key, " ", F.col("slot_kind"), " ", F.col("__id")),
-        row(templates.join(given, ["op_key", "slot_key"], "left_anti"), "path_parameter_missing", key, " parameter ", F.col("slot_key")),
-        row(slot("body").where("conflict"), "request_body_conflict", key, " request body"),
-        row(slot("response").where(~F.coalesce(status.between(100, 599), F.lit(False))), "response_status", key, " status ", F.coalesce(F.col("slot_key"), F.lit(""))),
-        row(slot("response").where("conflict"), "response_conflict", key, " status ", F.col("slot_key")),
-        row(operations.where("state = 'conflict'"), "operation_conflict", key, " has conflicting sources"),
-        row(operations.where((F.col("state") == "unresolved") | (F.size("gaps") > 0)), "operation_unresolved", key, " is not resolved"),
-        row(schemas.where("unknown"), "schema_unknown", F.col("schema_id"), " is unknown"),
+
+    def found(rows: DataFrame, *rules: tuple[str, Column, Sequence[str | Column]]) -> DataFrame:
+        """Of each row a diagnostic per rule whose condition holds: one pass over the rows."""
+        each = [F.when(condition, F.struct(F.lit(code).alias("code"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]).alias("message"))) for code, condition, text in rules]
+        return rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+    is_ = lambda kind: F.col("slot_kind") == kind
+    identified = key.eqNullSafe(operation_key(F.col("method"), F.col("path"))) & (F.coalesce("method", F.lit("")) != "") & (F.coalesce("path", F.lit("")) != "")
+    parameter, response = [key, " parameter ", F.col("slot_key")], [key, " status ", F.coalesce("slot_key", F.lit(""))]
+    parts = [
+        found(
+            operations,
+            ("operation_missing", key.isNull(), ["operation without a key"]),
+            ("operation_identity", key.isNotNull() & ~identified, [key, " does not match its method and path"]),
+            ("operation_conflict", F.col("state") == "conflict", [key, " has conflicting sources"]),
+            ("operation_unresolved", (F.col("state") == "unresolved") | (F.size("gaps") > 0), [key, " is not resolved"]),
+        ),
+        found(
+            first,
+            ("parameter_location", is_("param") & ~F.coalesce(F.lower("f.location"), F.lit("")).isin(PARAM_LOCATIONS), parameter),
+            ("parameter_conflict", is_("param") & (F.col("n") > 1) & F.col("conflict"), parameter),
+            ("request_body_conflict", is_("body") & F.col("conflict"), [key, " request body"]),
+            ("response_status", is_("response") & ~F.coalesce(status.between(100, 599), F.lit(False)), response),
+            ("response_conflict", is_("response") & F.col("conflict"), response),
+        ),
+        found(refs.join(known, "__id", "left_anti"), ("schema_reference_missing", F.lit(True), [key, " ", F.col("slot_kind"), " ", F.col("__id")])),
+        found(templates.join(given, ["op_key", "slot_key"], "left_anti"), ("path_parameter_missing", F.lit(True), parameter)),
+        found(schemas, ("schema_unknown", F.coalesce("unknown", F.lit(False)), [F.col("schema_id"), " is unknown"])),
     ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.where("message IS NOT NULL").orderBy("code", "message")
 
 

@@ -163,10 +163,8 @@ SELECT method, path, row_number() OVER (PARTITION BY method ORDER BY string_spli
 )
 def path_order(spark: SparkSession, d: str) -> DataFrame:
     """paths in segment order within each method."""
-    from pyspark.sql import Window as W
-
-    u = operation_paths(spark, d).select("method", "path").distinct()
-    return u.withColumn("place", F.row_number().over(W.partitionBy("method").orderBy(T.path_order(F.col("path"))))).withColumn("method_rank", T.method_order(F.col("method")))
+    u = operation_paths(spark, d).select("method", "path").distinct().withColumn("order", T.path_order(F.col("path")))
+    return O.numbered(u, ["method"], ["order", "path"], "place").drop("order").withColumn("method_rank", T.method_order(F.col("method")))
 
 
 @REFERENCE.add(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions.keys import normalize_method, normalize_path
@@ -23,16 +24,27 @@ def _read(lines: DataFrame, *extra: str) -> DataFrame:
     return checked.select(F.concat_ws(" ", method, path).alias("op_key"), method.alias("method"), path.alias("path"), "r.status", "r.content_type", "r.trace_id", "r.observed_at", body.alias("has_body"), body.alias("raw"), F.lit(CONFIDENCE).alias("confidence"), *extra)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, file, line_no`` of all lines below ``path``, split at ``\\n``; a file may be read by many tasks.
+
+    Rows of one split stand in order in one partition, so a line's number is its place there plus the lines
+    of the file's earlier splits; these are counted first, one row per split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    splits = placed.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "start", "first", before.alias("before"))
+    return placed.join(offsets, ["file", "start"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"))
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """All observations of the files at ``path`` with ``file`` and ``line_no``.
 
     Blank lines are skipped. A line that is no JSON object, lacks method or path, or has a status
-    outside 100..599 fails the whole read. ``observed_at`` stays text. Files are read whole to give
-    line numbers, so one file must fit a task.
+    outside 100..599 fails the whole read. ``observed_at`` stays text.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"), F.col("_metadata.file_path").alias("file"))
-    lines = texts.select("file", F.posexplode(F.split("t", "\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
-    return _read(lines, "file", "line_no")
+    return _read(numbered_lines(spark, path), "file", "line_no")
 
 
 def observed_candidates(observations: DataFrame) -> DataFrame:

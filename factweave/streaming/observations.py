@@ -9,14 +9,27 @@ from pyspark.sql.streaming import StreamingQuery
 from factweave.sources.observations import SCHEMA
 
 
+#: What an observation must have.
+_GOOD = "coalesce(r.method, '') <> '' AND coalesce(r.path, '') <> '' AND r.status BETWEEN 100 AND 599"
+
+
+def _parsed(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    return lines.select("value", F.from_json("value", SCHEMA).alias("r"), F.current_timestamp().alias("arrived"), F.xxhash64("value").alias("line_hash"))
+
+
+def malformed_observations(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """The lines that are neither blank nor an observation, with their arrival: the side output of the stream."""
+    return _parsed(spark, path, max_files).where(f"value RLIKE '[^ \\\\t\\\\r]' AND NOT coalesce({_GOOD}, false)").select(F.col("value").alias("line"), "arrived")
+
+
 def stream_observations(spark: SparkSession, path: str, lateness: str = "10 minutes", max_files: int = 1000) -> DataFrame:
     """New observations as files arrive, without repetitions of a trace id within the watermark.
 
-    Malformed lines cannot fail a file here, so they are left out; rows without a trace id or a
-    readable time are kept as they are, with their arrival as event time.
+    Malformed lines cannot fail a file here; ``malformed_observations`` has them. Rows without a trace id
+    or a readable time are kept as they are, with their arrival as event time.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    rows = lines.select(F.from_json("value", SCHEMA).alias("r"), F.current_timestamp().alias("arrived"), F.xxhash64("value").alias("line_hash")).where("r.method IS NOT NULL AND r.path IS NOT NULL AND r.status BETWEEN 100 AND 599")
+    rows = _parsed(spark, path, max_files).where(_GOOD)
     timed = rows.select("r.*", F.coalesce(F.try_to_timestamp("r.observed_at"), F.col("arrived")).alias("event_time"), F.coalesce("r.trace_id", F.concat(F.lit("line:"), F.col("line_hash").cast("string"))).alias("dedup_key"))
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["dedup_key"]).drop("dedup_key")
 

@@ -7,8 +7,8 @@ from factweave.operators import compile as D
 from factweave.operators.candidates import merge_graphs, resolve
 from factweave.sources import documents as S
 from factweave.sources import trees
-from factweave.sources.observations import observed_candidates, read_observations
-from factweave.streaming.observations import status_counts, stream_observations, write_stream
+from factweave.sources.observations import numbered_lines, observed_candidates, read_observations
+from factweave.streaming.observations import malformed_observations, status_counts, stream_observations, write_stream
 from tests.helpers import rows
 
 GOOD = '{"method":"get","path":"/a/","status":200,"content_type":"application/json","trace_id":"t1","observed_at":"2025-01-01T00:00:00Z"}'
@@ -33,6 +33,23 @@ def test_stream(spark, tmp_path):
     write_stream(rows_, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(r.trace_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t1", "t2"]
     assert status_counts(rows_).isStreaming
+    bad = malformed_observations(spark, str(tmp_path / "in"))
+    write_stream(bad, str(tmp_path / "bad"), str(tmp_path / "ck2")).awaitTermination(120)
+    assert [r.line for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["broken"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    for name, n in (("a", 500), ("b", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join("\n" if i % 7 == 0 else f"{name}{i}\r\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        lines = numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4 or lines.select("value").count() == 503
+        got = {(r.file[-7], r.line_no): r.value for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(f, i): "" if i % 7 == 0 else f"{f}{i}\r" for f, n in (("a", 500), ("b", 3)) for i in range(1, n + 1)}
 
 
 def test_documentation(spark):
@@ -98,9 +115,16 @@ def test_document_output(spark, tmp_path):
     assert [D.yaml_scalar(v) for v in ("a", "true", "", "1", 1, None, "a: b")] == ["a", '"true"', '""', '"1"', "1", "null", '"a: b"']
     a, b = D.stable_json(c.drop("evidence"), "op_key"), D.stable_json(c.drop("evidence").repartition(3), "op_key")
     assert rows(a) == rows(b)
-    D.write_artifacts(str(tmp_path / "out"), {"b.yaml": text, "a.md": D.report({"operations": 3}, [("x", 0.5), ("y", 0.2)], ["g"])})
+    D.write_artifacts(spark, str(tmp_path / "out"), {"b.yaml": text, "a.md": D.report({"operations": 3}, [("x", 0.5), ("y", 0.2)], ["g"])})
     assert (tmp_path / "out/a.md").read_text().index("y: 0.20") < (tmp_path / "out/a.md").read_text().index("x: 0.50")
     assert len(D.operations_json(ops).collect()) == 3
+    D.write_artifacts(spark, str(tmp_path / "out"), {"a.md": "again"})
+    assert (tmp_path / "out/a.md").read_text() == "again"
+    good = {"openapi": "3.1.0", "paths": {"/a": {"get": {"responses": {"200": {}, "default": {}}}}}}
+    assert D.revalidated(json.dumps(good)) == good
+    for broken in ({}, {**good, "openapi": "2.0"}, {**good, "paths": {"a": {"get": {"responses": {"200": {}}}}}}, {**good, "paths": {"/a": {"get": {"responses": {"99": {}}}}}}, {**good, "paths": {"/a": {"get": {}}}}):
+        with pytest.raises(ValueError):
+            D.revalidated(json.dumps(broken))
 
 
 def test_sources_conflict(spark, tmp_path):
