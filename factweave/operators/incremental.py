@@ -59,7 +59,7 @@ def normalized_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     collapsed first; up to ``SMALL_ROWS`` of them are broadcast, so that the log isn't shuffled to find
     its repos, more are joined by a shuffle.
     """
-    owner = bounded(snapshots.select("fingerprint", "engine_version", "repo").where("repo IS NOT NULL").distinct(), SMALL_ROWS)
+    owner = bounded(snapshots.select("fingerprint", "engine_version", "repo").where("repo IS NOT NULL").distinct(), SMALL_ROWS, snapshots)
     rows = log.select("fingerprint", "engine_version", "operation_key", "file_path", "file_hash", "recorded_at", "dep_seq", "ingested_at")
     return rows.join(owner, ["fingerprint", "engine_version"]).select(
         "repo",
@@ -194,12 +194,10 @@ def changed_records(log: DataFrame, snapshots: DataFrame, runs: DataFrame, work:
     schema = "repo string, operation_key string, file_path string, recorded_at timestamp, dep_seq long, file_hash string"
     job = RecordJob(spark, work or scratch_folder(spark, "records"), ["repo", "operation_key", "file_path"], "file_hash", ["recorded_at", "dep_seq"], schema)
     done = job.store.committed()
-    success = last_success(runs)
-    rows = normalized_log(log, snapshots).join(bounded(success, SMALL_ROWS), "repo", "left")
+    rows = normalized_log(log, snapshots).join(bounded(last_success(runs), SMALL_ROWS, runs), "repo", "left")
     seen = F.coalesce(F.col("ingested_at") <= F.col("started_at"), F.lit(False))
     if not done:
-        told = success.agg(F.count("*").alias("n"), F.max("started_at").alias("t")).first()
-        job.adopt(rows.where(seen), hashlib.sha256(f"{told['n']}|{told['t']}".encode()).hexdigest()[:16])
+        job.adopt(rows.where(seen), "adopted")
     if len(done) < 2:
         job.run(rows.where(~seen))
     out = job.store.output()

@@ -25,12 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded(df: DataFrame, max_rows: int, source: DataFrame | None = None) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``max_rows`` rows; a larger one is joined by a shuffle.
 
-    Counts ``df``, which should be cheap to read and of short rows.
+    ``source`` is a table of at least as many rows that is cheaper to count, such as the file that ``df`` comes from.
     """
-    return broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return broadcast(df) if (df if source is None else source).limit(max_rows + 1).count() <= max_rows else df
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
