@@ -25,7 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,8 @@ from factweave.tables import cut_lineage, spread
 
 #: Bits of each bitmap that travels to the executors (2 MiB), whatever the number of items.
 BITMAP_BITS = 1 << 24
-#: Items with at most this many words in all travel to the executors whole; larger sets are joined instead.
+#: Items with at most this many words in all are held by the driver and travel to the executors whole; larger
+#: sets stay tables and are joined.
 CARRIED_WORDS = 1_000_000
 #: A stretch is this many words; a Chinese character counts as 12/30 of a word.
 STRETCH_WORDS = 12.0
@@ -221,7 +222,24 @@ class Filter(NamedTuple):
     reach: int
 
 
-def phrase_filter(texts: DataFrame, bits: int = BITMAP_BITS) -> Filter:
+class Texts(NamedTuple):
+    """The different texts of the items: ``text_key, tokens, shared``, the most words of one of them, and the
+    same rows on the driver if they are few."""
+
+    rows: DataFrame
+    longest: int
+    carried: pa.Table | None
+
+    def flat_map(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, types: pa.Schema) -> DataFrame:
+        """What ``f`` makes of the rows, on the executors or, of few rows, here."""
+        if self.carried is None:
+            return self.rows.mapInArrow(f, schema)
+        out = pa.Table.from_batches(f(iter(self.carried.to_batches())), types)
+        spark = self.rows.sparkSession
+        return spark.createDataFrame(out) if out.num_rows else spark.createDataFrame([], schema)
+
+
+def phrase_filter(texts: Texts, bits: int = BITMAP_BITS) -> Filter:
     """The filter of prepared items. The driver gets the numbers of the bits that are set, each once, at
     most ``bits`` for each of six bitmaps."""
 
@@ -229,26 +247,30 @@ def phrase_filter(texts: DataFrame, bits: int = BITMAP_BITS) -> Filter:
         hashes = _Hashes()
         for b in batches:
             found: set[tuple[int, int]] = set()
-            for tokens, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.update((0, int(x)) for x in _slots(hashes.of(tokens), 1, bits))
-                for _, phrase in Item(tokens, shared or ()).phrases():
-                    h = hashes.of(phrase)
-                    n = len(phrase)
-                    found.update((PHRASE, int(x)) for x in (_slots(h, 2, bits) if n == PHRASE else ()))
+            for tokens, shared in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = hashes.of(tokens)
+                found.update((0, x) for x in _slots(h, 1, bits).tolist())
+                pairs, n = _slots(h, 2, bits).tolist(), len(tokens)
+                for offset, _ in Item(tokens, shared or ()).phrases():
                     if n < PHRASE:
                         found.add((n, int(_slots(h, n, bits)[0])))
+                    else:
+                        found.update((PHRASE, x) for x in pairs[offset : offset + PHRASE - 1])
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=["kind", "slot"])
 
-    set_ = texts.select("tokens", "shared").mapInArrow(slots, "kind int, slot int").distinct().toArrow()
-    kinds, places = set_.column("kind").to_numpy(), set_.column("slot").to_numpy()
+    types = pa.schema([("kind", pa.int32()), ("slot", pa.int32())])
+    if texts.carried is None:
+        held = texts.rows.mapInArrow(slots, "kind int, slot int").distinct().toArrow()
+    else:
+        held = pa.Table.from_batches(slots(iter(texts.carried.to_batches())), types)
+    kinds, places = held.column("kind").to_numpy(), held.column("slot").to_numpy()
 
     def bitmap(kind: int) -> bytes:
         on = np.zeros(bits, bool)
         on[places[kinds == kind]] = True
         return np.packbits(on).tobytes()
 
-    longest = texts.agg(F.max(F.size("tokens")).alias("n")).first()["n"] or 0
-    return Filter(bits, bitmap(0), bitmap(PHRASE), {n: bitmap(n) for n in range(1, PHRASE) if (kinds == n).any()}, longest * 5 // 4 + 16)
+    return Filter(bits, bitmap(0), bitmap(PHRASE), {n: bitmap(n) for n in range(1, PHRASE) if (kinds == n).any()}, texts.longest * 5 // 4 + 16)
 
 
 def postings(documents: DataFrame, key: str, text: str, keep: Filter) -> DataFrame:
@@ -299,8 +321,8 @@ def postings(documents: DataFrame, key: str, text: str, keep: Filter) -> DataFra
     return spread(rows).mapInArrow(index, f"term string, `{key}` {kind}, positions array<int>, grams array<int>")
 
 
-def prepared_items(items: DataFrame, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """``item, text_key`` of all items with a word, and ``text_key, tokens, shared`` of their different texts.
+def prepared_items(items: DataFrame, item_key: str, item_text: str, carried_words: int = CARRIED_WORDS) -> tuple[DataFrame, Texts]:
+    """``item, text_key`` of all items with a word, and their different texts.
 
     Wording is shared if a run of ``SHARED_RUN`` words stands in two different texts: one aggregation over
     all runs. Items of the same words count as one, or none of them could ever be found.
@@ -319,26 +341,32 @@ def prepared_items(items: DataFrame, item_key: str, item_text: str) -> tuple[Dat
     runs = texts.where(last >= 0).select("text_key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.slice("tokens", i + 1, SHARED_RUN)))).alias("at", "run"))
     twice = runs.groupBy("run").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
     shared = runs.join(twice, "run", "left_semi").groupBy("text_key").agg(F.collect_list("at").alias("shared"))  # of one item
-    return parsed.select("item", "text_key").distinct(), cut_lineage(texts.join(shared, "text_key", "left"))
+    rows = cut_lineage(texts.join(shared, "text_key", "left").select("text_key", "tokens", "shared"))
+    size = rows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words"), F.coalesce(F.max(F.size("tokens")), F.lit(0)).alias("longest")).first()
+    return parsed.select("item", "text_key").distinct(), Texts(rows, size["longest"], rows.toArrow() if size["words"] <= carried_words else None)
 
 
-def lookups(texts: DataFrame, index: DataFrame) -> DataFrame:
+def lookups(texts: Texts, index: DataFrame) -> DataFrame:
     """``term, text_key, offset, place, gram``: of each phrase whose terms are all in the index, the rarest
     of them by the length of its list, its place in the phrase, and the phrase's hash, null for a short item."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            out = [(k, o, p, int(_grams(hashes.of(p))[0]) if len(p) == PHRASE else None) for k, t, s in zip(*[c.to_pylist() for c in b.columns], strict=True) for o, p in Item(t, s or ()).phrases()]
+            out = []
+            for k, t, shared in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                grams = _grams(hashes.of(t)).tolist()  # none of a short item
+                out += [(k, o, p, grams[o] if grams else None) for o, p in Item(t, shared or ()).phrases()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.string())), pa.array([x[3] for x in out], pa.int32())], names=["text_key", "offset", "terms", "gram"])
 
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
-    each = texts.select("text_key", "tokens", "shared").mapInArrow(phrases, "text_key string, offset int, terms array<string>, gram int").select("text_key", "offset", "gram", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term"))
+    types = pa.schema([("text_key", pa.string()), ("offset", pa.int32()), ("terms", pa.list_(pa.string())), ("gram", pa.int32())])
+    each = texts.flat_map(phrases, "text_key string, offset int, terms array<string>, gram int", types).select("text_key", "offset", "gram", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term"))
     held = each.join(frequency, "term").groupBy("text_key", "offset", "gram", "size").agg(F.count("*").alias("held"), F.min_by(F.struct("term", "place"), F.struct("n", "term", "place")).alias("x"))
     return held.where("held = size").select("x.term", "text_key", "offset", "x.place", "gram")
 
 
-def intersect(index: DataFrame, key: str, entries: DataFrame, texts: DataFrame, carried_words: int = CARRIED_WORDS) -> DataFrame:
+def intersect(index: DataFrame, key: str, entries: DataFrame, texts: Texts) -> DataFrame:
     """``<key>, text_key``: documents whose shifted posting lists meet in an exact phrase that extends to a
     stretch of the item.
 
@@ -350,10 +378,9 @@ def intersect(index: DataFrame, key: str, entries: DataFrame, texts: DataFrame,
     at = F.transform("positions", lambda p, i: F.when(F.col("gram").isNull() | (F.get("grams", i * PHRASE + F.col("place")) == F.col("gram")), p - F.col("place")))
     met = index.join(entries, "term").select(key, "text_key", "offset", F.filter(at, lambda p: p >= 0).alias("starts")).where(F.size("starts") > 0)
     hits = met.groupBy(key, "text_key").agg(F.collect_list(F.struct("offset", "starts")).alias("hits"))
-    words = texts.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
-    known = {r.text_key: Item(r.tokens, r.shared or ()) for r in texts.collect()} if words <= carried_words else {}
-    if words > carried_words:
-        hits = hits.join(texts, "text_key")
+    known = {r["text_key"]: Item(r["tokens"], r["shared"] or ()) for r in texts.carried.to_pylist()} if texts.carried is not None else {}
+    if texts.carried is None:
+        hits = hits.join(texts.rows, "text_key")
     sought = hits.groupBy(key).agg(F.collect_list(F.struct(*[c for c in hits.columns if c != key])).alias("sought"))
     lists = index.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
 
@@ -410,7 +437,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     several items share. Null and empty texts and null keys on either side match nothing; items with one text are
     all reported; repeated rows are one, and a key names one text. Texts and items of any length and number.
     """
-    named, texts = prepared_items(items, item_key, item_text)
+    named, texts = prepared_items(items, item_key, item_text, carried_words)
     index = cut_lineage(postings(documents, key, text, phrase_filter(texts, bits)))
-    found = intersect(index, key, lookups(texts, index), texts, carried_words)
+    found = intersect(index, key, lookups(texts, index), texts)
     return found.join(named, "text_key").select(key, F.col("item").alias(item_key)).distinct()

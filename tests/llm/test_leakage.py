@@ -115,7 +115,7 @@ def test_tokens_and_shared_wording(spark):
     assert tokens_of(f'one <a title="{"x " * 300}">two') == ["one", "two"]
     items = spark.createDataFrame([(1, f"{ASK} one two three"), (2, f"{ASK} four five six"), (2, f"{ASK} four five six"), (3, f"{ASK}: one, two, three!")], "item_id long, text string")
     named, texts = prepared_items(items, "item_id", "text")
-    shared = [r.shared for r in texts.collect()]
+    shared = texts.carried.column("shared").to_pylist()
     assert named.count() == 3 and len(shared) == 2 and all(sorted(x) == list(range(len(ASK.split()) - 5)) for x in shared)
 
 
