@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factweave.functions import keys as K
 from factweave.functions import text as T
 from factweave.operators import candidates as C
+from factweave.operators import compile as P
 from factweave.operators import evidence as E
 from factweave.operators import graph as G
 from factweave.operators import joins as J
@@ -21,6 +22,7 @@ from factweave.operators import validate as V
 from factweave.plans.reference import _CANDIDATES, _DIAGNOSED, _LINES, diagnosed_graph, newest_lines, operation_paths, schema_trees, slot_candidates
 from factweave.plans.registry import Registry
 from factweave.plans.schema_sql import FLAT_TREES
+from factweave.sources import documents as D
 from factweave.tables import cut_lineage, table
 
 DOMAIN = Registry()
@@ -640,3 +642,119 @@ UNION ALL SELECT 'spurious response', schema_id || ': ' || entry FROM (SELECT sc
 def field_differences(spark: SparkSession, d: str) -> DataFrame:
     """Missing and spurious fields of schemas between their first and last version."""
     return M.differences(*version_facts(spark, d))
+
+
+# ---- documents -----------------------------------------------------------------------------------
+
+_OPERATIONS = f"""WITH {_CANDIDATES}, o AS (SELECT DISTINCT regexp_extract(op_key, '^(\\S+)', 1) AS repo, substr(op_key, strpos(op_key, ' ') + 1) AS op_key FROM c),
+m AS (SELECT repo, op_key, split_part(op_key, ' ', 1) AS method, substr(op_key, strpos(op_key, ' ') + 1) AS path FROM o WHERE split_part(op_key, ' ', 1) IN ('GET', 'PUT', 'POST', 'DELETE', 'PATCH', 'HEAD', 'OPTIONS', 'TRACE'))"""
+
+
+def claimed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_id, text``: a document per repo and operation, as JSON, alternately in both layouts: OpenAPI 3 with a
+    body reference, and Swagger 2 with a base path and a body parameter; with the claimed parameters."""
+    c = slot_candidates(spark, d).select(F.regexp_extract("op_key", r"^(\S+)", 1).alias("repo"), F.regexp_extract("op_key", r"^\S+ (.*)$", 1).alias("op"), "slot_kind", "slot_key", "seq", "param")
+    parameter = F.when(F.col("slot_kind") == "param", F.struct(F.col("slot_key").alias("name"), F.coalesce("param.param_in", F.lit("query")).alias("in"), F.coalesce("param.required", F.lit(False)).alias("required"), F.struct(F.col("param.type").alias("type")).alias("schema")))
+    status = F.when(F.col("slot_kind") == "response", F.col("slot_key"))
+    g = c.groupBy("repo", "op").agg(F.array_sort(F.collect_set(parameter)).alias("parameters"), F.array_sort(F.collect_set(status)).alias("statuses"))
+    method, path = K.split_operation_key(F.col("op"))
+    responses = F.map_from_arrays("statuses", F.transform("statuses", lambda s: F.struct(F.concat(F.lit("answer "), s).alias("description"))))
+    three = F.struct(F.lit("getIt").alias("operationId"), F.col("parameters"), responses.alias("responses"))
+    old = F.length("op") % 2 == 0
+    doc3 = F.to_json(F.struct(F.create_map(path, F.create_map(F.lower(method), three)).alias("paths")))
+    doc2 = F.to_json(F.struct(F.lit("2.0").alias("swagger"), F.lit("/").alias("basePath"), F.create_map(path, F.create_map(F.lower(method), three)).alias("paths")))
+    return g.select(F.concat_ws(" ", "repo", "op").alias("doc_id"), F.when(old, doc2).otherwise(doc3).alias("text"))
+
+
+@DOMAIN.add(_OPERATIONS + " SELECT repo || ' ' || op_key AS doc_id, op_key, method, path FROM m")
+def document_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of documents of both layouts, written from the claims and read again."""
+    return D.openapi_operations(claimed_documents(spark, d)).select("doc_id", "op_key", "method", "path")
+
+
+@DOMAIN.add(_OPERATIONS + " SELECT DISTINCT c.op_key AS doc_id, slot_key AS name, coalesce(param.param_in, 'query') AS location, coalesce(param.required, false) AS required, param.type AS type FROM c JOIN m ON c.op_key = m.repo || ' ' || m.op_key WHERE slot_kind = 'param' AND slot_key IS NOT NULL AND coalesce(param.param_in, 'query') <> 'body'")
+def document_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """A3, A5: parameters of those documents."""
+    return D.openapi_parameters(D.openapi_operations(claimed_documents(spark, d))).select("doc_id", "name", "location", "required", "type").distinct()
+
+
+@DOMAIN.add(_OPERATIONS + " SELECT DISTINCT c.op_key AS doc_id, slot_key AS status, 'answer ' || slot_key AS description FROM c JOIN m ON c.op_key = m.repo || ' ' || m.op_key WHERE slot_kind = 'response' AND slot_key IS NOT NULL")
+def document_responses(spark: SparkSession, d: str) -> DataFrame:
+    """A3, A10: responses of those documents."""
+    return D.openapi_responses(D.openapi_operations(claimed_documents(spark, d))).select("doc_id", "status", "description")
+
+
+@DOMAIN.add(
+    """WITH b AS (SELECT symbol_id AS path, min(doc) AS v FROM symbols WHERE kind = 'type' GROUP BY 1), o AS (SELECT type_id AS path, max(doc) AS v FROM type_fields GROUP BY 1)
+SELECT coalesce(b.path, o.path) AS path, CASE WHEN o.path IS NOT NULL THEN o.v ELSE b.v END AS value FROM b FULL JOIN o ON b.path = o.path"""
+)
+def overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Values of one document over those of another; docs of types under those of their fields."""
+    base = table(spark, d, "symbols", "symbol_id", "kind", "doc").where("kind = 'type'").groupBy(F.col("symbol_id").alias("path")).agg(F.min("doc").alias("value"))
+    return D.apply_overlay(base, table(spark, d, "type_fields", "type_id", "doc").groupBy(F.col("type_id").alias("path")).agg(F.max("doc").alias("value")))
+
+
+@DOMAIN.add("SELECT entry_id AS doc_id, unnest(list_transform(reads, lambda r: r.tool)) AS step_id, unnest(list_transform(reads, lambda r: r.digest)) AS operation_id, generate_subscripts(reads, 1) - 1 AS pos FROM (SELECT DISTINCT ON (entry_id) * FROM cache_entries)")
+def workflow_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of workflow documents; the reads of each answer are written as one and read again."""
+    e = table(spark, d, "cache_entries", "entry_id", "reads").dropDuplicates(["entry_id"]).where("reads IS NOT NULL")
+    steps = F.transform("reads", lambda r: F.struct(r["tool"].alias("stepId"), r["digest"].alias("operationId")))
+    text = F.to_json(F.struct(F.array(F.struct(F.lit("w").alias("workflowId"), steps.alias("steps"))).alias("workflows")))
+    return D.workflow_steps(e.select(F.col("entry_id").alias("doc_id"), text.alias("text"))).select("doc_id", "step_id", "operation_id", "pos")
+
+
+@DOMAIN.add(
+    f"""WITH {_CANDIDATES}, r AS (SELECT op_key, slot_kind, slot_key, CASE WHEN count(DISTINCT v) > 1 THEN 'conflict' ELSE coalesce(arg_max(status, (rank, -seq)), 'unresolved') END AS state FROM c GROUP BY op_key, slot_kind, slot_key),
+p AS (SELECT *, split_part(op_key, ' ', 2) AS method, regexp_extract(op_key, '^\\S+ \\S+ (.*)$', 1) AS path FROM r)
+SELECT op_key, slot_kind, slot_key, state, CASE WHEN slot_kind = 'response' THEN CASE slot_key WHEN '200' THEN 'OK' WHEN '400' THEN 'Bad Request' WHEN '404' THEN 'Not Found' WHEN '409' THEN 'Conflict' ELSE 'Response' END END AS status_text,
+ dense_rank() OVER (ORDER BY string_split(regexp_replace(path, '^/', ''), '/'), CASE method WHEN 'GET' THEN 0 WHEN 'PUT' THEN 1 WHEN 'POST' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'PATCH' THEN 4 WHEN 'HEAD' THEN 5 WHEN 'OPTIONS' THEN 6 WHEN 'TRACE' THEN 7 ELSE 8 END, op_key) AS place FROM p"""
+)
+def document_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Resolved slots in the order of the document, numbered by operation."""
+    c = slot_candidates(spark, d)
+    method, path = F.split("op_key", " ")[1], F.regexp_extract("op_key", r"^\S+ \S+ (.*)$", 1)
+    none = F.lit(None).cast("string")
+    ops = c.select("op_key").distinct().select("op_key", method.alias("method"), path.alias("path"), none.alias("operation_id"), none.alias("summary"))
+    order = ops.select("op_key", T.path_order(F.col("path")).alias("p"), T.method_order(F.col("method")).alias("m"))
+    places = O.numbered(order, [], ["p", "m", "op_key"], "place").select("op_key", "place")
+    return P.document_rows(ops, c).join(places, "op_key").select("op_key", "slot_kind", "slot_key", "state", "status_text", "place")
+
+
+@DOMAIN.add(f"WITH {_CANDIDATES}, o AS (SELECT DISTINCT op_key, slot_kind FROM c) SELECT '{{\"version\":\"1\",\"op_key\":\"' || op_key || '\",\"slot_kind\":\"' || slot_kind || '\"}}' AS value FROM o")
+def operation_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Operations as JSON lines with the version of the format."""
+    return P.operations_json(slot_candidates(spark, d).select("op_key", "slot_kind").distinct())
+
+
+@DOMAIN.add("SELECT type_id, '[' || string_agg('{\"field_name\":\"' || field_name || '\",\"required\":' || required || '}', ',' ORDER BY '{\"field_name\":\"' || field_name || '\",\"required\":' || required || '}') || ']' AS json FROM (SELECT DISTINCT type_id, field_name, required FROM type_fields WHERE required IS NOT NULL) GROUP BY 1")
+def stable_types(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of each type as JSON in a fixed order."""
+    return P.stable_json(table(spark, d, "type_fields", "type_id", "field_name", "required").where("required IS NOT NULL").distinct(), "type_id")
+
+
+@DOMAIN.add(
+    """WITH s AS (SELECT CAST(g.engine_version AS VARCHAR) AS engine_version, e.key AS op_key, json_extract_string(e.value, '$.state') AS state, g.created_at, g.fingerprint, g.repo FROM (SELECT DISTINCT * FROM contract_graph_cache WHERE graph_json IS NOT NULL AND repo IS NOT NULL) g, json_each(g.graph_json, '$.operations') e),
+r AS (SELECT repo, min((created_at, fingerprint)) AS lo, max((created_at, fingerprint)) AS hi FROM s GROUP BY 1),
+a AS (SELECT s.repo, op_key, arg_min(state, engine_version) AS state FROM s JOIN r USING (repo) WHERE (created_at, fingerprint) = lo GROUP BY ALL), b AS (SELECT s.repo, op_key, arg_min(state, engine_version) AS state FROM s JOIN r USING (repo) WHERE (created_at, fingerprint) = hi GROUP BY ALL)
+SELECT coalesce(a.repo, b.repo) || ' ' || coalesce(a.op_key, b.op_key) AS op_key, CASE WHEN a.repo IS NULL THEN 'added' WHEN b.repo IS NULL THEN 'removed' ELSE 'changed' END AS kind, a.state AS before, b.state AS after,
+ b.repo IS NULL OR a.repo IS NOT NULL AND coalesce(b.state IN ('conflict', 'unresolved'), false) AS breaking FROM a FULL JOIN b ON a.repo = b.repo AND a.op_key = b.op_key WHERE a.repo IS NULL OR b.repo IS NULL OR a.state IS DISTINCT FROM b.state"""
+)
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of each repo in its first saved snapshot against those in its last."""
+    g = table(spark, d, "contract_graph_cache").where("graph_json IS NOT NULL AND repo IS NOT NULL").distinct()
+    when = F.struct("created_at", "fingerprint")
+    ends = g.groupBy("repo").agg(F.min(when).alias("lo"), F.max(when).alias("hi"))
+    held = g.withColumn("w", when).join(ends, "repo").where("w = lo OR w = hi").select("repo", "engine_version", (F.col("w") == F.col("lo")).alias("first"), (F.col("w") == F.col("hi")).alias("last"), F.try_variant_get(F.try_parse_json("graph_json"), "$.operations", "variant").alias("o"))
+    ops = spark.sql("SELECT repo, engine_version, first, last, e.key AS k, try_variant_get(e.value, '$.state', 'string') AS state FROM {h} h, LATERAL variant_explode(h.o) AS e(pos, key, value)", h=held)
+    side = lambda which: ops.where(which).groupBy(F.concat_ws(" ", "repo", "k").alias("op_key")).agg(F.min_by("state", "engine_version").alias("state"))
+    return J.graph_diff(side("first"), side("last"))
+
+
+@DOMAIN.add(
+    f"""WITH {_CANDIDATES}, q AS (SELECT DISTINCT op_key, substr(op_key, strpos(op_key, ' ') + 1) AS k FROM c), o AS (SELECT op_key, split_part(k, ' ', 1) AS method, string_split(trim(substr(k, strpos(k, ' ') + 1), '/'), '/') AS parts FROM q)
+SELECT op_key, lower(method) || array_to_string(list_transform(list_filter(parts, lambda s: s <> ''), lambda s: CASE WHEN starts_with(s, '{{') THEN 'By' ELSE '' END || array_to_string(list_transform(regexp_extract_all(s, '[A-Za-z0-9]+'), lambda w: upper(left(w, 1)) || substr(w, 2)), '')), '') AS operation_id FROM o"""
+)
+def operation_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers of operations from method and path."""
+    method, path = K.split_operation_key(F.regexp_extract("op_key", r"^\S+ (.*)$", 1))
+    return slot_candidates(spark, d).select("op_key").distinct().select("op_key", T.operation_id(method, path).alias("operation_id"))
