@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import location_order, method_order, path_order, status_number, status_text
@@ -98,6 +98,26 @@ def operations_json(operations: DataFrame) -> DataFrame:
     return operations.select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("version"), *[F.col(c) for c in sorted(operations.columns)])).alias("value"), "op_key").orderBy("op_key").select("value")
 
 
+def body_label(envelope: Column, field: Column, schema: Column) -> Column:
+    """A body in short: its schema, within its envelope if it has one; empty without either."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(empty(envelope) != "", F.concat(envelope, F.lit("{"), empty(field), F.lit(": "), empty(schema), F.lit("}"))).otherwise(empty(schema))
+
+
+def response_label(element: Column, schema: Column, map_value: Column) -> Column:
+    """A response in short: the element of an array, the schema, or the values of a map."""
+    some = lambda c, text: F.when(F.coalesce(c, F.lit("")) != "", text)
+    return F.coalesce(some(element, F.concat(F.lit("[]"), element)), some(schema, schema), some(map_value, F.concat(F.lit("map[string]"), map_value)), F.lit(""))
+
+
+def listing_rows(responses: DataFrame) -> DataFrame:
+    """``op_key, response, error_codes``: of each operation the first label by ``seq`` that says something, and
+    its codes but 0 in order. ``responses`` has ``op_key, seq, label, code``."""
+    said = F.when(F.coalesce("label", F.lit("")) != "", F.col("seq"))
+    codes = F.array_sort(F.collect_set(F.when(F.col("code") != 0, F.col("code"))))
+    return responses.groupBy("op_key").agg(F.coalesce(F.min_by("label", said), F.lit("")).alias("response"), codes.alias("error_codes"))
+
+
 def stable_json(rows: DataFrame, group: str) -> DataFrame:
     """Per group the rows as JSON in a fixed order, whatever order they came in."""
     line = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns) if c != group]))

@@ -130,6 +130,17 @@ def api_types(spark: SparkSession, d: str) -> DataFrame:
     return E.error_catalog(rows, "internal/api").select("symbol_id")
 
 
+@DOMAIN.add(
+    f"""WITH {_CANDIDATES}, r AS (SELECT op_key, seq, response.code AS code, CASE WHEN coalesce(response.scalar_type, '') <> '' THEN '[]' || response.scalar_type WHEN coalesce(response.schema, '') <> '' THEN response.schema WHEN coalesce(response.map_value_type, '') <> '' THEN 'map[string]' || response.map_value_type ELSE '' END AS label FROM c WHERE slot_kind = 'response')
+SELECT op_key, coalesce(arg_min(label, seq) FILTER (WHERE label <> ''), '') AS response, coalesce(array_to_string(list_sort(list_distinct(list(code) FILTER (WHERE code <> 0))), ','), '') AS error_codes FROM r GROUP BY 1"""
+)
+def operation_listing(spark: SparkSession, d: str) -> DataFrame:
+    """First label and codes of each operation's responses; scalar types stand for array elements."""
+    r = slot_candidates(spark, d).where("slot_kind = 'response'")
+    rows = r.select("op_key", "seq", P.response_label(F.col("response.scalar_type"), F.col("response.schema"), F.col("response.map_value_type")).alias("label"), "response.code")
+    return P.listing_rows(rows).select("op_key", "response", F.array_join("error_codes", ",").alias("error_codes"))
+
+
 # ---- joins ---------------------------------------------------------------------------------------
 
 

@@ -24,7 +24,10 @@ def parse_text(text: str) -> dict:
             import yaml
         except ImportError as e:
             raise ValueError("the document is not JSON, and YAML cannot be read here") from e
-        value = yaml.safe_load(text)
+        try:
+            value = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError("the document is neither JSON nor YAML") from e
     if not isinstance(value, dict):
         raise ValueError("a document must be an object")
     return value
