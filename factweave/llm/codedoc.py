@@ -387,7 +387,7 @@ def says_something(documentation: str | None, name: str, owner: str = "") -> boo
 
     Null, empty and blank texts, placeholders, tool directives, bare tags, ornaments, notices,
     disabled code and the name in other words (with or without articles and words like *function*)
-    say nothing.
+    say nothing; nor does a name with one word more.
     """
     text = essence(documentation)
     bare = re.sub(r"^[\s\W_]+|[\s\W_]+$", "", text)
@@ -400,7 +400,7 @@ def says_something(documentation: str | None, name: str, owner: str = "") -> boo
     fresh = [w for w in _NAME_WORD.findall(re.sub(r"['’]s\b", "", bare)) if not _CJK.search(w) and len(w) > 1 and w.lower() not in _EMPTY_WORDS and _stem(w) not in names and _stem(w) != whole and not w.isdigit()]
     if han - generic >= 4:
         return True
-    return len(fresh) >= 2 or len(fresh) == 1 and len(fresh[0]) > 3 and len(bare.split()) >= 3
+    return len(fresh) >= 2 or len(fresh) == 1 and len(fresh[0]) > 3 and len(bare.split()) != 2
 
 
 def documented_functions(files: DataFrame, trivial: bool = False) -> DataFrame:

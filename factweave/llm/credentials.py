@@ -91,8 +91,8 @@ _NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(\S{3,})")
 _PAIR = re.compile(r"\b(?:log(?:ged)?[ -]?in|sign(?:ed)?[ -]?in|connect|authenticate|use|user|account)\b[^/\n]*?[\s:](?:as|with|is)?\s*([\w.@-]+)\s+/\s+(\S{4,})\s*$", re.I)
 _OPEN_LINE = re.compile(r"([^\W\d][\w$.-]*)\s*(?::\s*[\w\[\].]+\s*=|:=|=|:)\s*(?:\w+)?\(\s*$|([^\W\d][\w$.-]*)\s*(?::=|=)\s*\\?\s*$")
 _STATED = re.compile(r"\b((?:[A-Za-z_]+[ _-]){0,3}[A-Za-z_]+)\s+(?:is|was|were|used to be|became|set to|equals)\s+(?:" + _Q + r")?([^\s\"'`,]{5,})(?:" + _Q + r")?", re.I)
-_SCHEME_WORD = re.compile(r"Bearer|Basic|Token|ApiKey|Digest")
-_VERB = re.compile(r" (?:is|was|were|used to be|became|set to|equals) ", re.I)
+_SCHEME_WORDS = ("Bearer", "Basic", "Token", "ApiKey", "Digest")
+_VERBS = (" is ", " was ", " were ", " used to be ", " became ", " set to ", " equals ")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}", re.I)
 _ABBREVIATION = re.compile(r"^(?:smtps?|https?|html|mqtt|rtsp|ldaps?|grpc|sftp|ftps|dns|tls|ssl|ssh|jwt|sdk)|ngth", re.I)
 _LONG = re.compile(r"[A-Za-z0-9_.-]{14}")
@@ -176,6 +176,7 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
         for m in _PRIVATE.finditer(line):
             add(m.start(), m.end(), "private key", "pem")
     quoted = '"' in line or "'" in line or "`" in line
+    low = line.lower()
     if "://" in line:
         for m in _USERINFO.finditer(line):
             g = 2 if m[2] is not None else 4
@@ -185,12 +186,12 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
     if ";" in line and "=" in line:
         for m in _CONNECTION.finditer(line):
             add(m.start(2), m.end(2), m[1], "connection")
-    for m in _SCHEME.finditer(line) if _SCHEME_WORD.search(line) else ():
+    for m in _SCHEME.finditer(line) if any(map(line.__contains__, _SCHEME_WORDS)) else ():
         add(m.start(2), m.end(2), m[1] + " authorization", "scheme")
     if "-" in line:
         for m in _FLAG.finditer(line):
             add(m.start(2), m.end(2), m[1], "flag")
-    for m in _IDENTIFIED.finditer(line) if quoted else ():
+    for m in _IDENTIFIED.finditer(line) if quoted and ("identified" in low or "password" in low) else ():
         add(m.start(2), m.end(2), "password", "sql")
     if "<" in line:
         for m in _ELEMENT.finditer(line):
@@ -223,7 +224,7 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
         name = previous if b[1].lower() in ("value", "data") and previous else b[1]
         if b[2] or b[3] and _names_a_secret(words_of(name)) and re.match(r"\s*(?:ENV|ARG)\s", line):
             add(b.start(3), b.end(3), name, "bare")
-    for m in _STATED.finditer(line) if _VERB.search(line) else ():
+    for m in _STATED.finditer(line) if any(map(low.__contains__, _VERBS)) else ():
         if _secret_name(words_of(m[1])):
             end = m.end(2)
             while end > m.start(2) and line[end - 1] in ".;:)":

@@ -142,3 +142,7 @@ def test_operators(spark):
     assert documented_functions(files, trivial=True).count() == 2 and documented_functions(files.limit(0)).count() == 0
     fields = spark.createDataFrame([("a", "Name", "Shown to the caller at login."), ("a", "Name", "Shown to the caller at login."), ("b", "Name", "name"), ("c", None, None), ("d", None, "Kept for old clients only.")], "field_id string, field_name string, doc string")
     assert rows(documented_fields(fields), "field_id") == [("a",), ("d",)]
+
+
+def test_one_word():
+    assert says_something("Idempotent.", "Close") and not says_something("Closes.", "Close") and not says_something("close", "Close") and not says_something("Idempotent close", "Close")
