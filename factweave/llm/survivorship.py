@@ -22,19 +22,20 @@ def fills(c: Column, kind: DataType) -> Column:
     return c.isNotNull()
 
 
-def survivors(rows: DataFrame, group: list[str], fields: dict[str, Column], kinds: dict[str, DataType], priority: Column, recency: str, identity: str) -> DataFrame:
+def survivors(rows: DataFrame, group: list[str], fields: dict[str, Column], priority: Column, recency: str, identity: str) -> DataFrame:
     """One row per group: for each field the best (value, identity) or null, in column ``f_<field>``.
 
-    A single aggregation takes, per field, the maximum of (filled, priority, recency, lowest
-    identity, value), with map-side combine, so that a group of any size is one row per task. Null
-    recency comes last. Groups of one identity (repeated rows count once) are left out. ``group``
-    values may be null. Fields nobody fills are null.
+    ``fields`` are null where a row does not fill them. A single aggregation takes, per field, the maximum
+    of (filled, priority, recency, lowest identity, value), with map-side combine, so that a group of any
+    size is one row per task. Null recency comes last. Groups of one identity (repeated rows count once) are
+    left out. ``group`` values may be null. Fields nobody fills are null.
     """
     best = []
     for name, c in fields.items():
-        pick = F.struct(F.col("__p").alias("p"), F.col(recency).alias("t"), (-F.col(identity)).alias("i"), c.alias("v"))
-        best.append(F.max(F.when(fills(c, kinds[name]), pick)).alias(f"f_{name}"))
-    grouped = rows.withColumn("__p", priority).groupBy(*group).agg(F.min(identity).alias("__lo"), F.max(identity).alias("__hi"), *best)
+        pick = F.struct(F.col("__p").alias("p"), F.col(recency).alias("t"), (-F.col(identity)).alias("i"), F.col(f"__v_{name}").alias("v"))
+        best.append(F.max(F.when(F.col(f"__v_{name}").isNotNull(), pick)).alias(f"f_{name}"))
+    ranked = rows.select("*", priority.alias("__p"), *[c.alias(f"__v_{name}") for name, c in fields.items()])
+    grouped = ranked.groupBy(*group).agg(F.min(identity).alias("__lo"), F.max(identity).alias("__hi"), *best)
     return grouped.where("__lo <> __hi").drop("__lo", "__hi")
 
 
@@ -42,19 +43,21 @@ def slot_survivors(candidates: DataFrame) -> DataFrame:
     """``repo, op_key, slot_kind, slot_key, field_name, cand_id, value``: the surviving fields of each
     slot that two or more candidates describe; ``value`` is text (arrays as JSON).
 
-    Only the struct of a row's slot kind is read. An unknown slot kind has no fields. The three
-    structs share one aggregation; unfilled fields cost a null each.
+    Only the struct of a row's slot kind is read. An unknown slot kind has no fields. A group has one kind,
+    so the n-th fields of the three structs share a column of the one aggregation, as text.
     """
-    kinds: dict[str, DataType] = {}
-    fields: dict[str, Column] = {}
-    owner: dict[str, tuple[str, str]] = {}
+    named: dict[str, list[str]] = {}
+    values: dict[str, list[Column]] = {}
     for slot in ("param", "body", "response"):
         struct = candidates.schema[slot].dataType
         assert isinstance(struct, StructType)
-        for f in struct.fields:
-            key = f"{slot}__{f.name}"
-            kinds[key], owner[key] = f.dataType, (slot, f.name)
-            fields[key] = F.when(F.col("slot_kind") == slot, F.col(slot)[f.name])
+        named[slot] = [f.name for f in struct.fields]
+        held = [(F.col(slot)[f.name], f.dataType) for f in struct.fields]
+        values[slot] = [F.when(fills(c, kind), F.to_json(c) if isinstance(kind, ArrayType) else c.cast("string")) for c, kind in held]
+    width = max(map(len, named.values()))
+    of_kind = lambda pick: F.coalesce(*[F.when(F.col("slot_kind") == slot, pick(slot)) for slot in named])
+    nth = lambda slot, k: values[slot][k] if k < len(values[slot]) else F.lit(None).cast("string")
+    fields = {str(k): of_kind(lambda slot, k=k: nth(slot, k)) for k in range(width)}
     rows = candidates.select(
         "repo",
         normalize_operation_key(F.col("op_key"), templates=True).alias("op_key"),
@@ -69,9 +72,9 @@ def slot_survivors(candidates: DataFrame) -> DataFrame:
         "status",
         "recorded_at",
     )
-    best = survivors(rows, ["repo", "op_key", "slot_kind", "slot_key"], fields, kinds, candidate_priority(F.col("evidence"), F.col("status"), F.col("confidence")), "recorded_at", "cand_id")
-    as_text = lambda key: F.to_json(F.col(f"f_{key}.v")) if isinstance(kinds[key], ArrayType) else F.col(f"f_{key}.v").cast("string")
-    long = F.array(*[F.struct(F.lit(owner[k][0]).alias("slot"), F.lit(owner[k][1]).alias("field_name"), (-F.col(f"f_{k}.i")).alias("cand_id"), as_text(k).alias("value")) for k in fields])
+    best = survivors(rows, ["repo", "op_key", "slot_kind", "slot_key"], fields, candidate_priority(F.col("evidence"), F.col("status"), F.col("confidence")), "recorded_at", "cand_id")
+    names = of_kind(lambda slot: F.array(*[F.lit(n) for n in named[slot]]))
+    long = F.array(*[F.struct(F.get(names, F.lit(k)).alias("field_name"), (-F.col(f"f_{k}.i")).alias("cand_id"), F.col(f"f_{k}.v").alias("value")) for k in range(width)])
     picked = best.select("repo", "op_key", "slot_kind", "slot_key", F.explode(F.filter(long, lambda x: x["cand_id"].isNotNull())).alias("x"))
     return picked.select("repo", "op_key", "slot_kind", "slot_key", "x.field_name", "x.cand_id", "x.value")
 
