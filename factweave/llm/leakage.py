@@ -40,7 +40,7 @@ from factweave.tables import cut_lineage, spread
 BITMAP_BITS = 1 << 24
 #: Items with at most this many words in all are held by the driver and travel to the executors whole; larger
 #: sets stay tables and are joined.
-CARRIED_WORDS = 1_000_000
+CARRIED_WORDS = 200_000
 #: A stretch is this many words; a Chinese character counts as 12/30 of a word.
 STRETCH_WORDS = 12.0
 CJK_WEIGHT = 0.4
@@ -378,14 +378,14 @@ def intersect(index: DataFrame, key: str, entries: DataFrame, texts: Texts) -> D
     at = F.transform("positions", lambda p, i: F.when(F.col("gram").isNull() | (F.get("grams", i * PHRASE + F.col("place")) == F.col("gram")), p - F.col("place")))
     met = index.join(entries, "term").select(key, "text_key", "offset", F.filter(at, lambda p: p >= 0).alias("starts")).where(F.size("starts") > 0)
     hits = met.groupBy(key, "text_key").agg(F.collect_list(F.struct("offset", "starts")).alias("hits"))
-    known = {r["text_key"]: Item(r["tokens"], r["shared"] or ()) for r in texts.carried.to_pylist()} if texts.carried is not None else {}
+    known = {r["text_key"]: (r["tokens"], r["shared"] or ()) for r in texts.carried.to_pylist()} if texts.carried is not None else {}
     if texts.carried is None:
         hits = hits.join(texts.rows, "text_key")
     sought = hits.groupBy(key).agg(F.collect_list(F.struct(*[c for c in hits.columns if c != key])).alias("sought"))
     lists = index.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = dict(known)
+        items: dict[str, Item] = {}
         for b in batches:
             rows, keys = [], []
             seek, held = b.column(1).flatten(), b.column(2).flatten()
@@ -403,7 +403,8 @@ def intersect(index: DataFrame, key: str, entries: DataFrame, texts: Texts) -> D
                     if item is None:
                         if len(items) >= 10_000:
                             items.clear()
-                        item = items[text_keys[x]] = Item(columns["tokens"][x].as_py(), columns["shared"][x].as_py() or ())
+                        words = known[text_keys[x]] if known else (columns["tokens"][x].as_py(), columns["shared"][x].as_py() or ())
+                        item = items[text_keys[x]] = Item(*words)
                     if _found(item, at, sorted({(h["offset"], p) for h in hits[x] for p in h["starts"]})):
                         rows.append(n)
                         keys.append(text_keys[x])
