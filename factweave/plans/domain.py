@@ -54,6 +54,33 @@ def name_locations(spark: SparkSession, d: str) -> DataFrame:
     return E.first_match(newest_lines(spark, d), keys, "name")
 
 
+@DOMAIN.add(
+    """WITH f AS (SELECT DISTINCT file_id, blob_sha, captured_at, content FROM source_files), n AS (SELECT DISTINCT ON (file_id) file_id, blob_sha FROM f ORDER BY file_id, captured_at DESC, content DESC)
+SELECT f.file_id || ' ' || epoch_us(captured_at) AS fact_id, count(*) AS evidence FROM f JOIN n USING (file_id) WHERE coalesce(f.blob_sha, '') = '' OR f.blob_sha IS NOT DISTINCT FROM n.blob_sha GROUP BY 1"""
+)
+def evidence_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """B1, B2: captures whose hash is that of the newest capture of their file; others are stale."""
+    f = table(spark, d, "source_files", "file_id", "blob_sha", "captured_at", "content").distinct()
+    newest = f.groupBy(F.col("file_id").cast("string").alias("file")).agg(F.max_by("blob_sha", F.struct("captured_at", "content")).alias("blob_sha")).withColumn("n_lines", F.lit(1))
+    place = F.struct(F.col("file_id").cast("string").alias("file"), F.lit(1).alias("start_line"), "blob_sha")
+    facts = f.groupBy(F.concat_ws(" ", F.col("file_id").cast("string"), F.unix_micros("captured_at").cast("string")).alias("fact_id")).agg(F.collect_list(place).alias("evidence"))
+    kept, _ = E.evidence_gate(facts, newest)
+    return kept.select("fact_id", F.size("evidence").cast("long").alias("evidence"))
+
+
+@DOMAIN.add(
+    rf"""WITH {_CANDIDATES}, o AS (SELECT DISTINCT op_key, substr(op_key, strpos(op_key, ' ') + 1) AS path FROM c), w AS (SELECT DISTINCT op_key, unnest(regexp_extract_all(path, '\{{([^{{}}/]+)\}}', 1)) AS name FROM o),
+g AS (SELECT DISTINCT op_key, slot_key AS name FROM c WHERE slot_kind = 'param' AND param.param_in = 'path' AND slot_key IS NOT NULL)
+SELECT coalesce(w.op_key, g.op_key) AS op_key, coalesce(w.name, g.name) AS name, CASE WHEN g.name IS NULL THEN 'added' WHEN w.name IS NULL THEN 'removed' ELSE 'kept' END AS state FROM w FULL JOIN g ON w.op_key = g.op_key AND w.name = g.name"""
+)
+def path_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Template names without a path parameter, path parameters outside the template, and those that fit."""
+    c = slot_candidates(spark, d)
+    ops = c.select("op_key", F.regexp_extract("op_key", r"^\S+ (.*)$", 1).alias("path")).distinct()
+    given = c.where("slot_kind = 'param' AND slot_key IS NOT NULL").select("op_key", F.col("param.param_in").alias("location"), F.col("slot_key").alias("name"))
+    return E.path_parameters(ops, given)
+
+
 _FORMATS = "('date-time', 'date', 'int64', 'int32', 'double', 'float', 'byte', 'binary', 'uuid')"
 
 

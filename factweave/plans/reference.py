@@ -418,7 +418,7 @@ def schema_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 @REFERENCE.add("SELECT key AS op_key, count(*) AS snapshots, count(DISTINCT json_extract_string(value, '$.state')) AS states FROM (SELECT DISTINCT fingerprint, graph_json FROM contract_graph_cache WHERE graph_json IS NOT NULL) g, json_each(g.graph_json, '$.operations') GROUP BY 1")
 def snapshot_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Operations over the saved graph snapshots."""
+    """Operations over the saved graph snapshots, and how many different states each had."""
     g = table(spark, d, "contract_graph_cache", "fingerprint", "graph_json").where("graph_json IS NOT NULL").distinct().select(F.try_variant_get(F.try_parse_json("graph_json"), "$.operations", "variant").alias("o"))
     ops = spark.sql("SELECT e.key AS op_key, try_variant_get(e.value, '$.state', 'string') AS state FROM {g} g, LATERAL variant_explode(g.o) AS e(pos, key, value)", g=g)
     return ops.groupBy("op_key").agg(F.count("*").alias("snapshots"), F.count_distinct("state").alias("states"))
