@@ -796,3 +796,20 @@ def operation_ids(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of operations from method and path."""
     method, path = K.split_operation_key(F.regexp_extract("op_key", r"^\S+ (.*)$", 1))
     return slot_candidates(spark, d).select("op_key").distinct().select("op_key", T.operation_id(method, path).alias("operation_id"))
+
+
+@DOMAIN.add(
+    f"""WITH RECURSIVE {FLAT_TREES}, {_FIELDS}, a AS (SELECT schema_id || ' ' || regexp_extract(entry, '^([^|]*)', 1) AS path, max(entry) AS value FROM old GROUP BY 1), b AS (SELECT schema_id || ' ' || regexp_extract(entry, '^([^|]*)', 1) AS path, max(entry) AS value FROM new GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS kind FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.value <> b.value"""
+)
+def schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    """C4: fields added, removed or modified between the first and the last version of each schema."""
+    spec, truth = version_facts(spark, d)
+    shredded = lambda side: side.where("kind = 'response'").groupBy(F.concat_ws(" ", "op_key", F.regexp_extract("value", r"^([^|]*)", 1)).alias("path")).agg(F.max("value").alias("value"))
+    return J.document_diff(shredded(spec), shredded(truth))
+
+
+@DOMAIN.add(f"WITH {_CANDIDATES}, o AS (SELECT DISTINCT op_key FROM c) SELECT op_key FROM o WHERE ends_with(op_key, '/wagons') AND op_key <> 'GET /wagons' ORDER BY op_key LIMIT 5")
+def suggested_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five operations that end with the path of a key that isn't there."""
+    return E.find_operation(slot_candidates(spark, d).select("op_key").distinct(), "GET /wagons")[1]
