@@ -809,7 +809,7 @@ def schema_diff(spark: SparkSession, d: str) -> DataFrame:
     return J.document_diff(shredded(spec), shredded(truth))
 
 
-@DOMAIN.add(f"WITH {_CANDIDATES}, o AS (SELECT DISTINCT op_key FROM c) SELECT op_key FROM o WHERE ends_with(op_key, '/wagons') AND op_key <> 'GET /wagons' ORDER BY op_key LIMIT 5")
+@DOMAIN.add(f"WITH {_CANDIDATES}, o AS (SELECT DISTINCT op_key FROM c) SELECT op_key FROM o WHERE ends_with(op_key, '/history') AND op_key <> 'GET /history' ORDER BY op_key LIMIT 5")
 def suggested_operations(spark: SparkSession, d: str) -> DataFrame:
     """Up to five operations that end with the path of a key that isn't there."""
-    return E.find_operation(slot_candidates(spark, d).select("op_key").distinct(), "GET /wagons")[1]
+    return E.find_operation(slot_candidates(spark, d).select("op_key").distinct(), "GET /history")[1]
