@@ -38,15 +38,16 @@ SCHEMA_EDGES = {
 LEVELS = 6
 
 
-def parse_document(text: F.Column) -> F.Column:
-    """The text as VARIANT; null if it is null, unreadable, cut short or followed by other text.
+def with_object(rows: DataFrame, text: str, name: str = "node") -> DataFrame:
+    """The rows whose text starts like a JSON object, with it as VARIANT; null if the text is unreadable, cut
+    short or followed by other text. Each text is parsed once.
 
     Readers of single values stop at the end of the value; wrapped in an array, whatever follows
     makes the whole text unreadable or a second element.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+    wrapped = rows.where(F.regexp_like(text, F.lit(r"^[ \t\r\n]*\{"))).withColumn("__w", F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]"))))
+    alone = F.try_variant_get("__w", "$[1]", "variant").isNull()
+    return wrapped.withColumn(name, F.when(alone, F.try_variant_get("__w", "$[0]", "variant"))).drop("__w")
 
 
 def members(v: F.Column) -> F.Column:
@@ -61,9 +62,9 @@ def latest_documents(rows: DataFrame, key: str, text: str, order: list[str]) ->
     map-side combine. Rows tied in the whole order are settled by the text's hash. Rows with a null key
     are left out.
     """
-    parsed = rows.select(key, text, *order).where(F.col(key).isNotNull()).withColumn("node", parse_document(F.col(text)))
-    readable = parsed.where(members(F.col("node")).isNotNull())
-    return readable.groupBy(key).agg(F.max_by("node", F.struct(*order, F.xxhash64(text))).alias("node"))
+    parsed = with_object(rows.select(key, text, *order).where(F.col(key).isNotNull()), text)
+    readable = F.when(F.col("node").isNotNull(), F.struct(*order, F.xxhash64(text)))
+    return parsed.groupBy(key).agg(F.max_by("node", readable).alias("node")).where("node IS NOT NULL")
 
 
 def merged_edges(roots: DataFrame, node: str = "node", edges: Mapping[str, tuple[str, str]] = SCHEMA_EDGES) -> dict[str, tuple[str, str]]:

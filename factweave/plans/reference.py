@@ -19,7 +19,7 @@ from factweave.operators import joins as J
 from factweave.operators import metrics as M
 from factweave.operators import ordering as O
 from factweave.operators import validate as V
-from factweave.operators.nested import members, parse_document
+from factweave.operators.nested import with_object
 from factweave.operators.schema_tree import flatten
 from factweave.plans.registry import Registry
 from factweave.plans.schema_sql import FLAT_TREES
@@ -406,7 +406,7 @@ def json_flatten(spark: SparkSession, d: str) -> DataFrame:
 def schema_trees(spark: SparkSession, d: str) -> DataFrame:
     """``raw_id, schema_id, received_at, node`` of every readable version of raw_schemas, repeated rows once."""
     raw = table(spark, d, "raw_schemas", "raw_id", "schema_id", "schema_json", "received_at").distinct()
-    return raw.withColumn("node", parse_document(F.col("schema_json"))).where(members(F.col("node")).isNotNull()).drop("schema_json")
+    return with_object(raw, "schema_json").where("node IS NOT NULL").drop("schema_json")
 
 
 @REFERENCE.add(f"WITH RECURSIVE {FLAT_TREES} SELECT schema_id, raw_id, entry AS triple FROM flat_fields JOIN doc USING (raw_id)")
