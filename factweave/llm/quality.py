@@ -15,10 +15,11 @@ keep whitespace runs, and fixed function words for Han lines.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import accumulate
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from factweave.tables import spread
 MAX_COMMON_WORDS = 100_000
 #: Words of the longest phrase whose coverage is counted; a longer one is seen by its first 16 words.
 MAX_PHRASE = 16
+#: Words of the texts whose phrases are counted together; a longer text is counted alone.
+WORDS_AT_ONCE = 300_000
 
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
 _HAN_CHARS = "\u3005\u3007\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -177,39 +180,54 @@ def _cjk_kind(s: str, cjk: int) -> str:
     return "prose" if words * 25 >= cjk else "list"
 
 
-def _phrase_coverage(words: list[str]) -> tuple[int, int]:
-    """Most characters that one repeated phrase of 2 to ``MAX_PHRASE`` words covers, counted without
-    overlap; and the same of the phrases that come four times or more.
+def phrase_coverage(texts: Sequence[Sequence[str]]) -> list[tuple[int, int]]:
+    """Per text, given as its words: most characters that one repeated phrase of 2 to ``MAX_PHRASE`` words
+    covers, counted without overlap; and the same of the phrases that come four times or more.
 
-    A phrase is looked at only where its first words, all but the last, are repeated too.
+    All texts together are grouped by sorting, one length of phrase after the other; only what is
+    repeated within its text goes on to the next. A phrase that overlaps itself is counted from the left.
     """
-    ends = list(accumulate(map(len, words), initial=0))
-    best = loop = 0
-    at: list[int] = list(range(len(words) - 1))
-    grams: list[tuple] = list(zip(words, words[1:], strict=False))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+    width = max(len(number), 1)
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, number), np.int64, len(number))[ids])]) if len(ids) else np.zeros(1, np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    stop = np.cumsum(sizes)[owner]
+    best, loop = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    at = np.nonzero(np.arange(len(ids)) + 1 < stop)[0]
+    code = (owner[at] * width + ids[at]) * width + ids[at + 1]
     for n in range(2, MAX_PHRASE + 1):
-        counts = Counter(grams)
-        places: dict[tuple, list[int]] = defaultdict(list)
-        for i, g in zip(at, grams, strict=True):
-            if counts[g] > 1:
-                places[g].append(i)
-        for p in places.values():
-            size = ends[p[0] + n] - ends[p[0]]
-            if len(p) * size > min(best, loop):
-                times = free = 0
-                for i in p:
-                    if i >= free:
-                        times, free = times + 1, i + n
-                if times > 1:
-                    best = max(best, times * size)
-                if times > 3:
-                    loop = max(loop, times * size)
-        nexts = sorted((i, k) for k, p in enumerate(places.values()) for i in p if i + n < len(words))
-        if not nexts:
+        order = np.argsort(code, kind="stable")  # places of one phrase stay in order
+        code, at = code[order], at[order]
+        first = np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]
+        group = np.cumsum(first) - 1
+        keep = np.bincount(group)[group] > 1 if len(group) else first
+        at, first = at[keep], first[keep]
+        if not len(at):
             break
-        at = [i for i, _ in nexts]
-        grams = [(k, words[i + n]) for i, k in nexts]
-    return best, loop
+        group = np.cumsum(first) - 1
+        count = np.bincount(group)
+        begin = np.nonzero(first)[0]
+        size = ends[at[begin] + n] - ends[at[begin]]
+        doc = owner[at[begin]]
+        close = group[1:][(np.diff(at) < n) & ~first[1:]]
+        times = count.copy()
+        for k in np.unique(close):
+            if count[k] * size[k] > best[doc[k]] or count[k] > 3 and count[k] * size[k] > loop[doc[k]]:
+                times[k] = free = 0
+                for i in at[begin[k] : begin[k] + count[k]].tolist():
+                    if i >= free:
+                        times[k], free = times[k] + 1, i + n
+            else:
+                times[k] = 0
+        for found, least in ((best, 2), (loop, 4)):
+            often = times >= least
+            np.maximum.at(found, doc[often], (times * size)[often])
+        more = at + n < stop[at]
+        at, group = at[more], group[more]
+        code = group * width + ids[at + n]
+    return list(zip(best.tolist(), loop.tolist(), strict=True))
 
 
 class Form:
@@ -244,7 +262,23 @@ class Form:
 
     def read(self, text: str | None) -> tuple:
         """The statistics of ``STATISTICS`` in order. Null, empty and blank texts have no form."""
-        text = text or ""
+        return next(self.read_all([text]))
+
+    def read_all(self, texts: Sequence[str | None]) -> Iterator[tuple]:
+        """The statistics of each text; phrases are counted for some texts at once, as many as have
+        ``WORDS_AT_ONCE`` words, which bounds the memory."""
+        begun: list[tuple] = []
+        words = 0
+        for k, text in enumerate(texts):
+            begun.append(self._lines(text or ""))
+            words += len(begun[-1][-1])
+            if words >= WORDS_AT_ONCE or k + 1 == len(texts):
+                for part, (most, looped) in zip(begun, phrase_coverage([x[-1] if len(x[-1]) > 3 else () for x in begun]), strict=True):
+                    yield self._statistics(*part[:-1], most, looped)
+                begun, words = [], 0
+
+    def _lines(self, text: str) -> tuple:
+        """What the lines of a text give, its words last."""
         has = self.words.__contains__
         cached = self._kinds
         kinds: list[list] = []  # [kind, visible characters, paragraph]
@@ -291,6 +325,9 @@ class Form:
             kinds.append([kind, visible, paragraph, s])
         if block:
             paragraphs["\n".join(block)] += 1
+        return text, kinds, seen, paragraphs, n_words, n_common, n_ends, word_chars, all_words
+
+    def _statistics(self, text: str, kinds: list[list], seen: Counter, paragraphs: Counter, n_words: int, n_common: int, n_ends: int, word_chars: int, most: int, looped: int) -> tuple:
         if not kinds:
             return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
         n_lines = len(kinds)
@@ -300,7 +337,6 @@ class Form:
         shares = dict.fromkeys(("prose", "list", "table", "code", "junk"), 0)
         for kind, chars, _, _ in kinds:
             shares[kind] += chars
-        most, looped = _phrase_coverage(all_words) if n_words > 3 else (0, 0)
         coverage = most / total
         duplicate = sum(k - 1 for k in seen.values()) / n_lines
         n_paragraphs = sum(paragraphs.values())
@@ -381,10 +417,10 @@ def quality_statistics(documents: DataFrame, common_words: DataFrame, key: str =
     names = [x.split()[0] for x in STATISTICS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Form(words).read
+        form = Form(words)
         types = [pa.int64(), *[pa.float64()] * 12, pa.string()]
         for b in batches:
-            columns = list(zip(*map(read, b.column(1).to_pylist()), strict=True)) or [()] * len(types)
+            columns = list(zip(*form.read_all(b.column(1).to_pylist()), strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, *names])
 
     return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {STATISTICS}")

@@ -1,8 +1,11 @@
 """Forms of texts in several languages and layouts; statistics of edge cases."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from factweave.llm.quality import Form, quality_statistics
+from factweave.llm import quality
+from factweave.llm.quality import Form, phrase_coverage, quality_statistics
 from tests.helpers import rows
 
 WORDS = frozenset("the a of to and in is that it for as with was on are be at by we not after before when if would der die das und nicht wir ist den noch an que de los la el no se en y les des le et pas à il sur du".split())
@@ -97,3 +100,35 @@ def test_loops_are_junk(text):
 def test_twice_is_no_loop():
     assert Form(WORDS).read(PROSE[0] + "\n" + PROSE[0])[-1] is None
     assert Form(WORDS).read("ab ab ab ab cd")[7] == 8 / 10
+
+
+def covered(words):
+    """The same by looking at every phrase."""
+    best = loop = 0
+    for n in range(2, 17):
+        for phrase in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
+            places = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) == phrase]
+            times = free = 0
+            for i in places:
+                if i >= free:
+                    times, free = times + 1, i + n
+            if times > 1:
+                best = max(best, times * len("".join(phrase)))
+            if times > 3:
+                loop = max(loop, times * len("".join(phrase)))
+    return best, loop
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "bb", "ccc"]), max_size=24), max_size=5))
+def test_phrases_of_many_texts(texts):
+    assert phrase_coverage(texts) == [covered(t) for t in texts]
+
+
+def test_texts_at_once(monkeypatch):
+    texts = [None, "", PROSE[0], "ab ab ab ab cd", PROSE[0] * 3, "x"]
+    want = [Form(WORDS).read(t) for t in texts]
+    for words in (1, 20, 10_000):
+        monkeypatch.setattr(quality, "WORDS_AT_ONCE", words)
+        assert list(Form(WORDS).read_all(texts)) == want
+    assert list(Form(WORDS).read_all([])) == []
