@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +70,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def remove() -> None:
-        if spark.sparkContext._jsc is not None:
-            fs, p = hadoop_path(spark, folder)
-            fs.delete(p, True)
+        with contextlib.suppress(Exception):  # the session may have ended in any way by then
+            if spark.sparkContext._jsc is not None:
+                fs, p = hadoop_path(spark, folder)
+                fs.delete(p, True)
 
     atexit.register(remove)
     return folder
