@@ -162,9 +162,10 @@ def _holds_a_phrase(words: list[str]) -> bool:
     return bool(words) and words[-1] in PHRASE_WORDS
 
 
-def candidates(line: str, previous: str = "") -> list[Candidate]:
+def candidates(line: str, previous: str = "", continued: bool = False) -> list[Candidate]:
     """All literals of a statement that could be secrets; ``previous`` is the name given on the line
-    before to a value that stands alone."""
+    before to a value that stands alone. In a statement that is ``continued`` from a literal and a plus
+    sign on the line before, the first literal is a further piece of that value and begins none."""
     found: dict[tuple[int, int], Candidate] = {}
 
     def add(start: int, end: int, name: str, how: str) -> None:
@@ -208,6 +209,8 @@ def candidates(line: str, previous: str = "") -> list[Candidate]:
             if "://" in text:
                 continue
             left = line[: m.start()]
+            if continued and not left.strip():
+                continue
             name, how = _name_before(left, strings[:k])
             if how == "alone" and previous and not left.strip():
                 name, how = previous, "assigned"
@@ -278,18 +281,19 @@ def _name_before(left: str, earlier: list[re.Match]) -> tuple[str, str]:
 _FALLBACK_LEFT = re.compile(r"([A-Za-z_$][\w$.]*(?:\[[^\]]*\])?)\s*(?:\|\|=?|\?\?=?|\bor)\s*$")
 
 
+_JOINED = re.compile(r"[\"'`]\s*\+\s*$")
 _NAME_LINE = re.compile(r"^\s*-?\s*[\"']?(?:name|key)[\"']?\s*[:=]\s*[\"']?([\w.-]+)[\"']?,?\s*$")
 
 
 def text_candidates(text: str, memo: dict[str, list[Candidate]] | None = None) -> Iterator[tuple[int, int, Candidate]]:
     """(line number, place of its statement in the text, candidate) of a whole text. ``memo`` keeps the
     candidates of short statements, which recur in source text; it is emptied when full."""
-    at, previous = 0, ""
+    at, previous, continued = 0, "", False
     for number, line in enumerate(text.split("\n"), 1):
         if not _MARKS.isdisjoint(line) or _MAYBE.search(line):
             for start, statement in segments(line):
-                if previous or memo is None or len(statement) > 100:
-                    found = candidates(statement, previous)
+                if previous or continued or memo is None or len(statement) > 100:
+                    found = candidates(statement, previous, continued)
                 else:
                     found = memo.get(statement)
                     if found is None:
@@ -301,8 +305,9 @@ def text_candidates(text: str, memo: dict[str, list[Candidate]] | None = None) -
                 m = _NAME_LINE.match(statement) if "name" in statement or "key" in statement else None
                 n = _OPEN_LINE.search(statement) if not m and statement.rstrip()[-1:] in ("(", "=", "\\") else None
                 previous = m[1] if m else (n[1] or n[2]) if n else ""
+                continued = bool(_JOINED.search(statement)) if "+" in statement else False
         else:
-            previous = ""
+            previous, continued = "", False
         at += len(line) + 1
 
 

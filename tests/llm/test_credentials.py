@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factweave.llm.credentials import REDACTED, Markov, candidates, detect, find_credentials, redact, redact_credentials, shape, train
+from factweave.llm.credentials import REDACTED, Markov, candidates, detect, find_credentials, redact, redact_credentials, shape, text_candidates, train
 from tests.helpers import rows
 
 rng = random.Random(11)
@@ -111,3 +111,8 @@ def test_forms(line, value):
 
 def test_blanks_need_the_name_of_a_secret():
     assert "a b c" not in [c.value for c in candidates('title = "a b c"')] + [c.value for c in candidates('throw("a b c")')]
+
+
+def test_a_further_piece_begins_no_value():
+    found = [(n, c.value) for n, _, c in text_candidates('secret = "s3QhTTKXDl" +\n  "k1m!vHs82x" +\n  "x9Kd02mQzz"\nother = "Zz8Kd02mQq"')]
+    assert found == [(1, "s3QhTTKXDl"), (4, "Zz8Kd02mQq")]
